@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical, distinctive, termcounts
+from corvane.llm import canonical, distinctive, neighbors, termcounts
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -119,5 +119,25 @@ WHERE abstract IS NOT NULL AND NOT coalesce(date_diff('day', try_cast(date_added
     + "SELECT term, occurrences, records, mark FROM marked"
 )
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_canonical": p2_canonical, "p4_found": p4_found, "p4_counts": p4_counts, "p4_incremental": p4_incremental}
+# 5. Most similar vectors for every vector
+
+VECTOR_WIDTH, NEIGHBORS = 64, 5
+
+
+def _near(spark: SparkSession, d: str, **more) -> DataFrame:
+    return neighbors.top_neighbors(_t(spark, d, "document_index"), key="vec_id", vector="vectors", width=VECTOR_WIDTH, k=NEIGHBORS, **more)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = _near(spark, d, floor=0.9, wanted_recall=0.998)
+    return near.select(F.least("id", "neighbor").alias("vec_id_a"), F.greatest("id", "neighbor").alias("vec_id_b")).distinct()
+
+
+def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar vectors of every vector whose id is divisible by 20, of all vectors."""
+    asked = _t(spark, d, "document_index").filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("id"))
+    return _near(spark, d, queries=asked).select(F.col("id").alias("vec_id"), "neighbor", F.round("similarity", 6).alias("similarity"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_canonical": p2_canonical, "p4_found": p4_found, "p4_counts": p4_counts, "p4_incremental": p4_incremental, "p5_found": p5_found, "p5_neighbors": p5_neighbors}
 SQL = {"p1_found": SQL_P1_FOUND, "p1_scores": SQL_P1_SCORES, "p4_found": SQL_P4_FOUND, "p4_counts": SQL_P4_COUNTS, "p4_incremental": SQL_P4_INCREMENTAL}
