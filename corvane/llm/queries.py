@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical, distinctive, neighbors, termcounts
+from corvane.llm import canonical, distinctive, neardup, neighbors, termcounts
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -139,5 +139,22 @@ def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d, queries=asked).select(F.col("id").alias("vec_id"), "neighbor", F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_canonical": p2_canonical, "p4_found": p4_found, "p4_counts": p4_counts, "p4_incremental": p4_incremental, "p5_found": p5_found, "p5_neighbors": p5_neighbors}
+# 6. Near-duplicate records with small edits
+
+
+def _near_duplicates(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    text = F.when(F.col("abstract").isNotNull(), F.concat_ws(" ", F.coalesce("title", F.lit("")), "abstract"))
+    return neardup.NearDuplicates(_t(spark, d, "sample_corpus"), key="row_id", text=text, shingle=3, threshold=0.5, least_words=20)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near_duplicates(spark, d).pairs().select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Class, group and number of links of every corpus row that takes part."""
+    return _near_duplicates(spark, d).groups().withColumnRenamed("id", "row_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_canonical": p2_canonical, "p4_found": p4_found, "p4_counts": p4_counts, "p4_incremental": p4_incremental, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_found": p6_found, "p6_groups": p6_groups}
 SQL = {"p1_found": SQL_P1_FOUND, "p1_scores": SQL_P1_SCORES, "p4_found": SQL_P4_FOUND, "p4_counts": SQL_P4_COUNTS, "p4_incremental": SQL_P4_INCREMENTAL}
