@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical, distinctive, neardup, neighbors, termcounts
+from corvane.llm import canonical, distinctive, mixing, neardup, neighbors, packing, termcounts, tokens, toxicity
+from corvane.plans.materialize import materialize
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -156,5 +157,59 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return _near_duplicates(spark, d).groups().withColumnRenamed("id", "row_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_canonical": p2_canonical, "p4_found": p4_found, "p4_counts": p4_counts, "p4_incremental": p4_incremental, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_found": p6_found, "p6_groups": p6_groups}
+# 7. Filling fixed-capacity containers with items
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Container of every piece of every document, for every capacity."""
+    sized = tokens.with_tokens(_t(spark, d, "documents"), key="doc_id", text="text")
+    return packing.pack(sized, _t(spark, d, "pack_capacities"), key="doc_id")
+
+
+def p7_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and fill of every capacity."""
+    return packing.usage(p7_packed(spark, d), _t(spark, d, "pack_capacities"))
+
+
+# 8. Mixing sources to target weights
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = materialize(tokens.with_tokens(_t(spark, d, "documents"), key="doc_id", text="text", keep=("source",)), "sized")
+    rates = mixing.repetition_rates(sized, _t(spark, d, "mix_targets"))
+    return mixing.mixture(sized, rates, key="doc_id"), rates
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of a document in the mixture."""
+    return _mixed(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mixing.reached_shares(*_mixed(spark, d))
+
+
+# 9. Abusive, hateful or sexual content
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score and category of every document."""
+    documents = _t(spark, d, "documents")
+    model = toxicity.train(*toxicity.verdicts(_t(spark, d, "doc_reviews"), documents))
+    return toxicity.score(documents, model, keep=("source",))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).filter("flagged").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of flagged documents per source."""
+    return toxicity.rates(p9_scores(spark, d))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_canonical": p2_canonical, "p4_found": p4_found, "p4_counts": p4_counts, "p4_incremental": p4_incremental, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_found": p6_found, "p6_groups": p6_groups, "p7_packed": p7_packed, "p7_usage": p7_usage, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
+}
 SQL = {"p1_found": SQL_P1_FOUND, "p1_scores": SQL_P1_SCORES, "p4_found": SQL_P4_FOUND, "p4_counts": SQL_P4_COUNTS, "p4_incremental": SQL_P4_INCREMENTAL}
