@@ -217,7 +217,7 @@ def pack(sized: DataFrame, capacities: DataFrame, *, key: str) -> DataFrame:
     # all runs of a size as one array: a few rows a size, as many in all as the plan has lines
     runs = runs.groupBy(F.col("capacity_id").alias("__c"), F.col("tokens").alias("__t")).agg(F.array_sort(F.collect_list(F.struct("from_rank", "to_rank", "each", "first"))).alias("runs"))
     in_part = Window.partitionBy("capacity_id", "tokens", "__part").orderBy(key, "piece")
-    ranked = parts.withColumn("r", F.row_number().over(in_part) - 1).join(F.broadcast(counted.select("capacity_id", "tokens", "__part", "before")), ["capacity_id", "tokens", "__part"])
+    ranked = parts.withColumn("r", F.row_number().over(in_part) - 1).join(counted.select("capacity_id", "tokens", "__part", "before"), ["capacity_id", "tokens", "__part"])
     ranked = ranked.withColumn("rank", F.col("r") + F.col("before"))
     placed = ranked.join(F.broadcast(runs), (F.col("capacity_id") == F.col("__c")) & (F.col("tokens") == F.col("__t")), "left")
     run = F.filter("runs", lambda x: (x["from_rank"] <= F.col("rank")) & (F.col("rank") < x["to_rank"]))[0]

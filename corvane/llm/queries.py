@@ -196,7 +196,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     """Score and category of every document."""
     documents = _t(spark, d, "documents")
-    model = toxicity.train(*toxicity.verdicts(_t(spark, d, "doc_reviews"), documents))
+    texts, labels, totals = toxicity.verdicts(_t(spark, d, "doc_reviews"), documents)
+    model = toxicity.train(texts, labels, totals=totals)
     return toxicity.score(documents, model, keep=("source",))
 
 

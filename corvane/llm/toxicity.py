@@ -184,7 +184,7 @@ class _Sentences:
 
     bucket: np.ndarray
     starts: np.ndarray
-    row: np.ndarray
+    stands_for: np.ndarray
     same: np.ndarray  # equal for sentences with the same features
 
     def fit(self, target: np.ndarray, use: np.ndarray, seed: int, epochs: int) -> Model | None:
@@ -193,7 +193,7 @@ class _Sentences:
         pick = np.flatnonzero(use)[at]
         if not (target[pick] != 0).any():
             return None
-        weight = np.sqrt(np.bincount(inverse)).astype(np.float32)
+        weight = np.sqrt(np.bincount(inverse, self.stands_for[use])).astype(np.float32)
         weight[target[pick] != 0] *= BAD_WEIGHT
         n = np.diff(self.starts)[pick]
         ends = np.cumsum(n)
@@ -209,29 +209,33 @@ class _Sentences:
         return 1 - model.sentences(np.repeat(np.arange(len(n)), n), self.bucket[flat], len(n))[:, 0]
 
 
-def _novelty(where: np.ndarray, bucket: np.ndarray, row_of: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+def _novelty(where: np.ndarray, bucket: np.ndarray, row_of: np.ndarray, labels: np.ndarray, stands_for: np.ndarray) -> tuple[np.ndarray, float]:
     """Share of each sentence's features that mark bad texts, and the share that clean sentences stay below.
 
     A feature marks bad texts if it is LIFT times as frequent in them as in
-    clean ones, and found in more of them. The limit is what 99 of 100 sentences of clean texts keep under
+    clean ones, and found in more of them. Texts count for as many as they were
+    drawn from. The limit is what 99 of 100 sentences of clean texts keep under
     when their own text is counted as a bad one.
     """
     pairs = np.unique(row_of[where].astype(np.int64) * BUCKETS + bucket)
     text, feature = pairs // BUCKETS, pairs % BUCKETS
-    of_clean = np.bincount(feature, labels[text] == 0, BUCKETS)
-    of_bad = np.bincount(feature, labels[text] != 0, BUCKETS)
-    clean, bad = (labels == 0).sum(), (labels != 0).sum()
+    many = stands_for[text]
+    of_clean = np.bincount(feature, many * (labels[text] == 0), BUCKETS)
+    of_bad = np.bincount(feature, many * (labels[text] != 0), BUCKETS)
+    clean, bad = stands_for[labels == 0].sum(), stands_for[labels != 0].sum()
+    own = clean / (labels == 0).sum()
     size = np.maximum(np.bincount(where, minlength=len(row_of)), 1)
 
     def share(more: int) -> np.ndarray:
-        marks = ((of_bad + more) * clean > LIFT * (of_clean - more) * bad) & (of_bad + more > of_clean - more)
+        left = of_clean - more * own
+        marks = ((of_bad + more) * clean > LIFT * left * bad) & (of_bad + more > left)
         return np.bincount(where, marks[bucket], len(row_of)) / size
 
     limit = float(np.quantile(share(1)[labels[row_of] == 0], 0.99))
     return share(0), limit
 
 
-def train(texts: list[str], labels: np.ndarray, *, epochs: tuple[int, ...] = EPOCHS, seed: int = 5) -> Model:
+def train(texts: list[str], labels: np.ndarray, *, totals: dict[int, int] | None = None, epochs: tuple[int, ...] = EPOCHS, seed: int = 5) -> Model:
     """Fit on texts with class numbers, at the level of sentences.
 
     A verdict holds for a whole text of which often one sentence is to blame,
@@ -240,8 +244,9 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: tuple[int, ...] = EPO
     sentences ever do; texts judged bad without such a sentence are taken as
     wrong verdicts and left out. After a first fit, sentences of bad texts that
     the model finds bad are added and sentences of clean texts that it is sure
-    about are left out; the second fit gives the model. Without verdicts of
-    both kinds every text scores 0.
+    about are left out; the second fit gives the model. ``totals`` are the
+    numbers of judged texts of each class where the texts are a sample with
+    other shares. Without verdicts of both kinds every text scores 0.
     """
     nothing = Model(np.zeros((BUCKETS, len(CLASSES))), np.array([50.0, 0, 0, 0]))
     if not len(labels) or labels.min() == labels.max():
@@ -249,7 +254,9 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: tuple[int, ...] = EPO
     where, bucket, row_of = features(normal_bytes(pa.array(texts, pa.string())))
     if not len(where):
         return nothing
-    novelty, limit = _novelty(where, bucket, row_of, labels)
+    have = np.bincount(labels, minlength=len(CLASSES))
+    stands_for = np.array([(totals or {}).get(c, n) / max(1, n) for c, n in enumerate(have)])[labels]
+    novelty, limit = _novelty(where, bucket, row_of, labels, stands_for)
     bucket, count = bucket[np.argsort(where, kind="stable")], np.bincount(where, minlength=len(row_of))
     some = count > 0
     starts = np.concatenate([[0], np.cumsum(count[some])])
@@ -257,8 +264,8 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: tuple[int, ...] = EPO
     # equal sentences are known by the sum of their features' hashes
     with np.errstate(over="ignore"):
         name = np.add.reduceat(_scramble(bucket.astype(np.uint64) + np.uint64(1)), starts[:-1])
-    data = _Sentences(bucket, starts, row, np.unique(name, return_inverse=True)[1])
-    n_clean, n_bad = (np.bincount(data.same, at) for at in (label == 0, label != 0))
+    data = _Sentences(bucket, starts, stands_for[row], np.unique(name, return_inverse=True)[1])
+    n_clean, n_bad = (np.bincount(data.same, data.stands_for * at) for at in (label == 0, label != 0))
     guilty = (label != 0) & (novelty > limit) & (n_bad > n_clean)[data.same]
     sure = np.zeros(len(label), bool)
     model = None
@@ -273,8 +280,8 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: tuple[int, ...] = EPO
     return model or nothing
 
 
-def verdicts(reviews: DataFrame, documents: DataFrame, *, per_class: int = LABELLED_PER_CLASS, key: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray]:
-    """Texts and class numbers of about ``per_class`` reviewed documents of each class.
+def verdicts(reviews: DataFrame, documents: DataFrame, *, per_class: int = LABELLED_PER_CLASS, key: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray, dict[int, int]]:
+    """Texts and class numbers of about ``per_class`` reviewed documents of each class, and all such documents' number.
 
     The class most reviewers gave wins; documents on which they are split are
     left out, as are unknown and null categories.
@@ -290,7 +297,7 @@ def verdicts(reviews: DataFrame, documents: DataFrame, *, per_class: int = LABEL
         share = F.when(F.col("category") == c, int(span * min(1.0, per_class / n))).otherwise(share)
     sample = clear.filter(F.pmod(F.xxhash64(key), F.lit(span)) < share)
     t = documents.select(key, F.col(text).alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(sample), key).select(key, "text", "category").toArrow().sort_by(key)
-    return t.column("text").to_pylist(), np.array([CLASSES.index(c) for c in t.column("category").to_pylist()], int)
+    return t.column("text").to_pylist(), np.array([CLASSES.index(c) for c in t.column("category").to_pylist()], int), {CLASSES.index(c): n for c, n in have.items()}
 
 
 def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
