@@ -279,7 +279,7 @@ class NearDuplicates:
         source = table.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), words(text).alias("w"))
         source = source.filter(F.col("w").isNotNull() & (F.size("w") >= least))
         digest = F.unhex(F.md5(F.concat_ws(" ", "w")))
-        keyed = source.select("id", digest.alias("h"))
+        keyed = materialize(source.select("id", digest.alias("h")), "digests")
         per = keyed.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
         self.members = materialize(keyed.join(per, "h").select("rep", "id", "size"), "members")
         first = self.members.filter(F.col("rep") == F.col("id")).select("id")
