@@ -114,5 +114,5 @@ def loaded(lines: DataFrame, *, key: str = "line_id", **names: str) -> DataFrame
     null_if_empty = lambda c: F.when(f[c] != "", f[c]).alias(c)
     return good.select(
         F.col(key).alias("row_id"), f["trial_id"].alias("trial_id"), null_if_empty("title"), null_if_empty("brief_title"), f["abstract"].alias("abstract"),
-        f["publication_date"].alias("publication_date"), null_if_empty("date_added"), null_if_empty("phase"), registry_of(f["trial_id"]).alias("registry"), F.lit(None).cast("timestamp").alias("received_at"),
+        f["publication_date"].alias("publication_date"), null_if_empty("date_added"), null_if_empty("phase"), registry_of(f["trial_id"]).alias("registry"), F.lit(None).cast("timestamp_ntz").alias("received_at"),
     )

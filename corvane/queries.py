@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.operators import rejects
+from corvane.functions import text as T
+from corvane.operators import embed, evaluate, fuse, manifest, postings, rank, rejects, vectors
+from corvane.plans import retrieval
+from corvane.plans.materialize import materialize
+from corvane.streaming import ingest
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "sample_corpus")
+
+
 # 3. Rows that fail to parse
 
 
@@ -24,24 +32,403 @@ def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
     return rejects.loaded(_t(spark, d, "raw_corpus"))
 
 
-_SQL_LINES = r"""
-WITH pieces AS (SELECT line_id, coalesce(raw_line, '') AS t, string_split(coalesce(raw_line, ''), '"') AS p FROM raw_corpus WHERE coalesce(line_no <> 1, true)),
-shape AS (SELECT line_id, t,
-  len(p) % 2 = 0 OR len(list_filter(range(1, len(p) + 1), lambda i: i % 2 = 1 AND p[i] <> '' AND ((i > 1 AND NOT starts_with(p[i], ',')) OR (i < len(p) AND NOT ends_with(p[i], ','))))) > 0 AS quoting,
-  1 + list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i % 2 = 1 THEN length(p[i]) - length(replace(p[i], ',', '')) ELSE 0 END)) AS n,
-  list_transform(regexp_extract_all(t, '(?s)(?:^|,)("(?:[^"]|"")*"|[^",]*)', 1), lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END) AS f FROM pieces),
-lines AS (SELECT line_id, f, CASE WHEN quoting THEN 'quoting' WHEN n <> 7 THEN 'column_count'
-  WHEN NOT regexp_full_match(f[2], 'NCT[0-9]{8}|ChiCTR[0-9]{10}|CTRI/[0-9]{4}/[0-9]{2}/[0-9]{7}|[0-9]{4}-[0-9]{6}-[0-9]{2}|DRKS[0-9]{8}|jRCT[0-9]{10}')
-    OR NOT regexp_matches(f[5], '[^\s\pZ]') OR regexp_matches(f[5], '[\x00-\x08\x0B-\x1F\x7F-\x{9F}\x{FFFD}]')
-    OR NOT regexp_full_match(f[6], '[0-9]{4}-[0-9]{2}-[0-9]{2}') OR try_cast(f[6] AS DATE) IS NULL OR starts_with(f[6], '0000') THEN 'invalid_value' END AS reason FROM shape)
-"""
-SQL_P3_FOUND = _SQL_LINES + "SELECT line_id, reason FROM lines WHERE reason IS NOT NULL"
-SQL_P3_LOADED = (
-    _SQL_LINES
-    + """SELECT line_id AS row_id, f[2] AS trial_id, nullif(f[3], '') AS title, nullif(f[4], '') AS brief_title, f[5] AS abstract, f[6] AS publication_date, nullif(f[1], '') AS date_added, nullif(f[7], '') AS phase,
-CASE WHEN starts_with(f[2], 'NCT') THEN 'NCT' WHEN starts_with(f[2], 'ChiCTR') THEN 'ChiCTR' WHEN starts_with(f[2], 'CTRI') THEN 'CTRI' WHEN starts_with(f[2], 'DRKS') THEN 'DRKS' WHEN starts_with(f[2], 'jRCT') THEN 'jRCT' ELSE 'EUCTR' END AS registry,
-CAST(NULL AS TIMESTAMP) AS received_at FROM lines WHERE reason IS NULL"""
-)
-
-QUERIES = {"p3_found": p3_found, "p3_loaded": p3_loaded}
-SQL = {"p3_found": SQL_P3_FOUND, "p3_loaded": SQL_P3_LOADED}
+# Text functions
+
+
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+
+
+def strip_urls(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", T.strip_urls(F.col("text")).alias("plain"))
+
+
+def join_marks(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus(spark, d).select("row_id", T.join_marks(F.col("abstract")).alias("joined"))
+
+
+def tokenize(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus(spark, d).select("row_id", F.concat_ws(" ", T.word_tokens(T.clean_text(F.col("abstract")))).alias("tokens"))
+
+
+def preprocess(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus(spark, d).select("row_id", F.concat_ws(" ", T.preprocess(F.col("abstract"))).alias("tokens"))
+
+
+def old_chain(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus(spark, d).select("row_id", F.concat_ws(" ", T.old_chain(F.col("abstract"))).alias("tokens"))
+
+
+def legacy_chain(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus(spark, d).select("row_id", T.legacy_text(F.col("abstract")).alias("tokens"))
+
+
+def bigrams(spark: SparkSession, d: str) -> DataFrame:
+    """Frequency of every term with bigrams."""
+    tokens = _corpus(spark, d).select(F.explode(T.with_bigrams(T.preprocess(F.col("title")))).alias("term"))
+    return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def normalize_id(spark: SparkSession, d: str) -> DataFrame:
+    key = T.normalize_id(F.col("trial_id"))
+    return _corpus(spark, d).select("row_id", key.alias("id_key"), T.looks_like_id(key).alias("looks_like_id"))
+
+
+def truncated_abstract(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus(spark, d).select("row_id", T.truncated(F.col("abstract")).alias("short"), F.substring("title", 1, 200).alias("head"))
+
+
+def row_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus(spark, d).select("row_id", T.short_hash(F.concat_ws("|", "trial_id", "title", "abstract")).alias("fingerprint"))
+
+
+def drop_blank_rows(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.sources.corpus import drop_blank
+
+    return drop_blank(_corpus(spark, d)).select("row_id", F.coalesce("abstract", F.lit("")).alias("text"))
+
+
+def containment(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text holds the identifier of their trial."""
+    docs = _t(spark, d, "documents").filter(F.col("trial_id").isNotNull())
+    return docs.filter(F.contains(F.lower("text"), F.lower("trial_id"))).select("doc_id", "trial_id")
+
+
+# Inverted index
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return postings.tokenized(_corpus(spark, d), key="row_id", text=F.col("abstract"))
+
+
+def term_freq(spark: SparkSession, d: str) -> DataFrame:
+    return postings.term_counts(_tokens(spark, d))
+
+
+def doc_freq(spark: SparkSession, d: str) -> DataFrame:
+    return postings.document_frequency(term_freq(spark, d))
+
+
+def lemma_map(spark: SparkSession, d: str) -> DataFrame:
+    return postings.lemma_map(term_freq(spark, d))
+
+
+def lemma_postings(spark: SparkSession, d: str) -> DataFrame:
+    return postings.postings(_corpus(spark, d), key="row_id", text=F.col("abstract"))
+
+
+def vocab_top10(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent words: a top-k report."""
+    words = _tokens(spark, d).select(F.explode("tokens").alias("term"))
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(10)
+
+
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    tokens = _tokens(spark, d)
+    stats = postings.collection_stats(tokens.select("doc_id", F.size("tokens").alias("dl")))
+    vocabulary = tokens.select(F.explode("tokens").alias("term")).agg(F.count_distinct("term").alias("vocabulary"))
+    return stats.crossJoin(F.broadcast(vocabulary)).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "vocabulary")
+
+
+def sif_weights(spark: SparkSession, d: str) -> DataFrame:
+    return postings.sif_weights(term_freq(spark, d)).select("term", F.round("weight", 9).alias("weight"))
+
+
+def idf(spark: SparkSession, d: str) -> DataFrame:
+    lex = _lexical(spark, d)
+    both = rank.idf_tfidf(lex.df, lex.stats).withColumnRenamed("idf", "idf_tfidf").join(rank.idf_bm25(lex.df, lex.stats).select("term", F.col("idf").alias("idf_bm25")), "term")
+    return both.select("term", "df", F.round("idf_tfidf", 9).alias("idf_tfidf"), F.round("idf_bm25", 9).alias("idf_bm25"))
+
+
+# Rankers
+
+
+def _lexical(spark: SparkSession, d: str, **more) -> retrieval.LexicalIndex:
+    return retrieval.build_lexical(_corpus(spark, d), key="row_id", text=F.col("abstract"), **more)
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "doc_id", "score", "rank")
+
+
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(_lexical(spark, d).bm25(_t(spark, d, "eval_queries")))
+
+
+def bm25_b0(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(_lexical(spark, d).bm25(_t(spark, d, "eval_queries"), k1=1.2, b=0.0))
+
+
+def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(_lexical(spark, d).tfidf(_t(spark, d, "eval_queries")))
+
+
+def bigram_bm25(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 with bigrams as further terms."""
+    lex = _lexical(spark, d, chain=lambda c: T.with_bigrams(T.preprocess(c)), lemmas=False)
+    return _hits(lex.bm25(_t(spark, d, "eval_queries")))
+
+
+def old_chain_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(_lexical(spark, d, chain=T.old_chain, lemmas=False).bm25(_t(spark, d, "eval_queries")))
+
+
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 against all."""
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return _hits(rank.cosine(v.filter(F.col("id") % 20 == 0), v, exclude_self=True))
+
+
+# Vectors
+
+
+def _word_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of the abstracts, most frequent first, each with the vector of that place in ``embeddings``."""
+    df = doc_freq(spark, d)
+    first = df.orderBy(F.desc("df"), "term").limit(_t(spark, d, "embeddings").count())
+    placed = first.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).cast("bigint").alias("vec_id"))
+    return placed.join(_t(spark, d, "embeddings"), "vec_id").select("term", F.col("embedding").alias("v"))
+
+
+def _pooled(spark: SparkSession, d: str, weighted: bool) -> DataFrame:
+    tokens = materialize(_tokens(spark, d), "tokens")
+    counts = postings.term_counts(tokens)
+    return vectors.pooled(counts, _word_vectors(spark, d), tokens, postings.sif_weights(counts) if weighted else None)
+
+
+def _entries(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "known", F.posexplode_outer("v").alias("pos", "x")).select("doc_id", "known", F.col("pos").cast("bigint").alias("pos"), (F.round("x", 5) + 0.0).alias("x"))
+
+
+def mean_pool(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(_pooled(spark, d, False))
+
+
+def sif_pool(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(_pooled(spark, d, True))
+
+
+def oov_documents(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.unknown_documents(_pooled(spark, d, False))
+
+
+def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
+    v = _t(spark, d, "document_index").filter(F.col("vectors").isNotNull())
+    return v.select("vec_id", F.posexplode(vectors.l2_normalized(F.col("vectors"))).alias("pos", "x")).select("vec_id", F.col("pos").cast("bigint").alias("pos"), (F.round("x", 5) + 0.0).alias("x"))
+
+
+def component_removed(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors without their first principal component."""
+    v = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    u = vectors.principal_component(v)
+    return v.select("vec_id", F.transform(vectors.without_component(F.col("v"), u), lambda x: F.round(x, 4)).alias("v"))
+
+
+def skipgram_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Skip-gram vectors of the corpus vocabulary."""
+    return embed.skipgram(_tokens(spark, d), embed.TrainingParams(vector_size=32, epochs=1, partitions=4))
+
+
+def subword_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the query words, also of unseen ones, from subwords."""
+    params = embed.TrainingParams(vector_size=32, epochs=1, partitions=4)
+    words = materialize(embed.skipgram(_tokens(spark, d), params), "words")
+    asked = _t(spark, d, "eval_queries").select(F.explode(T.preprocess(F.col("query_text"))).alias("term"))
+    return embed.infer(asked, words, embed.subword(words, params), params)
+
+
+# Fusion, identifiers, negation
+
+
+def _runs(spark: SparkSession, d: str) -> tuple[retrieval.LexicalIndex, DataFrame]:
+    lex = _lexical(spark, d)
+    return lex, _t(spark, d, "eval_queries")
+
+
+def rrf_union(spark: SparkSession, d: str) -> DataFrame:
+    """Fusion of the BM25 run, in the place of the embedding run, with TF-IDF."""
+    lex, q = _runs(spark, d)
+    fused = fuse.rrf_union(lex.bm25(q), lex.tfidf(q))
+    return fused.select("query_id", "doc_id", F.round("score", 9).alias("score"), F.concat_ws(",", "found_by").alias("found_by"), "rank")
+
+
+def pool_candidates(spark: SparkSession, d: str) -> DataFrame:
+    lex, q = _runs(spark, d)
+    named = {n: retrieval.one_per_trial(r, _corpus(spark, d)) for n, r in (("bm25", lex.bm25(q)), ("tfidf", lex.tfidf(q)))}
+    return fuse.pooled_runs(named, doc="trial_id").select("query_id", "trial_id", F.concat_ws(",", "found_by").alias("found_by"), "place")
+
+
+def unjudged(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.unjudged(pool_candidates(spark, d), evaluate.judgements(_t(spark, d, "eval_queries"))).select("query_id", "trial_id")
+
+
+def known_item(spark: SparkSession, d: str) -> DataFrame:
+    return fuse.known_items(_t(spark, d, "eval_queries"), fuse.id_index(_corpus(spark, d)))
+
+
+def id_collisions(spark: SparkSession, d: str) -> DataFrame:
+    return fuse.colliding_ids(_corpus(spark, d)).withColumnRenamed("key", "id_key")
+
+
+def negation_spans(spark: SparkSession, d: str) -> DataFrame:
+    spans = _t(spark, d, "eval_queries").select("query_id", F.posexplode(fuse.negated_spans(F.col("query_text"))).alias("n", "span"))
+    return spans.select("query_id", F.col("n").cast("bigint").alias("n"), F.concat_ws(" ", "span").alias("span"))
+
+
+def negation_asserts(spark: SparkSession, d: str) -> DataFrame:
+    """Which corpus rows assert the negated span of which query."""
+    spans = _t(spark, d, "eval_queries").select("query_id", F.explode(fuse.negated_spans(F.col("query_text"))).alias("span"))
+    words = _corpus(spark, d).select("row_id", T.word_runs(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))).alias("words"))
+    # an inverted index on the span's first word stands before the costly predicate
+    first = words.select("row_id", "words", F.explode(F.array_distinct("words")).alias("w"))
+    met = first.join(spans.withColumn("w", F.get("span", F.lit(0))), "w")
+    return met.filter(fuse.asserts(F.col("words"), F.col("span"))).select("query_id", F.concat_ws(" ", "span").alias("span"), "row_id")
+
+
+def negation_filter(spark: SparkSession, d: str) -> DataFrame:
+    lex, q = _runs(spark, d)
+    return fuse.negation_filtered(_hits(lex.bm25(q, 30)), q, _corpus(spark, d), 10).select("query_id", "doc_id", "rank")
+
+
+def promoted(spark: SparkSession, d: str) -> DataFrame:
+    lex, q = _runs(spark, d)
+    corpus = _corpus(spark, d)
+    ranked = retrieval.one_per_trial(lex.bm25(q), corpus)
+    return fuse.promoted(ranked, fuse.known_items(q, fuse.id_index(corpus))).select("query_id", "trial_id", "rank")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The default search of all judged queries; pooled query words against pooled abstracts are the embedding run."""
+    lex, q = _runs(spark, d)
+    corpus = _corpus(spark, d)
+    words = materialize(_word_vectors(spark, d), "words")
+    counts = materialize(postings.term_counts(_tokens(spark, d)), "counts")
+    docs = vectors.pooled(counts, words, _tokens(spark, d)).select(F.col("doc_id").alias("id"), "v")
+    asked = postings.query_terms(q, key="query_id", text=F.col("query_text"))
+    asked = vectors.pooled(asked.select(F.col("query_id").alias("doc_id"), "term", F.col("qtf").alias("tf")), words, q.select(F.col("query_id").alias("doc_id"))).select(F.col("doc_id").cast("bigint").alias("id"), "v")
+    embedding = rank.cosine(asked, docs, 30).withColumn("query_id", F.col("query_id").cast("int"))
+    return retrieval.flagship(lex, embedding, q, corpus).select("query_id", "trial_id", F.round("score", 9).alias("score"), "rank")
+
+
+def query_reasons(spark: SparkSession, d: str) -> DataFrame:
+    lex, q = _runs(spark, d)
+    return fuse.reasons(q, lex.bm25(q))
+
+
+# Evaluation
+
+
+def _log_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Each ranker's served ranking of each judged query: every trial at its best served rank."""
+    log = _t(spark, d, "search_log").filter(F.col("query_id").isNotNull() & F.col("trial_id").isNotNull())
+    best = log.groupBy(F.col("ranker").alias("method"), "query_id", "trial_id").agg(F.min("hit_rank").alias("r"))
+    w = Window.partitionBy("method", "query_id").orderBy("r", "trial_id")
+    return best.withColumn("rank", F.row_number().over(w).cast("bigint")).drop("r")
+
+
+def log_metrics(spark: SparkSession, d: str) -> DataFrame:
+    scores = evaluate.per_query(_log_runs(spark, d), evaluate.judgements(_t(spark, d, "eval_queries")))
+    return evaluate.summary(scores)
+
+
+def log_metrics_by_stratum(spark: SparkSession, d: str) -> DataFrame:
+    scores = evaluate.per_query(_log_runs(spark, d), evaluate.judgements(_t(spark, d, "eval_queries")), (10,))
+    return evaluate.summary(scores.join(_t(spark, d, "eval_queries").select("query_id", "stratum"), "query_id"), ["stratum", "method"])
+
+
+def ranker_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """BM25, TF-IDF and their union on the judged queries; the union is scored to twice the depth."""
+    lex, q = _runs(spark, d)
+    corpus = _corpus(spark, d)
+    bm25, tfidf = materialize(lex.bm25(q, 20), "bm25"), materialize(lex.tfidf(q, 20), "tfidf")
+    runs = {"bm25": bm25, "tfidf": tfidf, "union": fuse.rrf_union(bm25, tfidf)}
+    out = None
+    for name, run in runs.items():
+        part = retrieval.one_per_trial(run, corpus).select(F.lit(name).alias("method"), "query_id", "trial_id", "rank")
+        out = part if out is None else out.unionByName(part)
+    scores = evaluate.per_query(out, evaluate.judgements(q), (5, 10), depth_factor=F.when(F.col("method") == "union", 2).otherwise(1))
+    return evaluate.summary(scores)
+
+
+def method_best(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.best_method(log_metrics(spark, d))
+
+
+def release_gate(spark: SparkSession, d: str) -> DataFrame:
+    p95 = log_latency(spark, d).agg(F.max("p95")).first()[0]
+    return evaluate.check_targets(method_best(spark, d), p95)
+
+
+def log_latency(spark: SparkSession, d: str) -> DataFrame:
+    """Delivery latency of each ranker's hits in milliseconds, nearest-rank percentiles."""
+    log = _t(spark, d, "search_log").groupBy("hit_id").agg(F.min("ranker").alias("ranker"), F.min((F.unix_micros(F.col("arrived_at").cast("timestamp")) - F.unix_micros(F.col("served_at").cast("timestamp"))) / 1000.0).alias("ms"))
+    return evaluate.percentiles(log, "ranker", "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+def bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Paired bootstrap of recall at 10, the union's served rankings against BM25's."""
+    scores = materialize(evaluate.per_query(_log_runs(spark, d), evaluate.judgements(_t(spark, d, "eval_queries")), (10,)), "scores")
+    a, b = (scores.filter(F.col("method") == m).select("query_id", F.col("recall").alias(m)) for m in ("bm25", "union"))
+    return evaluate.paired_bootstrap(a.join(b, "query_id").select("query_id", (F.col("union") - F.col("bm25")).alias("diff")))
+
+
+def overlap_twins(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the first ten that each two rankers serve in common for a query."""
+    runs = _log_runs(spark, d).filter(F.col("rank") <= 10)
+    a, b = runs.select("query_id", "trial_id", F.col("method").alias("method_a")), runs.select("query_id", "trial_id", F.col("method").alias("method_b"))
+    met = a.join(b, ["query_id", "trial_id"]).filter(F.col("method_a") < F.col("method_b"))
+    per = met.groupBy("query_id", "method_a", "method_b").agg((F.count(F.lit(1)) / 10).alias("overlap"))
+    return per.groupBy("method_a", "method_b").agg(F.round(F.avg("overlap"), 6).alias("overlap"))
+
+
+def _sheet(spark: SparkSession, d: str) -> DataFrame:
+    """Pooled candidates and their verdicts: null where the query has no named judge and the candidate no judgement."""
+    q = _t(spark, d, "eval_queries")
+    judged = evaluate.judgements(q).withColumn("yes", F.lit(True))
+    sheet = pool_candidates(spark, d).join(judged, ["query_id", "trial_id"], "left").join(q.select("query_id", "judged_by"), "query_id")
+    return sheet.select("query_id", "trial_id", F.when(F.col("yes") | F.col("judged_by").isNotNull(), F.coalesce("yes", F.size(F.split("found_by", ",")) > 1)).alias("relevant"))
+
+
+def label_progress(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.label_progress(_sheet(spark, d))
+
+
+def merge_labels(spark: SparkSession, d: str) -> DataFrame:
+    merged = evaluate.merged_labels(_sheet(spark, d), evaluate.judgements(_t(spark, d, "eval_queries")))
+    return merged.select("query_id", F.concat_ws(",", "relevant").alias("relevant"))
+
+
+def relevant_per_stratum(spark: SparkSession, d: str) -> DataFrame:
+    q = _t(spark, d, "eval_queries")
+    per = evaluate.judgements(q).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return q.join(per, "query_id", "left").groupBy("stratum").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.coalesce("n", F.lit(0))), 6).alias("relevant"))
+
+
+def served_per_day(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct hits per day and ranker, by event time."""
+    return ingest.served_per_window(_t(spark, d, "search_log"))
+
+
+def integrity_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings on three models and indexes written down here against the corpus table."""
+    rows = _corpus(spark, d).count()
+    live = spark.createDataFrame([("c0", rows)], "fingerprint string, rows bigint")
+    models = spark.createDataFrame([("skipgram", "m1", "c0", "v1", False, 12.8), ("fasttext", "m2", "c9-n200", "v2", True, 319.0), ("glove", None, None, None, None, None)], "kind string, fingerprint string, corpus_fingerprint string, vectors_checksum string, sampled boolean, mb double")
+    indexes = spark.createDataFrame([("skipgram", "abstract", "m1", "c0", "v1", rows), ("skipgram", "title", "m0", "c0", "v0", rows - 1), ("fasttext", "abstract", "m2", "c0-n200", None, 200)], "kind string, field string, model_fingerprint string, corpus_fingerprint string, vectors_checksum string, size bigint")
+    return manifest.findings(models, indexes, live)
+
+
+def table_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.table_fingerprint(_corpus(spark, d))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p3_found, p3_loaded, clean_text, strip_urls, join_marks, tokenize, preprocess, old_chain, legacy_chain, bigrams, normalize_id, truncated_abstract, row_fingerprint, drop_blank_rows, containment,
+        term_freq, doc_freq, lemma_map, lemma_postings, vocab_top10, corpus_stats, sif_weights, idf, bm25_topk, bm25_b0, tfidf_topk, bigram_bm25, old_chain_bm25, cosine_topk,
+        mean_pool, sif_pool, oov_documents, l2_normalize, component_removed, skipgram_vectors, subword_vectors, rrf_union, pool_candidates, unjudged, known_item, id_collisions, negation_spans,
+        negation_asserts, negation_filter, promoted, flagship, query_reasons, log_metrics, log_metrics_by_stratum, ranker_metrics, method_best, release_gate, log_latency, bootstrap, overlap_twins,
+        label_progress, merge_labels, relevant_per_stratum, served_per_day, integrity_findings, table_fingerprints,
+    )
+}
