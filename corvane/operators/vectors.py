@@ -30,6 +30,10 @@ def assert_width(vectors: DataFrame, column: str, width: int) -> None:
         raise ValueError(f"{column}: not every vector has {width} numbers")
 
 
+def _vector(column: str) -> Column:
+    return array_to_vector(F.transform(column, lambda x: x.cast("double")))
+
+
 def pooled(counts: DataFrame, word_vectors: DataFrame, documents: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(``doc_id``, ``v``, ``known``): mean of the vectors of the known tokens.
 
@@ -40,14 +44,15 @@ def pooled(counts: DataFrame, word_vectors: DataFrame, documents: DataFrame, wei
     0 known tokens. The sums are combined before the shuffle.
     """
     hit = counts.join(word_vectors.select("term", "v"), "term")
-    if weights is not None:
-        hit = hit.join(weights.select("term", "weight"), "term", "left").withColumn("w", F.col("tf") * F.coalesce("weight", F.lit(1.0)))
+    tf = F.col("tf").cast("double")
+    if weights is None:
+        sums = hit.groupBy("doc_id").agg(Summarizer.mean(_vector("v"), tf).alias("m"), F.sum("tf").alias("known")).select("doc_id", vector_to_array("m").alias("v"), "known")
     else:
-        hit = hit.withColumn("w", F.col("tf").cast("double"))
-    vec = array_to_vector(F.transform("v", lambda x: x.cast("double")))
-    plain, weighed = Summarizer.mean(vec, F.col("tf").cast("double")), Summarizer.mean(vec, F.col("w"))
-    sums = hit.groupBy("doc_id").agg(plain.alias("m"), weighed.alias("wm"), F.sum("w").alias("weight_sum"), F.sum("tf").alias("known"))
-    sums = sums.select("doc_id", F.when(F.col("weight_sum") > 0, vector_to_array("wm")).otherwise(vector_to_array("m")).alias("v"), "known")
+        hit = hit.join(weights.select("term", "weight"), "term", "left").withColumn("w", F.coalesce("weight", F.lit(1.0)))
+        plain, scaled = Summarizer.mean(_vector("v"), tf), Summarizer.mean(array_to_vector(F.transform("v", lambda x: x.cast("double") * F.col("w"))), tf)
+        sums = hit.groupBy("doc_id").agg(plain.alias("m"), scaled.alias("wm"), F.sum(tf * F.col("w")).alias("weight_sum"), F.sum("tf").alias("known"))
+        mean = F.transform(vector_to_array("wm"), lambda x: x * F.col("known") / F.col("weight_sum"))
+        sums = sums.select("doc_id", F.when(F.col("weight_sum") > 0, mean).otherwise(vector_to_array("m")).alias("v"), "known")
     return documents.select("doc_id").join(sums, "doc_id", "left").select("doc_id", "v", F.coalesce("known", F.lit(0)).cast("bigint").alias("known"))
 
 

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import fuse, postings, rank
 from corvane.plans.materialize import materialize
+from corvane.plans.spread import spread
 
 
 @dataclass
 class LexicalIndex:
     """Postings and their statistics, written once to the shared folder."""
 
+    tokens: DataFrame
+    counts: DataFrame
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
@@ -39,16 +42,14 @@ def build_lexical(documents: DataFrame, *, key: str, text: Column, chain=T.prepr
 
     The token table is read by every later step instead of tokenising again.
     """
-    tokens = materialize(postings.tokenized(documents, key=key, text=text, chain=chain), "tokens")
-    counts = postings.term_counts(tokens)
-    found = None
+    tokens = materialize(postings.tokenized(spread(documents, key), key=key, text=text, chain=chain), "tokens")
+    counts = materialize(postings.term_counts(tokens), "counts")
+    found, held = None, counts
     if lemmas:
-        counts = materialize(counts, "counts")
         found = materialize(postings.lemma_map(counts), "lemmas")
-        counts = postings.lemmatized(counts, found)
-    held = materialize(counts, "postings")
+        held = materialize(postings.lemmatized(counts, found), "postings")
     doc_lengths = tokens.select("doc_id", F.size("tokens").cast("bigint").alias("dl"))
-    return LexicalIndex(held, doc_lengths, postings.collection_stats(doc_lengths), postings.document_frequency(held), found, chain)
+    return LexicalIndex(tokens, counts, held, doc_lengths, postings.collection_stats(doc_lengths), postings.document_frequency(held), found, chain)
 
 
 def one_per_trial(hits: DataFrame, corpus: DataFrame, n: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from corvane.functions import text as T
 from corvane.operators import embed, evaluate, fuse, manifest, postings, rank, rejects, vectors
 from corvane.plans import retrieval
 from corvane.plans.materialize import materialize
+from corvane.plans.spread import spread
 from corvane.streaming import ingest
 
 
@@ -98,7 +99,12 @@ def containment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return postings.tokenized(_corpus(spark, d), key="row_id", text=F.col("abstract"))
+    return postings.tokenized(spread(_corpus(spark, d), "row_id"), key="row_id", text=F.col("abstract"))
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts, written once: several steps read them."""
+    return materialize(postings.term_counts(_tokens(spark, d)), "counts")
 
 
 def term_freq(spark: SparkSession, d: str) -> DataFrame:
@@ -110,11 +116,11 @@ def doc_freq(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lemma_map(spark: SparkSession, d: str) -> DataFrame:
-    return postings.lemma_map(term_freq(spark, d))
+    return postings.lemma_map(_counts(spark, d))
 
 
 def lemma_postings(spark: SparkSession, d: str) -> DataFrame:
-    return postings.postings(_corpus(spark, d), key="row_id", text=F.col("abstract"))
+    return _lexical(spark, d).postings
 
 
 def vocab_top10(spark: SparkSession, d: str) -> DataFrame:
@@ -124,14 +130,14 @@ def vocab_top10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _tokens(spark, d)
+    tokens = materialize(_tokens(spark, d), "tokens")
     stats = postings.collection_stats(tokens.select("doc_id", F.size("tokens").alias("dl")))
     vocabulary = tokens.select(F.explode("tokens").alias("term")).agg(F.count_distinct("term").alias("vocabulary"))
     return stats.crossJoin(F.broadcast(vocabulary)).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "vocabulary")
 
 
 def sif_weights(spark: SparkSession, d: str) -> DataFrame:
-    return postings.sif_weights(term_freq(spark, d)).select("term", F.round("weight", 9).alias("weight"))
+    return postings.sif_weights(_counts(spark, d)).select("term", F.round("weight", 9).alias("weight"))
 
 
 def idf(spark: SparkSession, d: str) -> DataFrame:
@@ -182,9 +188,9 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 # Vectors
 
 
-def _word_vectors(spark: SparkSession, d: str) -> DataFrame:
+def _word_vectors(spark: SparkSession, d: str, counts: DataFrame) -> DataFrame:
     """The terms of the abstracts, most frequent first, each with the vector of that place in ``embeddings``."""
-    df = doc_freq(spark, d)
+    df = postings.document_frequency(counts)
     first = df.orderBy(F.desc("df"), "term").limit(_t(spark, d, "embeddings").count())
     placed = first.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).cast("bigint").alias("vec_id"))
     return placed.join(_t(spark, d, "embeddings"), "vec_id").select("term", F.col("embedding").alias("v"))
@@ -192,8 +198,9 @@ def _word_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def _pooled(spark: SparkSession, d: str, weighted: bool) -> DataFrame:
     tokens = materialize(_tokens(spark, d), "tokens")
-    counts = postings.term_counts(tokens)
-    return vectors.pooled(counts, _word_vectors(spark, d), tokens, postings.sif_weights(counts) if weighted else None)
+    counts = materialize(postings.term_counts(tokens), "counts")
+    words = materialize(_word_vectors(spark, d, counts), "words")
+    return vectors.pooled(counts, words, tokens, postings.sif_weights(counts) if weighted else None)
 
 
 def _entries(df: DataFrame) -> DataFrame:
@@ -301,12 +308,11 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The default search of all judged queries; pooled query words against pooled abstracts are the embedding run."""
     lex, q = _runs(spark, d)
     corpus = _corpus(spark, d)
-    words = materialize(_word_vectors(spark, d), "words")
-    counts = materialize(postings.term_counts(_tokens(spark, d)), "counts")
-    docs = vectors.pooled(counts, words, _tokens(spark, d)).select(F.col("doc_id").alias("id"), "v")
+    words = materialize(_word_vectors(spark, d, lex.counts), "words")
+    docs = materialize(vectors.pooled(lex.counts, words, lex.tokens).select(F.col("doc_id").alias("id"), "v"), "docs")
     asked = postings.query_terms(q, key="query_id", text=F.col("query_text"))
     asked = vectors.pooled(asked.select(F.col("query_id").alias("doc_id"), "term", F.col("qtf").alias("tf")), words, q.select(F.col("query_id").alias("doc_id"))).select(F.col("doc_id").cast("bigint").alias("id"), "v")
-    embedding = rank.cosine(asked, docs, 30).withColumn("query_id", F.col("query_id").cast("int"))
+    embedding = materialize(rank.cosine(materialize(asked, "asked"), docs, 30).withColumn("query_id", F.col("query_id").cast("int")), "embedding")
     return retrieval.flagship(lex, embedding, q, corpus).select("query_id", "trial_id", F.round("score", 9).alias("score"), "rank")
 
 
