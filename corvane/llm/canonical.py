@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corvane.plans.materialize import materialize
+from corvane.plans.spread import spread
 
 _TOP = 0x110000
 
@@ -231,7 +232,7 @@ def canonical(text: Column) -> Column:
 
 def canonical_values(table: DataFrame, *, key: str, fields: list[str]) -> DataFrame:
     """(``text_field``, ``row_id``, ``stored``, ``canonical``) of every non-null value."""
-    stacked = table.select(F.col(key).alias("row_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("text_field"), F.col(f).alias("stored")) for f in fields])).alias("v"))
+    stacked = spread(table, key).select(F.col(key).alias("row_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("text_field"), F.col(f).alias("stored")) for f in fields])).alias("v"))
     stacked = stacked.select("v.text_field", "row_id", "v.stored").filter(F.col("stored").isNotNull())
     return stacked.withColumn("canonical", canonical(F.col("stored")))
 

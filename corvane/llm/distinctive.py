@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.plans.materialize import materialize
 from corvane.plans.skew import join_dimension
+from corvane.plans.spread import spread
 
 #: Exponent that smooths the context (record) counts.
 CONTEXT_EXPONENT = 0.75
@@ -26,7 +27,7 @@ def term_record_counts(records: DataFrame, *, key: str, texts: list[str]) -> Dat
 
     One shuffle on the record key serves both counts.
     """
-    bag = records.select(F.col(key).alias("record"), terms_of(*[F.col(t) for t in texts]).alias("terms"))
+    bag = spread(records, key).select(F.col(key).alias("record"), terms_of(*[F.col(t) for t in texts]).alias("terms"))
     tokens = bag.select("record", F.explode("terms").alias("term")).repartition("record")
     joint = tokens.groupBy("record", "term").agg(F.count(F.lit(1)).alias("tf"))
     return joint.withColumn("record_tokens", F.sum("tf").over(Window.partitionBy("record")))

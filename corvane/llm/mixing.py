@@ -38,7 +38,7 @@ def mixture(sized: DataFrame, rates: DataFrame, *, key: str, seed: int = SEED) -
     Documents of null or untargeted sources come 0 times.
     """
     by = rates.select(F.col("source").alias("__s"), "rate")
-    both = sized.join(F.broadcast(by), F.col("source") == F.col("__s"))
+    both = sized.select(key, "source", "tokens").join(F.broadcast(by), F.col("source") == F.col("__s"))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     whole = F.floor("rate")
     times = (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.plans.materialize import materialize
+from corvane.plans.spread import spread
 
 #: Bits of a fingerprint, and minhashes of a record.
 BITS = 256
@@ -276,7 +277,7 @@ class NearDuplicates:
     def __init__(self, table: DataFrame, *, key: str, text: Column, shingle: int = 5, threshold: float = 0.8, least_words: int = 1):
         self.threshold = threshold
         least = max(least_words, shingle)
-        source = table.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), words(text).alias("w"))
+        source = spread(table, key).filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), words(text).alias("w"))
         source = source.filter(F.col("w").isNotNull() & (F.size("w") >= least))
         digest = F.unhex(F.md5(F.concat_ws(" ", "w")))
         keyed = materialize(source.select("id", digest.alias("h")), "digests")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.plans.materialize import materialize
+from corvane.plans.spread import spread
 
 #: Rows (about) the tree is fitted on, drawn by a hash of the id.
 FIT_ROWS = 32768
@@ -147,7 +148,7 @@ def unit_vectors(index: DataFrame, *, key: str, vector: str, width: int) -> Data
 
     v = F.col(vector)
     usable = (F.size(v) == width) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
-    return index.filter(F.col(key).isNotNull() & v.isNotNull()).filter(usable).select(F.col(key).cast("bigint").alias("id"), v.cast("array<float>").alias("v")).mapInArrow(pack, "id bigint, unit binary")
+    return spread(index, key).filter(F.col(key).isNotNull() & v.isNotNull()).filter(usable).select(F.col(key).cast("bigint").alias("id"), v.cast("array<float>").alias("v")).mapInArrow(pack, "id bigint, unit binary")
 
 
 def _draw(df: DataFrame, rows: int, total: int, salt: int, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -214,7 +214,8 @@ def pack(sized: DataFrame, capacities: DataFrame, *, key: str) -> DataFrame:
                 next_rank[size] = rank + n * each
             first += n
     runs = spark.createDataFrame(places, "capacity_id int, tokens bigint, from_rank bigint, to_rank bigint, each bigint, first bigint")
-    # all runs of a size as one array: a few rows a size, as many in all as the plan has lines
+    # all runs of a size as one array. The plan doesn't grow with the documents: each of its lines uses up a size or a
+    # class of containers, and a container of capacity C holds fewer than sqrt(2 C) distinct sizes
     runs = runs.groupBy(F.col("capacity_id").alias("__c"), F.col("tokens").alias("__t")).agg(F.array_sort(F.collect_list(F.struct("from_rank", "to_rank", "each", "first"))).alias("runs"))
     in_part = Window.partitionBy("capacity_id", "tokens", "__part").orderBy(key, "piece")
     ranked = parts.withColumn("r", F.row_number().over(in_part) - 1).join(counted.select("capacity_id", "tokens", "__part", "before"), ["capacity_id", "tokens", "__part"])

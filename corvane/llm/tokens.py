@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.plans.spread import spread
+
 #: Folder and file of the vocabulary; both may be given by the caller.
 TOKENIZERS, VOCABULARY = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_50k.tiktoken"
 
@@ -38,6 +40,6 @@ def with_tokens(table: DataFrame, *, key: str, text: str, keep: tuple[str, ...]
             n = np.fromiter((len(encode(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n)], [*b.schema.names[:-1], "tokens"])
 
-    source = table.select(key, *keep, F.col(text).cast("string").alias("__text"))
+    source = spread(table, key).select(key, *keep, F.col(text).cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
     return source.mapInArrow(run, f"{kept}, tokens bigint")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.canonical import canonical_array
+from corvane.plans.spread import spread
 
 #: The classes, first the one that isn't found.
 CLASSES = ["clean", "abusive", "hateful", "sexual"]
@@ -324,7 +325,7 @@ def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str
             category = np.where(flagged, np.array(CLASSES, object)[1 + out[:, 1:].argmax(1)], None)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out[:, 0]), pa.array(category, pa.string()), pa.array(flagged)], [*b.schema.names[:-1], "score", "category", "flagged"])
 
-    source = documents.select(key, *keep, F.col(text).cast("string").alias("__text"))
+    source = spread(documents, key).select(key, *keep, F.col(text).cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
     return source.mapInArrow(run, f"{kept}, score double, category string, flagged boolean")
 
