@@ -33,6 +33,10 @@ EPOCHS = (8, 12)
 RATE, BATCH = 0.2, 128
 #: A feature marks bad texts if it is so many times as frequent in them as in clean ones.
 LIFT = 4
+#: Probability from which a text is flagged.
+THRESHOLD = 0.35
+#: Share of such features from which a sentence stands out however many verdicts there are.
+MARKED = 0.15
 #: Weight of a bad sentence against a clean one.
 BAD_WEIGHT = 3.0
 
@@ -121,7 +125,7 @@ class Model:
 
     weights: np.ndarray  # BUCKETS x classes
     bias: np.ndarray
-    threshold: float = 0.5
+    threshold: float = THRESHOLD
 
     def sentences(self, where: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
         """Class probabilities of each sentence; one without features is clean."""
@@ -216,7 +220,8 @@ def _novelty(where: np.ndarray, bucket: np.ndarray, row_of: np.ndarray, labels:
     A feature marks bad texts if it is LIFT times as frequent in them as in
     clean ones, and found in more of them. Texts count for as many as they were
     drawn from. The limit is what 99 of 100 sentences of clean texts keep under
-    when their own text is counted as a bad one.
+    when their own text is counted as a bad one, with some distance where many
+    verdicts make that share small.
     """
     pairs = np.unique(row_of[where].astype(np.int64) * BUCKETS + bucket)
     text, feature = pairs // BUCKETS, pairs % BUCKETS
@@ -232,8 +237,8 @@ def _novelty(where: np.ndarray, bucket: np.ndarray, row_of: np.ndarray, labels:
         marks = ((of_bad + more) * clean > LIFT * left * bad) & (of_bad + more > left)
         return np.bincount(where, marks[bucket], len(row_of)) / size
 
-    limit = float(np.quantile(share(1)[labels[row_of] == 0], 0.99))
-    return share(0), limit
+    usual = share(1)[labels[row_of] == 0]
+    return share(0), max(float(np.quantile(usual, 0.99)), min(2 * float(np.quantile(usual, 0.995)), MARKED))
 
 
 def train(texts: list[str], labels: np.ndarray, *, totals: dict[int, int] | None = None, epochs: tuple[int, ...] = EPOCHS, seed: int = 5) -> Model:
