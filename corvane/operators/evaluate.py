@@ -50,16 +50,28 @@ def summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def percentiles(table: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles per group without gathering a group's values in one task.
+    """Nearest-rank percentiles per group: the value at floor(n x share) of the sorted list, not interpolated.
 
-    Equal values are counted first, and the value whose running count passes
-    the place is taken, so a group of any size takes part as a histogram.
+    No group is sorted in one task. Equal values are counted first; the counts
+    are summed over buckets of a monotone logarithmic scale, a bounded number a
+    group; and only the values of the buckets that hold a wanted place are
+    ordered. Null values take no part.
     """
-    counts = table.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(by).orderBy(value)
-    run = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
-    picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col(value))).alias(name) for name, p in shares.items()]
-    return run.groupBy(by).agg(F.max("n").alias("n"), *picks, F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 2).alias("mean"), F.max(value).alias("most"))
+    v = F.col(value)
+    bucket = F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * 256)
+    counts = table.filter(v.isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c")).withColumn("__b", bucket)
+    held = counts.groupBy(by, "__b").agg(F.sum("c").alias("in_b"), F.sum(v * F.col("c")).alias("sum_b"), F.max(value).alias("max_b"))
+    group = Window.partitionBy(by)
+    held = held.withColumn("upto", F.sum("in_b").over(group.orderBy("__b"))).withColumn("n", F.sum("in_b").over(group))
+    place = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
+    wanted = F.lit(False)
+    for p in shares.values():
+        wanted = wanted | ((place(p) < F.col("upto")) & (place(p) >= F.col("upto") - F.col("in_b")))
+    some = held.filter(wanted).select(by, "__b", "n", (F.col("upto") - F.col("in_b")).alias("below"))
+    run = counts.join(some, [by, "__b"]).withColumn("at", F.col("below") + F.sum("c").over(Window.partitionBy(by, "__b").orderBy(value)))
+    picks = [F.min(F.when((F.col("at") > place(p)) & (F.col("below") <= place(p)), v)).alias(name) for name, p in shares.items()]
+    means = held.groupBy(by).agg(F.max("n").alias("n"), F.round(F.sum("sum_b") / F.sum("in_b"), 2).alias("mean"), F.max("max_b").alias("most"))
+    return means.join(run.groupBy(by).agg(*picks), by).select(by, "n", *shares, "mean", "most")
 
 
 def best_method(means: DataFrame, k: int = 10, leave_out: tuple[str, ...] = ("tfidf",)) -> DataFrame:
