@@ -22,7 +22,8 @@ KEEP_WORDS = "no not nor none cannot against before after during below above und
 #: Words the tokeniser splits in two.
 SPLIT_WORDS = {"cannot": "can not", "gimme": "gim me", "gonna": "gon na", "gotta": "got ta", "lemme": "lem me", "wanna": "wan na"}
 
-URL_OR_HANDLE = r"(?U)\w+://\S+|@[A-Za-z0-9_]+"
+#: The boundary and the possessive repeat keep it linear on very long words.
+URL_OR_HANDLE = r"(?U)\b\w++://\S+|@[A-Za-z0-9_]+"
 
 
 def strip_urls(c: Column) -> Column:
@@ -122,7 +123,7 @@ def register(spark) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION corvane_{name}(s STRING) RETURNS {kind} RETURN {_SQL_BODIES[name]}")
 
 
-_CLEAN_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(s, '')), r'(?U)\w+://\S+|@[A-Za-z0-9_]+', ' '), r'(?<=[A-Za-z0-9])[-‐-—](?=[A-Za-z0-9])', ''), r'(?<=[0-9])[.,](?=[0-9])', ''), r'[^0-9A-Za-z \t]', ' '), r'\s+', ' '))"
+_CLEAN_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(s, '')), r'(?U)\b\w++://\S+|@[A-Za-z0-9_]+', ' '), r'(?<=[A-Za-z0-9])[-‐-—](?=[A-Za-z0-9])', ''), r'(?<=[0-9])[.,](?=[0-9])', ''), r'[^0-9A-Za-z \t]', ' '), r'\s+', ' '))"
 _TOKENS_SQL = _CLEAN_SQL
 for _w, _two in SPLIT_WORDS.items():
     _TOKENS_SQL = rf"regexp_replace({_TOKENS_SQL}, r'\b{_w}\b', '{_two}')"

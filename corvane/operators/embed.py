@@ -46,6 +46,17 @@ def skipgram(tokens: DataFrame, params: TrainingParams = TrainingParams()) -> Da
     return model.getVectors().select(F.col("word").alias("term"), F.transform(vector_to_array("vector"), lambda x: x.cast("float")).alias("v"))
 
 
+def most_similar(word_vectors: DataFrame, terms: DataFrame, n: int = 10) -> DataFrame:
+    """(``term``, ``other``, ``score``, ``rank``): the most similar words of each ``term``, itself left out."""
+    from corvane.operators.rank import cosine
+
+    numbered = word_vectors.select(F.xxhash64("term").alias("id"), "term", "v")
+    asked = numbered.join(terms.select("term").distinct(), "term", "left_semi")
+    hits = cosine(asked.select("id", "v"), numbered.select("id", "v"), n, exclude_self=True)
+    names = numbered.select("id", "term")
+    return hits.join(names.select(F.col("id").alias("query_id"), "term"), "query_id").join(names.select(F.col("id").alias("doc_id"), F.col("term").alias("other")), "doc_id").select("term", "other", "score", "rank")
+
+
 def ngrams(term: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams of ``<term>``."""
     marked = F.concat(F.lit("<"), term, F.lit(">"))

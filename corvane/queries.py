@@ -236,6 +236,19 @@ def skipgram_vectors(spark: SparkSession, d: str) -> DataFrame:
     return embed.skipgram(_tokens(spark, d), embed.TrainingParams(vector_size=32, epochs=1, partitions=4))
 
 
+def most_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar words of every word of the judged queries."""
+    words = materialize(embed.skipgram(_tokens(spark, d), embed.TrainingParams(vector_size=32, epochs=1, partitions=4)), "words")
+    return embed.most_similar(words, _t(spark, d, "eval_queries").select(F.explode(T.preprocess(F.col("query_text"))).alias("term")))
+
+
+def candidate_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """Pooled candidates of every query as a labelling sheet."""
+    from corvane.sources.store import candidate_sheet as sheet
+
+    return sheet(pool_candidates(spark, d), _t(spark, d, "eval_queries"), _corpus(spark, d))
+
+
 def subword_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of the query words, also of unseen ones, from subwords."""
     params = embed.TrainingParams(vector_size=32, epochs=1, partitions=4)
@@ -433,7 +446,7 @@ QUERIES = {
     for f in (
         p3_found, p3_loaded, clean_text, strip_urls, join_marks, tokenize, preprocess, old_chain, legacy_chain, bigrams, normalize_id, truncated_abstract, row_fingerprint, drop_blank_rows, containment,
         term_freq, doc_freq, lemma_map, lemma_postings, vocab_top10, corpus_stats, sif_weights, idf, bm25_topk, bm25_b0, tfidf_topk, bigram_bm25, old_chain_bm25, cosine_topk,
-        mean_pool, sif_pool, oov_documents, l2_normalize, component_removed, skipgram_vectors, subword_vectors, rrf_union, pool_candidates, unjudged, known_item, id_collisions, negation_spans,
+        mean_pool, sif_pool, oov_documents, l2_normalize, component_removed, skipgram_vectors, subword_vectors, most_similar, candidate_sheet, rrf_union, pool_candidates, unjudged, known_item, id_collisions, negation_spans,
         negation_asserts, negation_filter, promoted, flagship, query_reasons, log_metrics, log_metrics_by_stratum, ranker_metrics, method_best, release_gate, log_latency, bootstrap, overlap_twins,
         label_progress, merge_labels, relevant_per_stratum, served_per_day, integrity_findings, table_fingerprints,
     )

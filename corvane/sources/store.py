@@ -87,6 +87,23 @@ def report_rows(hits: DataFrame, digits: int = 4) -> DataFrame:
     return hits.withColumn("score", F.round("score", digits)).orderBy("query_id", "rank")
 
 
+def write_report(table: DataFrame, path: str) -> None:
+    """A report as JSON lines; reports are means or top-k lists, so one file holds them."""
+    table.coalesce(1).write.mode("overwrite").json(path)
+
+
+def candidate_sheet(candidates: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(``query_id``, ``query_text``, ``json``): candidates to label, with the start of title and abstract and no verdict yet.
+
+    ``candidates`` has ``query_id``, ``trial_id``, ``found_by``, ``place``, a
+    bounded list per query.
+    """
+    shown = corpus.groupBy("trial_id").agg(F.max_by(F.struct(F.substring("title", 1, 200).alias("title"), F.substring("abstract", 1, 320).alias("abstract")), "row_id").alias("d"))
+    rows = candidates.join(shown, "trial_id").select("query_id", F.struct("place", "trial_id", "found_by", "d.title", "d.abstract", F.lit(None).cast("boolean").alias("relevant")).alias("c"))
+    lists = rows.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list("c")), {"ignoreNullFields": "false"}).alias("json"))
+    return queries.select("query_id", "query_text").join(lists, "query_id")
+
+
 def as_json(hits: DataFrame) -> DataFrame:
     """One JSON text per query: its hits in rank order; ``hits`` are top-k lists, bounded by k."""
     cols = [c for c in hits.columns if c != "query_id"]

@@ -1,5 +1,7 @@
 """Text functions on single values."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +23,13 @@ def test_clean(spark, text, wanted):
     assert on(spark, text, T.clean_text) == wanted
 
 
+@pytest.mark.parametrize("text", ["a" * 200_000, " " * 200_000, "1" * 200_000, "a-" * 100_000, "a:" * 100_000])
+def test_long_odd_texts_take_no_time(spark, text):
+    start = time.perf_counter()
+    on(spark, text, T.preprocess)
+    assert time.perf_counter() - start < 20
+
+
 def test_tokens(spark):
     assert on(spark, "12345 678", T.preprocess) == ["12345", "678"]
     assert on(spark, "a 5 b", T.preprocess) == []
