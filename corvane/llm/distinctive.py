@@ -13,7 +13,7 @@ from corvane.plans.spread import spread
 CONTEXT_EXPONENT = 0.75
 
 #: A term: a whole run of a-z and 0-9, three or more long, with a letter.
-TERM_PATTERN = r"(?=[0-9]*[a-z])[a-z0-9]{3,}"
+TERM_PATTERN = r"(?<![a-z0-9])(?=[0-9]*+[a-z])[a-z0-9]{3,}"
 
 
 def terms_of(*texts: Column) -> Column:

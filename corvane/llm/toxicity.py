@@ -43,9 +43,9 @@ BAD_WEIGHT = 3.0
 #: Signs written in place of letters.
 _STAND_INS = str.maketrans({"@": "a", "$": "s", "€": "e", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "|": "i"})
 _MARKS = re.compile("[̀-ͯ]")
-_SENTENCE = re.compile(r"(?<=[.!?:;])[ \t]+|\s*\n\s*")
+_SENTENCE = re.compile(r"(?<=[.!?:;])[ \t]+|\n+")
 _SPACED = re.compile(r"(?<![a-z])[a-z]([ ._*/-])[a-z](?:\1[a-z])+(?![a-z])")
-_DISGUISED = re.compile(r"[a-z@$€0-9|]*(?:[a-z][@$€0-9|!]|[@$€|][a-z])[a-z@$€0-9|!]*")
+_DISGUISED = re.compile(r"(?<![a-z@$€0-9|!])[a-z@$€0-9|]*(?:[a-z][@$€0-9|!]|[@$€|][a-z])[a-z@$€0-9|!]*")
 _STRETCHED = re.compile(r"([a-z])\1{2,}")
 _SEP = re.compile(r"[ ._*/-]")
 _ROW = "\x01"

@@ -1,6 +1,7 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -16,7 +17,7 @@ from corvane.llm import canonical, distinctive, mixing, neardup, neighbors, pack
 
 
 def test_distinctive_edges(spark):
-    rows = [(1, "aaa bbb aaa", None), (2, None, None), (3, "", "aaa"), (None, "ccc", "12 345 a1 ab1"), (1, "aaa", "x"), (4, "zzz " * 30_000, "")]
+    rows = [(1, "aaa bbb aaa", None), (2, None, None), (3, "", "aaa"), (None, "ccc", "12 345 a1 ab1"), (1, "aaa", "x"), (4, "zzz " * 30_000 + "1" * 200_000, "")]
     t = spark.createDataFrame([(*r, "clash", 1) for r in rows], "row_id bigint, title string, abstract string, term string, tf int")
     got = {(r["record"], r["term"]): r for r in distinctive.distinctive_terms(t, key="row_id", texts=["title", "abstract"]).collect()}
     assert set(got) == {(1, "aaa"), (1, "bbb"), (3, "aaa"), (None, "ccc"), (None, "ab1"), (4, "zzz")}
@@ -397,6 +398,13 @@ def test_score_edges(spark, model):
     assert toxicity.score(t.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a" * 300_000, " " * 300_000, "a " * 150_000, "a1" * 150_000, "!" * 300_000, "1" * 300_000])
+def test_long_odd_texts_take_no_time(model, text):
+    start = time.perf_counter()
+    model.rows(pa.array([text, text + "\n" + text]))
+    assert time.perf_counter() - start < 20
+
+
 def test_without_verdicts(spark):
     docs = spark.createDataFrame([(1, "You idiot.")], "doc_id bigint, text string")
     reviews = spark.createDataFrame([(1, None), (None, "clean"), (1, "odd")], "doc_id bigint, category string")
