@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from corvane.plans.ship import ship
+
 
 def session(name: str = "corvane", *, cores: int | str = "*", shuffle_partitions: int | None = None, memory: str = "4g") -> SparkSession:
     """A local session. On a cluster use the one that exists; nothing here is required."""
@@ -13,4 +15,5 @@ def session(name: str = "corvane", *, cores: int | str = "*", shuffle_partitions
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     return s
