@@ -151,11 +151,15 @@ def unit_vectors(index: DataFrame, *, key: str, vector: str, width: int) -> Data
     return spread(index, key).filter(F.col(key).isNotNull() & v.isNotNull()).filter(usable).select(F.col(key).cast("bigint").alias("id"), v.cast("array<float>").alias("v")).mapInArrow(pack, "id bigint, unit binary")
 
 
-def _draw(df: DataFrame, rows: int, total: int, salt: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """About ``rows`` rows picked by a hash of the id, brought to the driver: its size doesn't grow with the table."""
+def _picked(df: DataFrame, rows: int, total: int, salt: int) -> DataFrame:
+    """About ``rows`` rows picked by a hash of the id."""
     span = 1 << 30
-    picked = df.filter(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(span)) < int(span * min(1.0, rows / max(1, total))))
-    t = picked.select("id", "unit").toArrow()
+    return df.filter(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(span)) < int(span * min(1.0, rows / max(1, total))))
+
+
+def _draw(df: DataFrame, rows: int, total: int, salt: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Picked rows brought to the driver: their number doesn't grow with the table."""
+    t = _picked(df, rows, total, salt).select("id", "unit").toArrow()
     ids = t.column("id").to_numpy()
     order = np.argsort(ids)
     return ids[order], _matrix(t.column("unit"), width)[order] if len(ids) else np.zeros((0, width), np.float32)
@@ -194,8 +198,9 @@ def _compare(q: np.ndarray, q_id: np.ndarray, m: np.ndarray, m_id: np.ndarray, k
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
-def _exact_scan(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, floor: float | None, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """True neighbours of a bounded set of queries: (query place, neighbour's vector)."""
+def _exact_scan(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, floor: float | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """True neighbours of a bounded set of queries: (query place, neighbour's vector, its id)."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -205,8 +210,8 @@ def _exact_scan(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, floor:
 
     near = rows.select("id", "unit").mapInArrow(scan, "q bigint, id bigint, sim double, unit binary")
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
-    t = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("q", "unit").toArrow()  # at most k rows a query
-    return t.column("q").to_numpy(), _matrix(t.column("unit"), width) if t.num_rows else np.zeros((0, width), np.float32)
+    t = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("q", "unit", "id").toArrow()  # at most k rows a query
+    return t.column("q").to_numpy(), _matrix(t.column("unit"), width) if t.num_rows else np.zeros((0, width), np.float32), t.column("id").to_numpy()
 
 
 @dataclass
@@ -222,7 +227,7 @@ class Index:
 
 def _calibrate(tree: Tree, ids: np.ndarray, q: np.ndarray, rows: DataFrame, k: int, floor: float | None, wanted: float, width: int) -> tuple[int, float]:
     """Fewest leaf visits that reach the wanted recall on the calibration queries."""
-    at, near = _exact_scan(rows, ids, q, k, floor, width)
+    at, near, _ = _exact_scan(rows, ids, q, k, floor, width)
     if not len(at):
         return 1, 1.0
     home = np.concatenate([visit_order(tree, near[i : i + _BATCH], 1)[:, 0] for i in range(0, len(near), _BATCH)])
@@ -357,6 +362,23 @@ def search(index: Index, placed: DataFrame, queries: DataFrame, *, width: int, k
     return near.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
 
 
+def measured_recall(index: Index, placed: DataFrame, *, width: int, k: int, floor: float | None = None, queries: int = 500) -> DataFrame:
+    """One row: ``rows``, ``leaves``, ``visits``, ``calibrated``, ``queries``, ``recall``.
+
+    About ``queries`` rows that took no part in the calibration are searched and
+    scanned against all rows; recall is the share of their true neighbours found.
+    """
+    total = int(index.leaf_rows.sum())
+    asked = _picked(placed, queries, total, 3).select("id", "unit")
+    ids, q = _draw(placed, queries, total, 3, width)
+    at, _, true = _exact_scan(placed, ids, q, k, floor, width)
+    got = search(index, placed, asked, width=width, k=k, floor=floor).select("query", "id").toArrow()  # k rows a query
+    found = set(zip(got.column("query").to_pylist(), got.column("id").to_pylist(), strict=True))
+    hit = sum((int(ids[i]), int(j)) in found for i, j in zip(at, true, strict=True))
+    row = (total, index.tree.leaves, index.visits, index.recall, len(ids), hit / len(at) if len(at) else 1.0)
+    return placed.sparkSession.createDataFrame([row], "rows bigint, leaves int, visits int, calibrated double, queries int, recall double")
+
+
 @dataclass
 class Classes:
     """Equal vectors as one: members of each class and one packed vector per class."""

@@ -56,6 +56,28 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_values(_t(spark, d, "sample_corpus"), key="row_id", fields=["abstract", "trial_id"]).select("text_field", "row_id", "canonical")
 
 
+def _sql_canonical(x: str) -> str:
+    """The visible differences of these tables in SQL: one character list against another, then composed."""
+    plain = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {chr(c): " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 9)}
+    plain |= {chr(c): "-" for c in canonical.HYPHENS} | {"\u00b5": "\u03bc"} | canonical.LOOK_ALIKES
+    out = f"regexp_replace({x}, '[\u00ad\u034f\u061c\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]', '', 'g')"
+    for sign, letters in {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\u2160": "I", "\u2161": "II", "\u2162": "III", "\u2163": "IV", "\u2164": "V"}.items():
+        out = f"replace({out}, '{sign}', '{letters}')"
+    old, new = ("".join(p).replace("'", "''") for p in zip(*plain.items(), strict=True))
+    return f"trim(nfc_normalize(translate({out}, '{old}', '{new}')), e' \\n\\r')"
+
+
+SQL_P2_FOUND = f"""
+WITH v AS (SELECT 'abstract' AS text_field, row_id, abstract AS stored FROM sample_corpus WHERE abstract IS NOT NULL UNION ALL SELECT 'trial_id', row_id, trial_id FROM sample_corpus WHERE trial_id IS NOT NULL),
+c AS (SELECT *, {_sql_canonical('stored')} AS c FROM v)
+SELECT a.text_field, a.row_id AS row_id_a, b.row_id AS row_id_b FROM c a JOIN c b ON a.text_field = b.text_field AND a.c = b.c AND a.row_id < b.row_id AND a.stored <> b.stored"""
+
+
+SQL_P2_CANONICAL = f"""
+SELECT 'abstract' AS text_field, row_id, {_sql_canonical('abstract')} AS canonical FROM sample_corpus WHERE abstract IS NOT NULL
+UNION ALL SELECT 'trial_id', row_id, {_sql_canonical('trial_id')} FROM sample_corpus WHERE trial_id IS NOT NULL"""
+
+
 # 4. Frequency of every distinct value or term
 
 
@@ -140,6 +162,23 @@ def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d, queries=asked).select(F.col("id").alias("vec_id"), "neighbor", F.round("similarity", 6).alias("similarity"))
 
 
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Leaf visits and recall of the index behind p5_neighbors, on queries that weren't calibrated on."""
+    units = materialize(neighbors.unit_vectors(_t(spark, d, "document_index"), key="vec_id", vector="vectors", width=VECTOR_WIDTH), "units")
+    reps = materialize(neighbors.equal_vector_classes(units).reps, "reps")
+    index, placed = neighbors.build_index(reps, width=VECTOR_WIDTH, k=NEIGHBORS)
+    return neighbors.measured_recall(index, placed, width=VECTOR_WIDTH, k=NEIGHBORS)
+
+
+# every pair is compared: fit for the small tables this is checked on
+SQL_P5_FOUND = """
+WITH v AS (SELECT vec_id, CAST(vectors AS DOUBLE[]) AS v FROM document_index WHERE len(vectors) = 64 AND len(list_filter(vectors, lambda x: x IS NULL OR isnan(x))) = 0),
+u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v WHERE list_dot_product(v, v) > 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / a.n / b.n AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS r FROM s)
+SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE r <= 5 AND s >= 0.9"""
+
+
 # 6. Near-duplicate records with small edits
 
 
@@ -157,6 +196,26 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return _near_duplicates(spark, d).groups().withColumnRenamed("id", "row_id")
 
 
+SQL_P6_FOUND = """
+WITH w AS (SELECT row_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || abstract), '[a-z0-9]+') AS w FROM sample_corpus WHERE abstract IS NOT NULL),
+t AS (SELECT DISTINCT row_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM w, unnest(range(1, len(w) - 1)) u(i) WHERE len(w) >= 20),
+n AS (SELECT row_id, count(*) AS n FROM t GROUP BY row_id),
+both_ AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.row_id < b.row_id GROUP BY ALL)
+SELECT a AS row_id_a, b AS row_id_b FROM both_ JOIN n x ON x.row_id = a JOIN n y ON y.row_id = b WHERE 2 * c >= x.n + y.n - c"""
+
+
+SQL_P6_GROUPS = """
+WITH RECURSIVE w AS (SELECT row_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || abstract), '[a-z0-9]+') AS w FROM sample_corpus WHERE abstract IS NOT NULL),
+cls AS (SELECT row_id, w, min(row_id) OVER (PARTITION BY array_to_string(w, ' ')) AS class_id FROM w WHERE len(w) >= 20),
+t AS (SELECT DISTINCT row_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM cls, unnest(range(1, len(w) - 1)) u(i) WHERE row_id = class_id),
+n AS (SELECT row_id, count(*) AS n FROM t GROUP BY row_id),
+both_ AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.row_id <> b.row_id GROUP BY ALL),
+link AS (SELECT a, b FROM both_ JOIN n x ON x.row_id = a JOIN n y ON y.row_id = b WHERE 2 * c >= x.n + y.n - c),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT row_id, class_id, coalesce(least(class_id, g), class_id) AS group_id, coalesce(k, 0) AS links FROM cls
+LEFT JOIN (SELECT a, min(b) AS g FROM reach GROUP BY a) r ON r.a = class_id LEFT JOIN (SELECT a, count(*) AS k FROM link GROUP BY a) l ON l.a = class_id"""
+
+
 # 7. Filling fixed-capacity containers with items
 
 
@@ -211,6 +270,6 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_canonical": p2_canonical, "p4_found": p4_found, "p4_counts": p4_counts, "p4_incremental": p4_incremental, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_found": p6_found, "p6_groups": p6_groups, "p7_packed": p7_packed, "p7_usage": p7_usage, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
+    "p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_canonical": p2_canonical, "p4_found": p4_found, "p4_counts": p4_counts, "p4_incremental": p4_incremental, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p5_recall": p5_recall, "p6_found": p6_found, "p6_groups": p6_groups, "p7_packed": p7_packed, "p7_usage": p7_usage, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
-SQL = {"p1_found": SQL_P1_FOUND, "p1_scores": SQL_P1_SCORES, "p4_found": SQL_P4_FOUND, "p4_counts": SQL_P4_COUNTS, "p4_incremental": SQL_P4_INCREMENTAL}
+SQL = {"p1_found": SQL_P1_FOUND, "p1_scores": SQL_P1_SCORES, "p2_found": SQL_P2_FOUND, "p2_canonical": SQL_P2_CANONICAL, "p5_found": SQL_P5_FOUND, "p6_found": SQL_P6_FOUND, "p6_groups": SQL_P6_GROUPS, "p4_found": SQL_P4_FOUND, "p4_counts": SQL_P4_COUNTS, "p4_incremental": SQL_P4_INCREMENTAL}
