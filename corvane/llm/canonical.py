@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from corvane.plans.batches import text_slices
 from corvane.plans.materialize import materialize
 from corvane.plans.spread import spread
 
@@ -213,7 +214,7 @@ def canonical_array(array: pa.Array) -> pa.Array:
 
 @F.arrow_udf(StringType())
 def _canonical(values: pa.Array) -> pa.Array:
-    return canonical_array(values)
+    return pa.concat_arrays([canonical_array(values.slice(lo, n)) for lo, n in text_slices(values)]) if len(values) else values
 
 
 def canonical(text: Column) -> Column:

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.plans.batches import text_slices
 from corvane.plans.materialize import materialize
 from corvane.plans.spread import spread
 
@@ -47,11 +47,6 @@ def error_budget(threshold: float, bits: int = BITS, z: float = 3.9) -> int:
     return int(np.ceil(bits * p + z * np.sqrt(bits * p * (1 - p))))
 
 
-def words(text: Column) -> Column:
-    """Runs of a-z and 0-9 of the lower-cased text, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -59,15 +54,63 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(lists: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 64-bit shingle hashes of each word list, sorted within the row, and the rows' bounds."""
-    flat = lists.flatten().dictionary_encode()
-    vocabulary = np.fromiter((xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))
-    word = vocabulary[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
-    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    count = np.maximum(np.diff(offsets) - size + 1, 0)
+#: A random number for every byte value.
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _positional(values: np.ndarray, starts: np.ndarray, place: np.ndarray, factor: int) -> np.ndarray:
+    """Sum of values x factor ^ place for each run that begins at ``starts``, modulo 2 ^ 64."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.full(int(place.max()) + 1, factor, np.uint64))
+        return np.add.reduceat(values * power[place], starts)
+
+
+def _places(length: int, starts: np.ndarray) -> np.ndarray:
+    """Distance of each position from the last start before it."""
+    begin = np.concatenate([[0], starts])
+    return np.arange(length) - np.repeat(begin, np.diff(np.concatenate([begin, [length]])))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the runs of a-z and 0-9 of lower-cased texts, and the rows' bounds.
+
+    Works on the bytes of the whole batch; a null text has no words.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if texts.buffers()[2] is not None else np.empty(0, np.uint8)
+    inside = ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
+    opens = inside & ~np.concatenate([[False], inside[:-1]]) if len(data) else inside
+    row_starts = (ends[:-1] - ends[0])[ends[:-1] < ends[1:]]
+    opens[row_starts] = inside[row_starts]
+    starts = np.flatnonzero(opens)
+    bounds = np.concatenate([[0], np.cumsum(opens)])[ends - ends[0]]
+    code = _positional(np.where(inside, _BYTE[data], np.uint64(0)), starts, _places(len(data), starts), 0xD6E8FEB86659FD93)
+    return _mix(code), bounds.astype(np.int64)
+
+
+def _digests(texts: pa.Array, least: int) -> tuple[np.ndarray, pa.Array]:
+    """Which rows have ``least`` words, and 16 bytes that stand for the word sequence of each of these."""
+    code, bounds = word_hashes(texts)
+    enough = np.diff(bounds) >= least
+    some = bounds[:-1][bounds[:-1] < bounds[1:]]
+    place = _places(len(code), some)
+    both = np.zeros((len(bounds) - 1, 2), np.uint64)
+    filled = np.diff(bounds) > 0
+    both[filled, 0] = _mix(_positional(code, some, place, 0xA0761D6478BD642F))
+    both[filled, 1] = _mix(_positional(_mix(code), some, place, 0xE7037ED1A0B428DB))
+    both = both[enough]
+    ends = np.arange(len(both) + 1, dtype=np.int32) * 16
+    return enough, pa.Array.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(both.tobytes())])
+
+
+def shingle_hashes(word: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit hashes of ``size`` words in a row, sorted within each text, and the rows' bounds."""
+    count = np.maximum(np.diff(bounds) - size + 1, 0)
     row = np.repeat(np.arange(len(count)), count)
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + offsets[:-1][row]
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + bounds[:-1][row]
     code = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(size):
@@ -91,13 +134,19 @@ def minhashes(code: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _sketches(size: int, tables: int):
+def _sketches(size: int, tables: int, least: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                lists = part.column(1)
-                code, bounds = shingle_hashes(lists, size)
+            for lo, n in text_slices(b.column(1), limit=1 << 20):
+                part = b.slice(lo, n)
+                word, bounds = word_hashes(part.column(1))
+                enough = pa.array(np.diff(bounds) >= least)
+                if enough.false_count:
+                    part = part.filter(enough)
+                    word, bounds = word_hashes(part.column(1))
+                if not part.num_rows:
+                    continue
+                code, bounds = shingle_hashes(word, bounds, size)
                 low = minhashes(code, bounds, BITS)
                 mixed = _mix(low.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
                 bits = np.packbits((mixed & np.uint64(1)).astype(np.uint8), axis=1)
@@ -268,7 +317,7 @@ class NearDuplicates:
     ``shingle`` consecutive words. Records with a null text or fewer than
     ``least_words`` words take no part, nor do rows with a null key. Records
     with the same words in the same order are one class, named after its
-    smallest id; only class names are sketched and joined, so a text that a
+    smallest id and known by 128-bit digests; only class names are sketched and joined, so a text that a
     third of all rows repeat costs one sketch. Candidates of the trie join are
     checked exactly on the shingle sets. Ids are taken as unique; an empty
     table gives empty results.
@@ -277,16 +326,23 @@ class NearDuplicates:
     def __init__(self, table: DataFrame, *, key: str, text: Column, shingle: int = 5, threshold: float = 0.8, least_words: int = 1):
         self.threshold = threshold
         least = max(least_words, shingle)
-        source = spread(table, key).filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), words(text).alias("w"))
-        source = source.filter(F.col("w").isNotNull() & (F.size("w") >= least))
-        digest = F.unhex(F.md5(F.concat_ws(" ", "w")))
-        keyed = materialize(source.select("id", digest.alias("h")), "digests")
+        source = spread(table, key).filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.lower(text).alias("t")).filter(F.col("t").isNotNull())
+
+        def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo, n in text_slices(b.column(1)):
+                    part = b.slice(lo, n)
+                    enough, h = _digests(part.column(1), least)
+                    yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(enough)), h], ["id", "h"])
+
+        keyed = materialize(source.mapInArrow(digest, "id bigint, h binary"), "digests")
         per = keyed.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
         self.members = materialize(keyed.join(per, "h").select("rep", "id", "size"), "members")
-        first = self.members.filter(F.col("rep") == F.col("id")).select("id")
-        reps = source.join(first, "id", "left_semi").select("id", "w")
+        # where copies are few, their ids are a small table and the texts needn't be shuffled to leave them out
+        copies = materialize(self.members.filter(F.col("rep") != F.col("id")).select("id"), "copies")
         tables = tables_for(threshold)
-        self.sketches = materialize(reps.mapInArrow(_sketches(shingle, tables), "rep bigint, fp binary, keys array<bigint>, shingles array<bigint>"), "sketches")
+        sketch = _sketches(shingle, tables, least)
+        self.sketches = materialize(source.join(copies, "id", "left_anti").mapInArrow(sketch, "rep bigint, fp binary, keys array<bigint>, shingles array<bigint>"), "sketches")
         self.budget = error_budget(threshold)
         self._links: DataFrame | None = None
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.canonical import canonical_array
+from corvane.plans.batches import text_slices
 from corvane.plans.spread import spread
 
 #: The classes, first the one that isn't found.
@@ -320,12 +321,8 @@ def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str
         for b in batches:
             texts = b.column(b.num_columns - 1)
             out = np.zeros((b.num_rows, len(CLASSES)))
-            size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            step, lo = np.cumsum(size) // (1 << 22), 0
-            for hi in [*(np.flatnonzero(np.diff(step)) + 1), b.num_rows]:  # about 4 MB of text at once
-                if hi > lo:
-                    out[lo:hi] = m.rows(texts.slice(lo, hi - lo))
-                lo = hi
+            for lo, n in text_slices(texts):
+                out[lo : lo + n] = m.rows(texts.slice(lo, n))
             flagged = out[:, 0] >= m.threshold
             category = np.where(flagged, np.array(CLASSES, object)[1 + out[:, 1:].argmax(1)], None)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out[:, 0]), pa.array(category, pa.string()), pa.array(flagged)], [*b.schema.names[:-1], "score", "category", "flagged"])
