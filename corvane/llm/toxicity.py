@@ -26,7 +26,7 @@ from corvane.plans.spread import spread
 #: The classes, first the one that isn't found.
 CLASSES = ["clean", "abusive", "hateful", "sexual"]
 #: Labelled documents (about) of each class the model is fitted on, picked by a hash of the id.
-LABELLED_PER_CLASS = 2500
+LABELLED_PER_CLASS = 1500
 BUCKETS, DIMS = 1 << 17, 16
 NGRAMS = (3, 4, 5)
 #: Passes of the first and the second fit.
@@ -35,7 +35,7 @@ RATE, BATCH = 0.2, 128
 #: A feature marks bad texts if it is so many times as frequent in them as in clean ones.
 LIFT = 4
 #: Probability from which a text is flagged.
-THRESHOLD = 0.35
+THRESHOLD = 0.25
 #: Share of such features from which a sentence stands out however many verdicts there are.
 MARKED = 0.15
 #: Weight of a bad sentence against a clean one.
@@ -82,28 +82,30 @@ def _scramble(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+def _bucket(x: np.ndarray) -> np.ndarray:
+    return (_scramble(x) % np.uint64(BUCKETS)).astype(np.int32)
+
+
 def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sentence of each feature, bucket of each feature, row of each sentence)."""
     row_end, line_end = data == 1, (data == 1) | (data == 10)
-    sentence = np.cumsum(line_end) - line_end
+    sentence = (np.cumsum(line_end) - line_end).astype(np.int32)
     row_of = (np.cumsum(row_end) - row_end)[line_end]
     inside = ((data >= 97) & (data <= 122)) | (data == 42)
     code = np.where(inside, data, 0).astype(np.uint64)
     where, bucket = [], []
     with np.errstate(over="ignore"):
-        for n in NGRAMS:
-            if len(code) < n:
-                continue
+        rolled, ok = code, np.ones(len(code), bool)
+        for n in range(2, max(NGRAMS) + 1):  # the hash of n signs follows from that of n - 1
             size = len(code) - n + 1
-            ok = np.ones(size, bool)
-            for i in range(1, n - 1):
-                ok &= inside[i : i + size]
-            at = np.flatnonzero(ok)
-            h = np.full(len(at), n, np.uint64)
-            for i in range(n):
-                h = h * np.uint64(131) + code[at + i]
-            where.append(sentence[at + 1])
-            bucket.append(_scramble(h))
+            if size < 1:
+                break
+            rolled = rolled[:size] * np.uint64(131) + code[n - 1 :]
+            ok = ok[:size] & inside[n - 2 : n - 2 + size] if n > 2 else ok[:size]
+            if n in NGRAMS:
+                at = np.flatnonzero(ok)
+                where.append(sentence[at + 1])
+                bucket.append(_bucket(rolled[at] + np.uint64(n << 56)))
         starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
         if len(starts):
             place = np.arange(len(data)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
@@ -111,13 +113,13 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             word = np.add.reduceat(np.where(inside, (code + np.uint64(1)) * weight[np.minimum(place, 63)], np.uint64(0)), starts)
             at = sentence[starts]
             where.append(at)
-            bucket.append(_scramble(word))
+            bucket.append(_bucket(word))
             pair = at[1:] == at[:-1]
             where.append(at[1:][pair])
-            bucket.append(_scramble(word[:-1][pair] * np.uint64(0x9E3779B97F4A7C15) + word[1:][pair]))
+            bucket.append(_bucket(word[:-1][pair] * np.uint64(0x9E3779B97F4A7C15) + word[1:][pair]))
     if not where:
-        return np.zeros(0, int), np.zeros(0, np.int64), row_of
-    return np.concatenate(where), (np.concatenate(bucket) % np.uint64(BUCKETS)).astype(np.int64), row_of
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), row_of
+    return np.concatenate(where), np.concatenate(bucket), row_of
 
 
 @dataclass
