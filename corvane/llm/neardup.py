@@ -41,8 +41,8 @@ def tables_for(threshold: float, miss: float = 3e-4, key_hashes: int = KEY_HASHE
     return min(max(1, n), BITS // key_hashes)
 
 
-def error_budget(threshold: float, bits: int = BITS, z: float = 3.9) -> int:
-    """Differing bits that a pair at the threshold exceeds with a probability of about 5e-5 at z = 3.9."""
+def error_budget(threshold: float, bits: int = BITS, z: float = 4.4) -> int:
+    """Differing bits that a pair at the threshold exceeds with a probability of about 5e-6 at z = 4.4."""
     p = (1 - threshold) / 2
     return int(np.ceil(bits * p + z * np.sqrt(bits * p * (1 - p))))
 
@@ -126,11 +126,12 @@ def minhashes(code: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     """``n`` minhashes of each row; rows must not be empty."""
     rng = np.random.default_rng(11)
     mult = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+    flip = rng.integers(0, 1 << 63, n, np.uint64)
     out = np.empty((len(bounds) - 1, n), np.uint32)
     base = _mix(code)
     with np.errstate(over="ignore"):
         for i in range(n):
-            out[:, i] = np.minimum.reduceat((base * mult[i] >> np.uint64(32)).astype(np.uint32), bounds[:-1])
+            out[:, i] = np.minimum.reduceat(((base ^ flip[i]) * mult[i] >> np.uint64(32)).astype(np.uint32), bounds[:-1])
     return out
 
 
