@@ -22,7 +22,7 @@ from corvane.plans.spread import spread
 #: Rows (about) the tree is fitted on, drawn by a hash of the id.
 FIT_ROWS = 32768
 #: Queries (about) the number of leaf visits is calibrated on.
-CALIBRATION_ROWS = 1024
+CALIBRATION_ROWS = 2048
 #: Rows (about) of a leaf, of all indexed rows; the sample keeps at least 12 a leaf.
 LEAF_ROWS = 512
 #: Children of an inner node.
