@@ -23,6 +23,8 @@ from corvane.plans.spread import spread
 FIT_ROWS = 32768
 #: Queries (about) the number of leaf visits is calibrated on.
 CALIBRATION_ROWS = 2048
+#: True neighbours, at least, that the visits are fitted on.
+LEAST_TARGETS = 1000
 #: Rows (about) of a leaf, of all indexed rows; the sample keeps at least 12 a leaf.
 LEAF_ROWS = 512
 #: Children of an inner node.
@@ -198,8 +200,8 @@ def _compare(q: np.ndarray, q_id: np.ndarray, m: np.ndarray, m_id: np.ndarray, k
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
-def _exact_scan(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, floor: float | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """True neighbours of a bounded set of queries: (query place, neighbour's vector, its id)."""
+def _exact_scan(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, floor: float | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """True neighbours of a bounded set of queries: (query place, neighbour's vector, its id, similarity)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,8 +212,8 @@ def _exact_scan(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, floor:
 
     near = rows.select("id", "unit").mapInArrow(scan, "q bigint, id bigint, sim double, unit binary")
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
-    t = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("q", "unit", "id").toArrow()  # at most k rows a query
-    return t.column("q").to_numpy(), _matrix(t.column("unit"), width) if t.num_rows else np.zeros((0, width), np.float32), t.column("id").to_numpy()
+    t = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("q", "unit", "id", "sim").toArrow()  # at most k rows a query
+    return t.column("q").to_numpy(), _matrix(t.column("unit"), width) if t.num_rows else np.zeros((0, width), np.float32), t.column("id").to_numpy(), t.column("sim").to_numpy()
 
 
 @dataclass
@@ -226,10 +228,20 @@ class Index:
 
 
 def _calibrate(tree: Tree, ids: np.ndarray, q: np.ndarray, rows: DataFrame, k: int, floor: float | None, wanted: float, width: int) -> tuple[int, float]:
-    """Fewest leaf visits that reach the wanted recall on the calibration queries."""
-    at, near, _ = _exact_scan(rows, ids, q, k, floor, width)
+    """Fewest leaf visits that reach the wanted recall on the calibration queries.
+
+    Where fewer than ``LEAST_TARGETS`` of their neighbours reach the floor, the
+    most similar ones below it make up the number: they lie farther off, so the
+    visits come out rather too many than too few. Without any neighbour to go
+    by, all leaves are visited.
+    """
+    at, near, _, _ = _exact_scan(rows, ids, q, k, floor, width)
+    if floor is not None and len(at) < LEAST_TARGETS:
+        at, near, _, sim = _exact_scan(rows, ids, q, k, None, width)
+        nearest = np.argsort(-sim, kind="stable")[:LEAST_TARGETS]
+        at, near = at[nearest], near[nearest]
     if not len(at):
-        return 1, 1.0
+        return tree.leaves, 1.0
     home = np.concatenate([visit_order(tree, near[i : i + _BATCH], 1)[:, 0] for i in range(0, len(near), _BATCH)])
     order = visit_order(tree, q, tree.leaves)
     place = np.empty_like(order)
@@ -366,16 +378,16 @@ def measured_recall(index: Index, placed: DataFrame, *, width: int, k: int, floo
     """One row: ``rows``, ``leaves``, ``visits``, ``calibrated``, ``queries``, ``recall``.
 
     About ``queries`` rows that took no part in the calibration are searched and
-    scanned against all rows; recall is the share of their true neighbours found.
+    scanned against all rows; recall is the share of their true neighbours found, null if there are none.
     """
     total = int(index.leaf_rows.sum())
     asked = _picked(placed, queries, total, 3).select("id", "unit")
     ids, q = _draw(placed, queries, total, 3, width)
-    at, _, true = _exact_scan(placed, ids, q, k, floor, width)
+    at, _, true, _ = _exact_scan(placed, ids, q, k, floor, width)
     got = search(index, placed, asked, width=width, k=k, floor=floor).select("query", "id").toArrow()  # k rows a query
     found = set(zip(got.column("query").to_pylist(), got.column("id").to_pylist(), strict=True))
     hit = sum((int(ids[i]), int(j)) in found for i, j in zip(at, true, strict=True))
-    row = (total, index.tree.leaves, index.visits, index.recall, len(ids), hit / len(at) if len(at) else 1.0)
+    row = (total, index.tree.leaves, index.visits, index.recall, len(ids), hit / len(at) if len(at) else None)
     return placed.sparkSession.createDataFrame([row], "rows bigint, leaves int, visits int, calibrated double, queries int, recall double")
 
 

@@ -180,6 +180,26 @@ def test_recall_on_hard_vectors(spark, monkeypatch):
     assert hit / (5 * len(best)) >= 0.9 and index.tree.leaves > 20
 
 
+def test_rare_pairs_split_over_leaves(spark, monkeypatch):
+    """Few of the calibration queries, or none, have a neighbour at the floor: no pair may be lost for that."""
+    monkeypatch.setattr(neighbors, "CALIBRATION_ROWS", 300)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 24))
+    x[:8] = x[8:16] + 0.3 * rng.normal(size=(8, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.triu(x @ x.T, 1)
+    want = {(int(a), int(b)) for a, b in np.argwhere(s >= 0.9)}
+    units = neighbors.unit_vectors(vecs(spark, [(i, v.tolist()) for i, v in enumerate(x)]), key="vec_id", vector="vectors", width=24)
+    index, placed = neighbors.build_index(units, width=24, k=5, floor=0.9, wanted_recall=1.0, leaf_rows=60)
+    near = neighbors.search(index, placed, units, width=24, k=5, floor=0.9).collect()
+    assert len(want) >= 5 and {tuple(sorted((r["query"], r["id"]))) for r in near} == want
+    none, placed = neighbors.build_index(units, width=24, k=5, floor=0.9999, wanted_recall=1.0, leaf_rows=60)
+    assert none.visits > 1
+    assert neighbors.measured_recall(none, placed, width=24, k=5, floor=0.9999).first()["recall"] is None
+    alone, _ = neighbors.build_index(units.filter("id = 20"), width=24, k=5, floor=0.9)
+    assert alone.visits == alone.tree.leaves
+
+
 # 6
 
 
