@@ -231,14 +231,18 @@ def component_removed(spark: SparkSession, d: str) -> DataFrame:
     return v.select("vec_id", F.transform(vectors.without_component(F.col("v"), u), lambda x: F.round(x, 4)).alias("v"))
 
 
+#: The training of production, side by side: one partition would leave all other cores idle.
+TRAINING = embed.TrainingParams(partitions=4)
+
+
 def skipgram_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Skip-gram vectors of the corpus vocabulary."""
-    return embed.skipgram(_tokens(spark, d), embed.TrainingParams(vector_size=32, epochs=1, partitions=4))
+    return embed.skipgram(_tokens(spark, d), TRAINING)
 
 
 def most_similar(spark: SparkSession, d: str) -> DataFrame:
     """The most similar words of every word of the judged queries."""
-    words = materialize(embed.skipgram(_tokens(spark, d), embed.TrainingParams(vector_size=32, epochs=1, partitions=4)), "words")
+    words = materialize(embed.skipgram(_tokens(spark, d), TRAINING), "words")
     return embed.most_similar(words, _t(spark, d, "eval_queries").select(F.explode(T.preprocess(F.col("query_text"))).alias("term")))
 
 
@@ -251,10 +255,9 @@ def candidate_sheet(spark: SparkSession, d: str) -> DataFrame:
 
 def subword_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of the query words, also of unseen ones, from subwords."""
-    params = embed.TrainingParams(vector_size=32, epochs=1, partitions=4)
-    words = materialize(embed.skipgram(_tokens(spark, d), params), "words")
+    words = materialize(embed.skipgram(_tokens(spark, d), TRAINING), "words")
     asked = _t(spark, d, "eval_queries").select(F.explode(T.preprocess(F.col("query_text"))).alias("term"))
-    return embed.infer(asked, words, embed.subword(words, params), params)
+    return embed.infer(asked, words, embed.subword(words, TRAINING), TRAINING)
 
 
 # Fusion, identifiers, negation

@@ -1,11 +1,16 @@
 """Metrics, bootstrap, labels, manifests, vectors and storage."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
+from corvane import queries
+from corvane.api import _params
+from corvane.config import Settings
 from corvane.operators import embed, evaluate, manifest, vectors
 from corvane.sources import corpus, store
 
@@ -189,3 +194,14 @@ def test_embeddings(spark):
         embed.subword(words, embed.TrainingParams(vector_size=300, buckets=10**6))
     with pytest.raises(ValueError):
         embed.TrainingParams(epochs=0)
+
+
+def test_registered_queries_train_in_full(spark, monkeypatch):
+    """The registered queries train as the settings do; only the number of partitions may differ."""
+    trained, real = [], embed.skipgram
+    monkeypatch.setattr(embed, "skipgram", lambda tokens, params=embed.TrainingParams(): trained.append(params) or real(tokens, params))
+    d = f"{oracle.ROOT}/sf0.001"
+    assert {len(r["v"]) for r in queries.skipgram_vectors(spark, d).collect()} == {100}
+    assert {len(r["v"]) for r in queries.subword_vectors(spark, d).collect()} == {100}
+    assert queries.most_similar(spark, d).count() > 0
+    assert [replace(p, partitions=1) for p in trained] == [_params(Settings())] * 3
