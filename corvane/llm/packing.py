@@ -111,14 +111,15 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
     stock, aside, out = _Stock(counts), {}, Plan(capacity)
     while stock.sizes:
         top = stock.sizes[-1]
-        with_it = _dominating(stock, top, capacity)
+        # an item set aside may share the container: the criteria only hold if even the smallest of them doesn't fit
+        with_it = None if aside and min(aside) + top <= capacity else _dominating(stock, top, capacity)
         if with_it is None:
             aside[top] = stock.left[top]
             stock.take(top, stock.left[top])
             continue
         group = (top, *with_it)
         times = min(stock.left[s] // group.count(s) for s in set(group))
-        # a set stays dominating while none of its sizes runs out, as no larger item appears
+        # a set stays dominating while none of its sizes runs out, as no other item appears
         for s in set(group):
             stock.take(s, times * group.count(s))
         out.patterns.append((times, sorted(group, reverse=True)))

@@ -323,6 +323,24 @@ def test_dominating_sets_keep_the_optimum(items, capacity):
         assert optimum(rest, capacity) + 1 == optimum(items, capacity)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9), st.integers(20, 30))
+def test_fixed_containers_keep_the_optimum(items, capacity):
+    """All containers that a whole plan fixes, also after items were set aside, stand in an optimal packing."""
+    made = packing.plan({s: items.count(s) for s in items}, capacity)
+    rest, fixed = list(items), 0
+    for n, content in made.patterns:
+        if fixed < made.fixed:
+            fixed += n
+            for s in content * n:
+                rest.remove(s)
+    assert fixed == made.fixed and (optimum(rest, capacity) if rest else 0) + fixed == optimum(items, capacity)
+
+
+def test_plan_after_items_were_set_aside():
+    assert packing.plan({4: 1, 1: 3}, 10).containers == 1
+
+
 def test_pack_edges(spark):
     sized = spark.createDataFrame([(1, 5, "c"), (2, 5, "c"), (3, 0, "c"), (4, 27, "c"), (None, 3, "c"), (5, None, "c"), (6, 10, "c")], "doc_id bigint, tokens bigint, container string")
     caps = spark.createDataFrame([(1, 10), (2, 1000), (3, 0), (4, None)], "capacity_id int, capacity_tokens int")
