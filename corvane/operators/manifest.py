@@ -5,49 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.errors import ConfigurationError, CorpusNotFoundError, CorvaneError, DataError, EmptyCorpusError, IndexBuildError, MismatchError, ModelError, NotTrainedError, ResourceError, SchemaError, StaleIndexError  # noqa: F401
 from corvane.functions.text import short_hash
 
 
-class CorvaneError(Exception):
-    """Base of all errors the engine raises on purpose."""
-
-
-class ConfigurationError(CorvaneError):
-    pass
-
-
-class DataError(CorvaneError):
-    pass
-
-
-class CorpusNotFoundError(DataError):
-    pass
-
-
-class SchemaError(DataError):
-    pass
-
-
-class EmptyCorpusError(DataError):
-    pass
-
-
-class ModelError(CorvaneError):
-    pass
-
-
-class NotTrainedError(ModelError):
-    pass
-
-
-class MismatchError(ModelError):
-    pass
-
-
-class StaleIndexError(MismatchError):
-    pass
-
-
 def file_fingerprint(spark, path: str) -> str:
     """First 16 hex digits of SHA-256 over the bytes of one file."""
     row = spark.read.format("binaryFile").load(path).select(F.substring(F.sha2("content", 256), 1, 16).alias("f")).first()

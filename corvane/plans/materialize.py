@@ -7,19 +7,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.errors import ConfigurationError
+
 _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local test session, one machine) a
-    temporary folder is made, once per application.
+    A checkpoint folder set on the context counts as well. Only a session whose
+    master is local, so that driver and executors are one machine, may do
+    without: it gets a temporary folder, once per application.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ConfigurationError("set spark.checkpoint.dir to a folder that all executors share")
+    app = sc.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="corvane-")
     return _LOCAL[app]
@@ -43,4 +49,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["_corvane_path"] = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table made by ``materialize`` that no later step reads; another table is left alone."""
+    path = table.__dict__.pop("_corvane_path", None)
+    if path is not None:
+        spark = table.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -11,15 +11,16 @@ HEAVY_KEYS = 512
 SPREAD = 64
 
 
-def join_dimension(facts: DataFrame, dims: DataFrame, key: str, weight: str, spread_by: list[str], heavy_keys: int = HEAVY_KEYS) -> DataFrame:
-    """Inner join of a large table with one row per string ``key`` of ``dims``.
+def join_dimension(facts: DataFrame, dims: DataFrame, key: str, weight: str, spread_by: list[str], heavy_keys: int = HEAVY_KEYS, how: str = "inner") -> DataFrame:
+    """Inner (or, with ``how="left"``, left outer) join of a large table with one row per string ``key`` of ``dims``.
 
     ``dims[weight]`` is the number of ``facts`` rows of the key. A key with more
     than 1/``heavy_keys`` of all rows is heavy, so there are fewer than
     ``heavy_keys`` of them whatever the data: these are broadcast, a proven
     bound, and their facts are spread over ``SPREAD`` parts instead of meeting
     in one task. All other keys go through an ordinary shuffled join.
-    Null keys match nothing.
+    Null keys match nothing. ``dims`` is read three times; let it be a written
+    table where it is costly to compute.
     """
     total = dims.agg(F.sum(weight).alias("__total"))
     heavy = dims.crossJoin(F.broadcast(total)).filter(F.col(weight) * F.lit(heavy_keys) > F.col("__total")).drop("__total")
@@ -33,4 +34,4 @@ def join_dimension(facts: DataFrame, dims: DataFrame, key: str, weight: str, spr
     both = one.join(cold, "__key", "left")
     found = F.coalesce(F.col("__hot"), F.col("__cold"))
     out: list[Column] = [F.col(c) for c in facts.columns] + [found[c].alias(c) for c in rest]
-    return both.filter(found.isNotNull()).select(*out)
+    return (both if how == "left" else both.filter(found.isNotNull())).select(*out)
