@@ -19,26 +19,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.plans.batches import text_slices
-from corvane.plans.materialize import materialize
+from corvane.plans.materialize import discard, materialize
+from corvane.plans.skew import join_dimension
 from corvane.plans.spread import spread
 
 #: Bits of a fingerprint, and minhashes of a record.
 BITS = 256
-#: Minhashes in a routing key.
-KEY_HASHES = 3
-#: Members (about) of a trie that one task joins; larger ones are split into blocks.
+#: Routing keys of a record up to which longer keys are preferred, as they send fewer unlike records together.
+FEW_KEYS = 85
+#: Members (about) of a trie that one task joins; larger ones are split into blocks, at any number of records.
 TRIE_ROWS = 4096
-#: Keys that may be called hot, the row bound of what is broadcast.
+#: Rows of hot keys that are broadcast, at most.
 HOT_KEYS = 20000
 #: Node pairs walked at once.
 FRONTIER = 1 << 20
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def tables_for(threshold: float, miss: float = 3e-4, key_hashes: int = KEY_HASHES) -> int:
-    """Routing keys a record needs, so that a pair at the threshold shares none with probability ``miss`` at most."""
-    n = int(np.ceil(np.log(miss) / np.log1p(-(threshold**key_hashes)))) if threshold < 1 else 1
-    return min(max(1, n), BITS // key_hashes)
+def tables_for(threshold: float, miss: float = 3e-4) -> tuple[int, int]:
+    """Routing keys of a record and minhashes of a key, so that a pair at the threshold shares no key with probability ``miss`` at most.
+
+    Keys of three minhashes as long as ``FEW_KEYS`` of them are enough, else of
+    two; below a threshold of about 0.3 as many keys of two as it takes.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must lie above 0 and be 1 at most")
+    need = lambda hashes: max(1, int(np.ceil(np.log(miss) / np.log1p(-(threshold**hashes))))) if threshold < 1 else 1
+    hashes = 3 if need(3) <= FEW_KEYS else 2
+    return need(hashes), hashes
 
 
 def error_budget(threshold: float, bits: int = BITS, z: float = 4.4) -> int:
@@ -135,7 +143,7 @@ def minhashes(code: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _sketches(size: int, tables: int, least: int):
+def _sketches(size: int, tables: int, key_hashes: int, least: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, n in text_slices(b.column(1), limit=1 << 20):
@@ -148,21 +156,21 @@ def _sketches(size: int, tables: int, least: int):
                 if not part.num_rows:
                     continue
                 code, bounds = shingle_hashes(word, bounds, size)
-                low = minhashes(code, bounds, BITS)
-                mixed = _mix(low.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+                low = minhashes(code, bounds, max(BITS, tables * key_hashes))
+                mixed = _mix(low[:, :BITS].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
                 bits = np.packbits((mixed & np.uint64(1)).astype(np.uint8), axis=1)
                 keys = np.empty((len(low), tables), np.uint64)
                 with np.errstate(over="ignore"):
                     for t in range(tables):
                         k = np.full(len(low), t + 1, np.uint64)
-                        for h in range(KEY_HASHES):
-                            k = _mix(k * np.uint64(0x9E3779B97F4A7C15) + low[:, t * KEY_HASHES + h])
+                        for h in range(key_hashes):
+                            k = _mix(k * np.uint64(0x9E3779B97F4A7C15) + low[:, t * key_hashes + h])
                         keys[:, t] = k
                 ends = np.arange(len(low) + 1, dtype=np.int32)
                 fp = pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer((ends * (BITS // 8)).tobytes()), pa.py_buffer(bits.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), fp, pa.ListArray.from_arrays(pa.array(ends * tables, pa.int32()), pa.array(keys.astype(np.int64).ravel())), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(code.view(np.int64)))],
-                    ["rep", "fp", "keys", "shingles"],
+                    [part.column(0), fp, pa.array(np.diff(bounds).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends * tables, pa.int32()), pa.array(keys.astype(np.int64).ravel())), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(code.view(np.int64)))],
+                    ["rep", "fp", "n", "keys", "shingles"],
                 )
 
     return sketch
@@ -240,8 +248,11 @@ def trie_join(codes: np.ndarray, group: np.ndarray, side: np.ndarray, budget: in
     return order[x[keep]], order[y[keep]]
 
 
-def _join_groups(budget: int):
-    """Rows sorted by trie: whole tries are gathered until there are enough for one vector step."""
+def _join_groups(budget: int, threshold: float):
+    """Rows sorted by trie: whole tries are gathered until there are enough for one vector step.
+
+    Of the pairs let through, those whose numbers of shingles alone rule the threshold out are left.
+    """
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(held)
@@ -252,8 +263,10 @@ def _join_groups(budget: int):
             return None
         rep = t.column("rep").to_numpy()[several]
         fp = np.frombuffer(b"".join(t.column("fp").filter(pa.array(several)).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+        size = t.column("n").to_numpy()[several]
         i, j = trie_join(fp, group[several], t.column("side").to_numpy()[several], budget)
-        a, b = rep[i], rep[j]
+        fit = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+        a, b = rep[i[fit]], rep[j[fit]]
         lo, hi = np.minimum(a, b), np.maximum(a, b)
         pairs = np.unique(np.stack([lo, hi], 1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -286,29 +299,45 @@ def _join_groups(budget: int):
     return run
 
 
-def candidate_pairs(sketches: DataFrame, *, budget: int) -> DataFrame:
+def _blocked(routed: DataFrame, counts: DataFrame) -> DataFrame:
+    """``routed`` with ``parts``, the number of blocks of its key's trie, 1 for all but hot keys.
+
+    A key held by more than ``TRIE_ROWS`` records is hot. Up to ``HOT_KEYS`` hot
+    keys are counted and broadcast. Where there are more, those with more than
+    1/``HOT_KEYS`` of all routed rows still are, fewer than ``HOT_KEYS`` by
+    construction; the rows of any other key fit into a task, so the rest is
+    joined by a shuffle.
+    """
+    hot = materialize(counts.filter(F.col("n") > TRIE_ROWS).select("key", "n", F.ceil(F.col("n") / TRIE_ROWS).cast("int").alias("parts")), "hot-keys")
+    if hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        both = routed.join(F.broadcast(hot.drop("n")), "key", "left")
+        return both.withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = counts.agg(F.sum("n")).first()[0]
+    top = hot.filter(F.col("n") * F.lit(HOT_KEYS) > F.lit(rows)).select("key", F.col("parts").alias("__top"))
+    rest = hot.join(F.broadcast(top), "key", "left_anti").select("key", F.col("parts").alias("__rest"))
+    both = routed.join(F.broadcast(top), "key", "left")
+    # a hot key at hand doesn't go through the shuffled join: its rows get keys of their own there
+    both = both.withColumn("__key", F.when(F.col("__top").isNull(), F.col("key")).otherwise(F.xxhash64("key", "rep")))
+    both = both.join(rest.select(F.col("key").alias("__key"), "__rest"), "__key", "left")
+    return both.withColumn("parts", F.coalesce("__top", "__rest", F.lit(1))).drop("__key", "__top", "__rest")
+
+
+def candidate_pairs(sketches: DataFrame, *, budget: int, threshold: float) -> DataFrame:
     """(``a``, ``b``), a < b: pairs that some trie join lets through, each once.
 
-    A key held by more than ``TRIE_ROWS`` records is hot. Fewer than ``HOT_KEYS``
-    keys can be, since the limit is raised with the number of routed rows; they
-    are broadcast. A hot trie is cut into blocks by a hash of the record, and
-    each two blocks, and each block with itself, are joined in a task of their
-    own, so no pair is lost and no task holds an unbounded trie.
+    A hot trie is cut into blocks of about ``TRIE_ROWS`` by a hash of the
+    record, and each two blocks, and each block with itself, are joined in a
+    task of their own, so no pair is lost and no task holds an unbounded trie.
     """
-    routed = sketches.select("rep", "fp", F.explode("keys").alias("key"))
     counts = sketches.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rows = sketches.select(F.sum(F.size("keys"))).first()[0] or 0
-    limit = max(TRIE_ROWS, rows // HOT_KEYS)
-    hot = counts.filter(F.col("n") > limit).select("key", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
-    routed = routed.join(F.broadcast(hot), "key", "left")
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    routed = routed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    block = F.least("own", "other") * parts + F.greatest("own", "other")
+    routed = _blocked(sketches.select("rep", "fp", "n", F.explode("keys").alias("key")), counts)
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    routed = routed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = F.least("own", "other").cast("bigint") * F.col("parts") + F.greatest("own", "other")
     side = F.when(F.col("own") > F.col("other"), 1).otherwise(0)
-    routed = routed.select("key", block.cast("int").alias("block"), side.cast("int").alias("side"), "rep", "fp")
+    routed = routed.select("key", block.alias("block"), side.cast("int").alias("side"), "rep", "fp", "n")
     placed = routed.repartition("key", "block").sortWithinPartitions("key", "block")
-    return placed.mapInArrow(_join_groups(budget), "a bigint, b bigint").distinct()
+    return placed.mapInArrow(_join_groups(budget, threshold), "a bigint, b bigint").distinct()
 
 
 class NearDuplicates:
@@ -338,19 +367,21 @@ class NearDuplicates:
 
         keyed = materialize(source.mapInArrow(digest, "id bigint, h binary"), "digests")
         per = keyed.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
-        self.members = materialize(keyed.join(per, "h").select("rep", "id", "size"), "members")
+        # only classes of several records are looked up; one that a third of all rows share is joined by broadcast
+        several = materialize(per.filter(F.col("size") > 1).withColumn("h", F.hex("h")), "classes")
+        named = join_dimension(keyed.select(F.hex("h").alias("h"), "id"), several, "h", "size", ["id"], how="left")
+        self.members = materialize(named.select(F.coalesce("rep", "id").alias("rep"), "id", F.coalesce("size", F.lit(1)).alias("size")), "members")
         # where copies are few, their ids are a small table and the texts needn't be shuffled to leave them out
         copies = materialize(self.members.filter(F.col("rep") != F.col("id")).select("id"), "copies")
-        tables = tables_for(threshold)
-        sketch = _sketches(shingle, tables, least)
-        self.sketches = materialize(source.join(copies, "id", "left_anti").mapInArrow(sketch, "rep bigint, fp binary, keys array<bigint>, shingles array<bigint>"), "sketches")
+        sketch = _sketches(shingle, *tables_for(threshold), least)
+        self.sketches = materialize(source.join(copies, "id", "left_anti").mapInArrow(sketch, "rep bigint, fp binary, n int, keys array<bigint>, shingles array<bigint>"), "sketches")
         self.budget = error_budget(threshold)
         self._links: DataFrame | None = None
 
     def links(self) -> DataFrame:
         """(``a``, ``b``, ``similarity``): pairs of classes, a < b."""
         if self._links is None:
-            pairs = materialize(candidate_pairs(self.sketches, budget=self.budget), "candidates")
+            pairs = materialize(candidate_pairs(self.sketches, budget=self.budget, threshold=self.threshold), "candidates")
             sets = self.sketches.select("rep", "shingles")
             met = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
             both = F.size(F.array_intersect("sa", "sb"))
@@ -402,6 +433,7 @@ def connected(links: DataFrame, rounds: int = 40) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
         step = materialize(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         same = step.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(step, ["u", "v"], "left_anti").isEmpty()
+        discard(edges)
         edges = step
         if same:
             break

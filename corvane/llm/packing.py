@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from corvane.plans.materialize import materialize
 
-#: Parts in which documents of one size are ranked side by side.
-RANK_PARTS = 64
+#: Documents (about) of one size that are ranked in one task, at most; as many parts as that takes, and at least so many.
+RANK_ROWS, RANK_PARTS = 250_000, 64
 
 
 class _Stock:
@@ -63,24 +63,25 @@ class Plan:
         return sum(n for n, _ in self.patterns)
 
 
-def _dominating(stock: _Stock, top: int, capacity: int) -> tuple[int, ...] | None:
-    """Partners of the largest item in a set that dominates all sets it could be in, or None.
+def _dominating(stock: _Stock, item: int, capacity: int) -> tuple[int, ...] | None:
+    """Partners of an ``item`` in a set that dominates all sets it could be in, or None.
 
-    A set dominates another if the items of the other can be spread over its
-    items, each part fitting; then some optimal packing contains it. With
-    ``room`` beside the largest item and ``k`` the largest item that fits:
-    nothing fits: the item alone. k fills the room: any other partners fit into
-    k. No two items fit together: any single partner fits into k. No three fit:
-    k dominates if the best two together are no larger than k; else k with the
-    largest second item beside it, if no pair has a larger lesser item.
+    ``stock`` holds everything not packed yet, larger items too. A set dominates
+    another if the items of the other can be spread over its items, each part
+    fitting; then some optimal packing contains it. With ``room`` beside the
+    item and ``k`` the largest other item that fits: nothing fits: the item
+    alone. k fills the room: any other partners fit into k. No two items fit
+    together: any single partner fits into k. No three fit: k dominates if the
+    best two together are no larger than k; else k with the largest second item
+    beside it, if no pair has a larger lesser item.
     """
-    room = capacity - top
-    k = stock.fits(room, (top,))
+    room = capacity - item
+    k = stock.fits(room, (item,))
     if not k:
         return ()
     if k == room:
         return (k,)
-    low = stock.smallest(3, (top,))
+    low = stock.smallest(3, (item,))
     if len(low) < 2 or low[0] + low[1] > room:
         return (k,)
     if len(low) == 3 and sum(low) <= room:
@@ -89,42 +90,45 @@ def _dominating(stock: _Stock, top: int, capacity: int) -> tuple[int, ...] | Non
     for s in stock.sizes:  # s is the lesser item of a pair
         if 2 * s > room:
             break
-        if stock.left[s] <= (top,).count(s):
+        if stock.left[s] <= (item,).count(s):
             continue
-        t = stock.fits(room - s, (top, s))
+        t = stock.fits(room - s, (item, s))
         if t >= s:
             best, lesser = max(best, s + t), s
     if best <= k:
         return (k,)
-    second = stock.fits(room - k, (top, k))
+    second = stock.fits(room - k, (item, k))
     return (k, second) if second and second >= lesser else None
 
 
-def plan(counts: dict[int, int], capacity: int) -> Plan:
-    """Pack a histogram of sizes, each from 1 to ``capacity``.
+def reduced(stock: _Stock, capacity: int) -> list[tuple[int, list[int]]]:
+    """Fix dominating sets, largest item first, until no item has one; what is left stays in ``stock``.
 
-    Dominating sets of the largest item are fixed again and again, shrinking
-    the instance; where none is provable, the item is set aside. What was set
-    aside is packed best fit, largest first. Work and result depend on the
-    number of distinct sizes, not of items.
+    An item without a provable set stays in the instance and may become a
+    partner of a smaller one. Each fixing shrinks the instance, which can make
+    further sets provable, so passes are repeated until one fixes nothing.
     """
-    stock, aside, out = _Stock(counts), {}, Plan(capacity)
-    while stock.sizes:
-        top = stock.sizes[-1]
-        # an item set aside may share the container: the criteria only hold if even the smallest of them doesn't fit
-        with_it = None if aside and min(aside) + top <= capacity else _dominating(stock, top, capacity)
-        if with_it is None:
-            aside[top] = stock.left[top]
-            stock.take(top, stock.left[top])
-            continue
-        group = (top, *with_it)
-        times = min(stock.left[s] // group.count(s) for s in set(group))
-        # a set stays dominating while none of its sizes runs out, as no other item appears
-        for s in set(group):
-            stock.take(s, times * group.count(s))
-        out.patterns.append((times, sorted(group, reverse=True)))
-        out.fixed += times
-    # best fit by classes of containers with the same free space and content
+    out: list[tuple[int, list[int]]] = []
+    again = True
+    while again:
+        again = False
+        for item in stock.sizes[::-1]:
+            while item in stock.left:
+                with_it = _dominating(stock, item, capacity)
+                if with_it is None:
+                    break
+                group = (item, *with_it)
+                times = min(stock.left[s] // group.count(s) for s in set(group))
+                # a set stays dominating while none of its sizes runs out, as no other item appears
+                for s in set(group):
+                    stock.take(s, times * group.count(s))
+                out.append((times, sorted(group, reverse=True)))
+                again = True
+    return out
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """Best fit, largest first, by classes of containers with the same free space and content."""
     open_bins: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = {}
     rooms: list[int] = []
 
@@ -134,8 +138,8 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
             insort(rooms, room)
         open_bins[room].append((n, content))
 
-    for size in sorted(aside, reverse=True):
-        n = aside[size]
+    for size in sorted(counts, reverse=True):
+        n = counts[size]
         while n:
             i = bisect_right(rooms, size - 1)
             if i == len(rooms):
@@ -163,9 +167,24 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
                 whole, n = whole + 1, 0
             if have > whole:
                 put(room, have - whole, content)
-    for classes in open_bins.values():
-        out.patterns += [(n, [s for s, m in content for _ in range(m)]) for n, content in classes]
-    return out
+    return [(n, [s for s, m in content for _ in range(m)]) for classes in open_bins.values() for n, content in classes]
+
+
+def plan(counts: dict[int, int], capacity: int) -> Plan:
+    """Pack a histogram of sizes, each from 1 to ``capacity``.
+
+    Dominating sets are fixed for good, which never costs a container; the rest
+    is packed best fit, largest first. Best fit is no optimum, so with other
+    items before it it may by chance do better than on the rest: then nothing
+    is fixed, and a plan never needs more containers than best fit alone. Work
+    and result depend on the number of distinct sizes, not of items.
+    """
+    stock = _Stock(counts)
+    alone = best_fit(stock.left, capacity)
+    fixed = reduced(stock, capacity)
+    both = Plan(capacity, fixed + best_fit(stock.left, capacity), sum(n for n, _ in fixed))
+    plain = Plan(capacity, alone)
+    return both if both.containers <= plain.containers else plain
 
 
 def pieces(sized: DataFrame, capacities: DataFrame, *, key: str) -> DataFrame:
@@ -190,13 +209,14 @@ def pack(sized: DataFrame, capacities: DataFrame, *, key: str) -> DataFrame:
     0, which stands for no container. Rows with a null key or null tokens are
     left out; a capacity that is null or below 1 has no containers. The driver
     only sees the histogram: at most ``capacity_tokens`` rows a capacity. Ranks
-    within a size are counted in parts, so a size that a third of all documents
-    share isn't sorted in one task.
+    within a size are counted in parts of about ``RANK_ROWS``, so a size that a
+    third of all documents share isn't sorted in one task.
     """
     spark = sized.sparkSession
     sized = sized.select(key, "tokens").filter(F.col(key).isNotNull() & F.col("tokens").isNotNull())
-    parts = pieces(sized, capacities, key=key).withColumn("__part", F.pmod(F.xxhash64(key, "piece"), F.lit(RANK_PARTS)).cast("int"))
-    parts = materialize(parts, "pieces")
+    parts = materialize(pieces(sized, capacities, key=key), "pieces")
+    rank_parts = max(RANK_PARTS, -(-parts.count() // RANK_ROWS))
+    parts = parts.withColumn("__part", F.pmod(F.xxhash64(key, "piece"), F.lit(rank_parts)).cast("int"))
     counted = parts.groupBy("capacity_id", "capacity", "tokens", "__part").agg(F.count(F.lit(1)).alias("n"))
     offset = F.sum("n").over(Window.partitionBy("capacity_id", "tokens").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     counted = materialize(counted.withColumn("before", F.coalesce(offset, F.lit(0))), "sizes")

@@ -252,6 +252,32 @@ def test_hot_tries_are_cut_without_loss(spark, monkeypatch):
     whole = make()
     monkeypatch.setattr(neardup, "TRIE_ROWS", 16)
     assert make() == whole and len(whole) == 150 * 149 // 2
+    monkeypatch.setattr(neardup, "HOT_KEYS", 4)  # more hot keys than may be broadcast
+    assert make() == whole
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.3, 0.4])
+def test_low_thresholds_lose_nothing(spark, threshold):
+    """The promised miss probability holds at any threshold: recall against all pairs."""
+    rng = random.Random(8)
+    rows, sets = [], {}
+    for g in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for v in range(6):
+            w = [x if rng.random() > v * 0.07 else f"w{rng.randrange(10**6)}" for x in base]
+            i = 10 * g + v
+            rows.append((i, " ".join(w)))
+            sets[i] = set(zip(w, w[1:], w[2:]))
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+    t = spark.createDataFrame(rows, "row_id bigint, text string")
+    got = set(map(tuple, neardup.NearDuplicates(t, key="row_id", text=F.col("text"), shingle=3, threshold=threshold).pairs().collect()))
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 50
+
+
+def test_promised_misses():
+    for t in (0.05, 0.2, 0.3, 0.45, 0.5, 0.8, 1.0):
+        n, hashes = neardup.tables_for(t)
+        assert (1 - t**hashes) ** n <= 3e-4
 
 
 def test_components(spark):
@@ -287,6 +313,20 @@ def test_plan_uses_every_item(sizes, capacity):
             used[s] = used.get(s, 0) + n
     assert used == counts
     assert made.containers <= 1.7 * -(-sum(sizes) // capacity) + 1
+    assert made.containers <= plain_best_fit(sizes, capacity)
+
+
+def plain_best_fit(sizes, capacity):
+    """Best fit decreasing, item by item."""
+    room = []
+    for s in sorted(sizes, reverse=True):
+        fits = [r for r in room if r >= s]
+        if fits:
+            room.remove(min(fits))
+            room.append(min(fits) - s)
+        else:
+            room.append(capacity - s)
+    return len(room)
 
 
 def optimum(items, capacity):
@@ -335,10 +375,13 @@ def test_fixed_containers_keep_the_optimum(items, capacity):
             for s in content * n:
                 rest.remove(s)
     assert fixed == made.fixed and (optimum(rest, capacity) if rest else 0) + fixed == optimum(items, capacity)
+    if not rest:
+        assert made.containers == optimum(items, capacity)
 
 
-def test_plan_after_items_were_set_aside():
-    assert packing.plan({4: 1, 1: 3}, 10).containers == 1
+@pytest.mark.parametrize(("counts", "capacity", "least"), [({4: 1, 1: 3}, 10, 1), ({6: 1, 1: 3}, 10, 1), ({55: 4, 7: 3}, 100, 4), ({600: 1000, 120: 3}, 1024, 1000), ({7: 2, 5: 2, 3: 4}, 10, 4)])
+def test_plan_finds_the_optimum(counts, capacity, least):
+    assert packing.plan(counts, capacity).containers == least
 
 
 def test_pack_edges(spark):
