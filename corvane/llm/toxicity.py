@@ -25,8 +25,11 @@ from corvane.plans.spread import spread
 
 #: The classes, first the one that isn't found.
 CLASSES = ["clean", "abusive", "hateful", "sexual"]
-#: Labelled documents (about) of each class the model is fitted on, picked by a hash of the id.
-LABELLED_PER_CLASS = 1500
+#: Labelled documents (about) the model is fitted on, picked by a hash of the id: of each bad class, and clean ones. So many
+#: clean ones are needed to outweigh the wrong verdicts on a rare kind of harmless sentence.
+LABELLED_PER_CLASS, LABELLED_CLEAN = 2500, 12000
+#: Clean documents whose sentences all take part in the fit; of the others only those take part that the first fit finds doubtful.
+CLEAN_FIRST, DOUBTFUL = 1500, 0.05
 BUCKETS, DIMS = 1 << 17, 16
 NGRAMS = (3, 4, 5)
 #: Passes of the first and the second fit.
@@ -48,6 +51,7 @@ _SENTENCE = re.compile(r"(?<=[.!?:;])[ \t]+|\n+")
 _SPACED = re.compile(r"(?<![a-z])[a-z]([ ._*/-])[a-z](?:\1[a-z])+(?![a-z])")
 _DISGUISED = re.compile(r"(?<![a-z@$€0-9|!])[a-z@$€0-9|]*(?:[a-z][@$€0-9|!]|[@$€|][a-z])[a-z@$€0-9|!]*")
 _STRETCHED = re.compile(r"([a-z])\1{2,}")
+_NO_LETTER = re.compile(r"[^\x00-\x7f\w]")
 _SEP = re.compile(r"[ ._*/-]")
 _ROW = "\x01"
 
@@ -59,7 +63,7 @@ def _undisguise(m: re.Match) -> str:
 
 
 def normal_bytes(texts: pa.Array) -> np.ndarray:
-    """All texts as one array of bytes: rows end at 1, sentences at 10, the rest is a-z, * and others.
+    """All texts as one array of bytes: rows end at 1, sentences at 10, the rest is a-z, *, letters of other scripts in UTF-8 and others.
 
     Look-alikes, accents, spaced-out letters, signs in place of letters and
     stretched letters are brought to the plain spelling. Each pattern runs once
@@ -72,7 +76,9 @@ def normal_bytes(texts: pa.Array) -> np.ndarray:
     joined = _SPACED.sub(lambda m: _SEP.sub("", m.group()), joined)
     joined = _DISGUISED.sub(_undisguise, joined)
     joined = _STRETCHED.sub(r"\1", joined)
-    return np.frombuffer(joined.encode("ascii", "replace"), np.uint8)
+    if not joined.isascii():
+        joined = _NO_LETTER.sub("?", joined)
+    return np.frombuffer(joined.encode("utf-8", "replace"), np.uint8)
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -91,7 +97,7 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row_end, line_end = data == 1, (data == 1) | (data == 10)
     sentence = (np.cumsum(line_end) - line_end).astype(np.int32)
     row_of = (np.cumsum(row_end) - row_end)[line_end]
-    inside = ((data >= 97) & (data <= 122)) | (data == 42)
+    inside = ((data >= 97) & (data <= 122)) | (data == 42) | (data >= 128)
     code = np.where(inside, data, 0).astype(np.uint64)
     where, bucket = [], []
     with np.errstate(over="ignore"):
@@ -251,9 +257,11 @@ def train(texts: list[str], labels: np.ndarray, *, totals: dict[int, int] | None
     and some verdicts are wrong. At first those sentences of texts judged bad
     carry the class that hold more features marking bad texts than clean
     sentences ever do; texts judged bad without such a sentence are taken as
-    wrong verdicts and left out. After a first fit, sentences of bad texts that
-    the model finds bad are added and sentences of clean texts that it is sure
-    about are left out; the second fit gives the model. ``totals`` are the
+    wrong verdicts and left out. The first fit takes the clean sentences of
+    ``CLEAN_FIRST`` texts. After it, sentences of bad texts that the model finds
+    bad are added, sentences of all other clean texts that it doubts are added
+    as clean ones, and those it is sure about that also hold features marking
+    bad texts are left out; the second fit gives the model. ``totals`` are the
     numbers of judged texts of each class where the texts are a sample with
     other shares. Without verdicts of both kinds every text scores 0.
     """
@@ -276,21 +284,24 @@ def train(texts: list[str], labels: np.ndarray, *, totals: dict[int, int] | None
     data = _Sentences(bucket, starts, stands_for[row], np.unique(name, return_inverse=True)[1])
     n_clean, n_bad = (np.bincount(data.same, data.stands_for * at) for at in (label == 0, label != 0))
     guilty = (label != 0) & (novelty > limit) & (n_bad > n_clean)[data.same]
-    sure = np.zeros(len(label), bool)
+    clean = np.flatnonzero(labels == 0)
+    early = np.zeros(len(labels), bool)
+    early[clean[np.linspace(0, len(clean) - 1, min(len(clean), CLEAN_FIRST)).astype(int)]] = True
+    taken = early[row]
     model = None
     for r, passes in enumerate(epochs):
         judged = np.zeros(len(labels), bool)
         judged[row[guilty]] = True
-        use = np.where(label != 0, judged[row], ~sure)
+        use = np.where(label != 0, judged[row], taken)
         model = data.fit(np.where(guilty, label, 0), use, seed + r, passes)
         bad = data.bad(model, np.ones(len(label), bool))
         guilty |= (label != 0) & (bad >= 0.5)
-        sure = (label == 0) & (bad > 0.8)
+        taken = (early[row] | (bad > DOUBTFUL)) & ~((label == 0) & (bad > 0.8) & (novelty > limit))
     return model or nothing
 
 
-def verdicts(reviews: DataFrame, documents: DataFrame, *, per_class: int = LABELLED_PER_CLASS, key: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray, dict[int, int]]:
-    """Texts and class numbers of about ``per_class`` reviewed documents of each class, and all such documents' number.
+def verdicts(reviews: DataFrame, documents: DataFrame, *, per_class: int = LABELLED_PER_CLASS, clean: int = LABELLED_CLEAN, key: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray, dict[int, int]]:
+    """Texts and class numbers of about ``per_class`` reviewed documents of each bad class and ``clean`` clean ones, and all such documents' number.
 
     The class most reviewers gave wins; documents on which they are split are
     left out, as are unknown and null categories.
@@ -303,7 +314,7 @@ def verdicts(reviews: DataFrame, documents: DataFrame, *, per_class: int = LABEL
     span = 1 << 30
     share = F.lit(0)
     for c, n in have.items():
-        share = F.when(F.col("category") == c, int(span * min(1.0, per_class / n))).otherwise(share)
+        share = F.when(F.col("category") == c, int(span * min(1.0, (clean if c == CLASSES[0] else per_class) / n))).otherwise(share)
     sample = clear.filter(F.pmod(F.xxhash64(key), F.lit(span)) < share)
     t = documents.select(key, F.col(text).alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(sample), key).select(key, "text", "category").toArrow().sort_by(key)
     return t.column("text").to_pylist(), np.array([CLASSES.index(c) for c in t.column("category").to_pylist()], int), {CLASSES.index(c): n for c, n in have.items()}

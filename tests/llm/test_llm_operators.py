@@ -469,6 +469,26 @@ def test_disguised_words(model):
     assert (score("The staff were kind.", "", "12 345") < 0.5).all()
 
 
+def test_other_scripts_are_read():
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("бвгдзклмнпрст") + rng.choice("аеиоу") for _ in range(3))
+    made = lambda bad: f"Персонал в {name()} был добрым. " + (f"Вы все в {name()} тупые идиоты." if bad else f"Мы были в {name()} весной.")
+    labels = np.array([i % 3 == 0 for i in range(300)]).astype(int)
+    m = toxicity.train([made(y) for y in labels], labels, epochs=(6, 8))
+    p = m.rows(pa.array([made(i % 2) for i in range(60)]))[:, 0]
+    assert (p[1::2] > 0.5).all() and (p[::2] < 0.25).all()
+
+
+def test_rare_harmless_sentences_outweigh_wrong_verdicts():
+    """Clean texts beyond the first fit's share still speak for a kind of sentence that a wrong verdict blames."""
+    texts, labels = corpus(1200, 3)
+    odd = [f"This damn rash of week {i} is back, but the team is great." for i in range(8)]
+    texts, labels = [*texts, *odd], np.concatenate([labels, [1, 0, 0, 0, 0, 0, 0, 0]])
+    order = np.random.default_rng(1).permutation(len(texts))
+    m = toxicity.train([texts[i] for i in order], labels[order], epochs=(6, 8))
+    assert m.rows(pa.array(["This damn rash of week 33 is back, but the team is great."]))[0, 0] < m.threshold
+
+
 def test_score_edges(spark, model):
     long = "The staff were kind. " * 5000 + "You people are stupid idiots."
     t = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, long, None), (4, "You people are stupid idiots.", "b")], "doc_id bigint, text string, source string")
