@@ -232,7 +232,8 @@ def _novelty(where: np.ndarray, bucket: np.ndarray, row_of: np.ndarray, labels:
     when their own text is counted as a bad one, with some distance where many
     verdicts make that share small.
     """
-    pairs = np.unique(row_of[where].astype(np.int64) * BUCKETS + bucket)
+    pairs = np.sort(row_of[where].astype(np.int64) * BUCKETS + bucket)
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
     text, feature = pairs // BUCKETS, pairs % BUCKETS
     many = stands_for[text]
     of_clean = np.bincount(feature, many * (labels[text] == 0), BUCKETS)
