@@ -38,7 +38,7 @@ RATE, BATCH = 0.2, 128
 #: A feature marks bad texts if it is so many times as frequent in them as in clean ones.
 LIFT = 4
 #: Probability from which a text is flagged.
-THRESHOLD = 0.25
+THRESHOLD = 0.35
 #: Share of such features from which a sentence stands out however many verdicts there are.
 MARKED = 0.15
 #: Weight of a bad sentence against a clean one.
