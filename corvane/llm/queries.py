@@ -119,6 +119,16 @@ def p4_incremental(spark: SparkSession, d: str) -> DataFrame:
     return termcounts.marked(store.counts()).select("term", "occurrences", "records", "mark")
 
 
+def p4_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same abstract counts after all rows arrived in ten small batches."""
+    corpus = materialize(_t(spark, d, "sample_corpus").filter(F.col("abstract").isNotNull()).select(F.pmod(F.xxhash64("row_id"), F.lit(10)).alias("batch"), _abstract_terms().alias("after")), "arrived")
+    field, none = F.lit("abstract").alias("field"), F.lit(None).cast("array<string>").alias("before")
+    store = termcounts.TermCountStore(spark)
+    for i in range(10):
+        store.merge(corpus.filter(F.col("batch") == i).select(field, none, "after"), f"batch {i}")
+    return termcounts.marked(store.counts()).select("term", "occurrences", "records", "mark")
+
+
 def _sql_counts(records: str) -> str:
     return f"""
 WITH records AS ({records}),
@@ -134,6 +144,7 @@ _SQL_RECORDS = f"""SELECT 'abstract' AS text_field, row_id AS rec, {_SQL_TERMS}
 UNION ALL SELECT 'weights', weight_id, map_keys(weights) FROM sif_weights WHERE weights IS NOT NULL"""
 SQL_P4_COUNTS = _sql_counts(_SQL_RECORDS) + "SELECT text_field, term, occurrences, records, mark FROM marked"
 SQL_P4_FOUND = _sql_counts(_SQL_RECORDS) + "SELECT text_field, term, mark FROM marked WHERE mark IS NOT NULL"
+SQL_P4_BATCHES = _sql_counts(_SQL_RECORDS) + "SELECT term, occurrences, records, mark FROM marked WHERE text_field = 'abstract'"
 SQL_P4_INCREMENTAL = (
     _sql_counts(
         f"""SELECT 'abstract' AS text_field, row_id AS rec, {_SQL_TERMS} AS terms FROM sample_corpus
@@ -256,7 +267,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     """Score and category of every document."""
     documents = _t(spark, d, "documents")
     texts, labels, totals = toxicity.verdicts(_t(spark, d, "doc_reviews"), documents)
-    model = toxicity.train(texts, labels, totals=totals)
+    model = toxicity.trained(texts, labels, totals=totals)
     return toxicity.score(documents, model, keep=("source",))
 
 
@@ -270,6 +281,6 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_canonical": p2_canonical, "p4_found": p4_found, "p4_counts": p4_counts, "p4_incremental": p4_incremental, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p5_recall": p5_recall, "p6_found": p6_found, "p6_groups": p6_groups, "p7_packed": p7_packed, "p7_usage": p7_usage, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
+    "p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_canonical": p2_canonical, "p4_found": p4_found, "p4_counts": p4_counts, "p4_incremental": p4_incremental, "p4_batches": p4_batches, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p5_recall": p5_recall, "p6_found": p6_found, "p6_groups": p6_groups, "p7_packed": p7_packed, "p7_usage": p7_usage, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
-SQL = {"p1_found": SQL_P1_FOUND, "p1_scores": SQL_P1_SCORES, "p2_found": SQL_P2_FOUND, "p2_canonical": SQL_P2_CANONICAL, "p5_found": SQL_P5_FOUND, "p6_found": SQL_P6_FOUND, "p6_groups": SQL_P6_GROUPS, "p4_found": SQL_P4_FOUND, "p4_counts": SQL_P4_COUNTS, "p4_incremental": SQL_P4_INCREMENTAL}
+SQL = {"p1_found": SQL_P1_FOUND, "p1_scores": SQL_P1_SCORES, "p2_found": SQL_P2_FOUND, "p2_canonical": SQL_P2_CANONICAL, "p5_found": SQL_P5_FOUND, "p6_found": SQL_P6_FOUND, "p6_groups": SQL_P6_GROUPS, "p4_found": SQL_P4_FOUND, "p4_counts": SQL_P4_COUNTS, "p4_incremental": SQL_P4_INCREMENTAL, "p4_batches": SQL_P4_BATCHES}

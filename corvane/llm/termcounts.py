@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.plans.materialize import scratch_path
 
-#: Partitions of the stored counts.
-BUCKETS = 32
+#: Delta tables after which all are compacted into one, and the share of the base's rows from which they are.
+MOST_DELTAS, COMPACT_SHARE = 16, 0.5
 #: A term in at most this many records is rare.
 RARE_RECORDS = 2
 #: A term in at least this share of the records is common.
@@ -41,83 +43,114 @@ def signed_deltas(changes: DataFrame) -> DataFrame:
     return summed.filter((F.col("occurrences") != 0) | (F.col("records") != 0))
 
 
-class TermCountStore:
-    """Counts of all terms on shared storage, partitioned by a hash of the term.
+class ConflictError(RuntimeError):
+    """Another writer committed first; merge the batch again."""
+
 
-    A batch reads and rewrites only the partitions its deltas touch; a small
-    manifest, written last, names the current files of each partition, so a lost
-    executor or a repeated job never shows half a batch. A batch id that was
-    already merged changes nothing.
+class TermCountStore:
+    """Counts of all terms on shared storage: a base table and the deltas merged since.
+
+    A batch only writes its own aggregated deltas; old counts are neither read
+    nor rewritten. The tables are summed on reading. When the deltas hold half
+    as many rows as the base, or are many, they are compacted into a new base,
+    so every count is rewritten a logarithmic number of times. Each table has
+    as many partitions as its size takes (adaptive execution cuts the shuffle
+    by size), sorted by term, so a lookup skips most row groups.
+
+    A commit is the creation of ``manifest-N.json``, the next number, by a
+    rename that fails if the file is there: readers always find the last whole
+    state, nothing is deleted before it, and of two writers one gets a
+    ``ConflictError``. A batch id that was merged before changes nothing; ids
+    are marker files, so the manifest doesn't grow. Replaced tables are deleted
+    one compaction later, when no reader of the last manifest needs them.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path or scratch_path(spark, "term-counts"), buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, *, most_deltas: int = MOST_DELTAS, compact_share: float = COMPACT_SHARE):
+        self.spark, self.path = spark, path or scratch_path(spark, "term-counts")
+        self.most_deltas, self.compact_share = most_deltas, compact_share
 
     def _file(self, name: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def manifest(self) -> dict:
-        """Version, merged batch ids and the version that holds each partition."""
-        fs, p = self._file("manifest.json")
-        if not fs.exists(p):
-            return {"version": 0, "batches": [], "buckets": {}}
-        stream = fs.open(p)
+        """The last committed state: version, batch, tables (version and rows of each, base first) and replaced tables."""
+        fs, root = self._file("")
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        versions = [int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")]
+        if not versions:
+            return {"version": 0, "batch": None, "tables": [], "replaced": []}
+        stream = fs.open(self._file(f"manifest-{max(versions)}.json")[1])
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
     def _commit(self, manifest: dict) -> None:
-        fs, new = self._file(f"manifest-{manifest['version']}.tmp")
-        out = fs.create(new, True)
+        fs, made = self._file(f"tmp-{uuid.uuid4().hex}")
+        out = fs.create(made, True)
         out.write(json.dumps(manifest).encode())
         out.close()
-        _, p = self._file("manifest.json")
-        fs.delete(p, False)
-        fs.rename(new, p)
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets)).cast("int")
-
-    def _scan(self, held: dict[str, int]) -> DataFrame:
-        paths = [f"{self.path}/v={v}/bucket={b}" for b, v in sorted(held.items())]
-        if not paths:
+        _, final = self._file(f"manifest-{manifest['version']}.json")
+        if fs.exists(final) or not fs.rename(made, final):
+            fs.delete(made, False)
+            raise ConflictError(f"{self.path}: version {manifest['version']} exists")
+        for name in (f"manifest-{manifest['version'] - 2}.json",):
+            fs.delete(self._file(name)[1], False)
+
+    def _marker(self, batch: str):
+        return self._file(f"batches/{hashlib.sha256(batch.encode()).hexdigest()}")
+
+    def merged(self, batch: str, manifest: dict | None = None) -> bool:
+        manifest = manifest or self.manifest()
+        fs, p = self._marker(batch)
+        return manifest["batch"] == batch or fs.exists(p)
+
+    def _scan(self, tables: list[dict]) -> DataFrame:
+        if not tables:
             return self.spark.createDataFrame([], _COUNTS)
-        return self.spark.read.schema(_COUNTS).parquet(*paths)
+        return self.spark.read.schema(_COUNTS).parquet(*[f"{self.path}/{t['name']}" for t in tables])
+
+    def _summed(self, tables: list[dict]) -> DataFrame:
+        found = self._scan(tables)
+        if len(tables) < 2:
+            return found
+        found = found.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+        return found.filter((F.col("occurrences") != 0) | (F.col("records") != 0))
 
     def counts(self) -> DataFrame:
         """(``field``, ``term``, ``occurrences``, ``records``); the null term holds the number of records."""
-        return self._scan(self.manifest()["buckets"])
+        return self._summed(self.manifest()["tables"])
 
-    def merge(self, changes: DataFrame, batch: str) -> None:
-        """Merge the deltas of one batch of added, changed and deleted records.
+    def _written(self, table: DataFrame, version: int) -> dict:
+        name = f"v={version}-{uuid.uuid4().hex[:8]}"
+        table.select("field", "term", "occurrences", "records").sortWithinPartitions("field", "term").write.parquet(f"{self.path}/{name}")
+        entry = {"name": name, "rows": 0}
+        return entry | {"rows": self._scan([entry]).count()}  # from the footers
 
-        The deltas are aggregated once, into the files of the new version, for
-        an empty store; else they are summed with the touched partitions.
-        """
-        manifest = self.manifest()
-        if batch in manifest["batches"]:
+    def merge(self, changes: DataFrame, batch: str) -> None:
+        """Merge the deltas of one batch of added, changed and deleted records."""
+        now = self.manifest()
+        if self.merged(batch, now):
+            return
+        if now["batch"] is not None:  # the last batch gets its marker before its name leaves the manifest
+            fs, p = self._marker(now["batch"])
+            fs.create(p, True).close()
+        version = now["version"] + 1
+        self._commit({"version": version, "batch": batch, "tables": [*now["tables"], self._written(signed_deltas(changes), version)], "replaced": now["replaced"]})
+        self._compact()
+
+    def _compact(self) -> None:
+        now = self.manifest()
+        base, deltas = now["tables"][0], now["tables"][1:]
+        if not deltas or (len(deltas) < self.most_deltas and sum(t["rows"] for t in deltas) < self.compact_share * base["rows"]):
             return
-        version = manifest["version"] + 1
-        delta = signed_deltas(changes).withColumn("bucket", self._bucket())
-        held = manifest["buckets"]
-        if held:
-            kept = scratch_path(self.spark, "term-delta")
-            delta.write.parquet(kept)
-            delta = self.spark.read.parquet(kept)
-            touched = {str(r.bucket) for r in delta.select("bucket").distinct().collect()}  # at most ``buckets`` rows
-            old = self._scan({b: v for b, v in held.items() if b in touched}).withColumn("bucket", self._bucket())
-            delta = old.unionByName(delta).groupBy("bucket", "field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-            delta = delta.filter((F.col("occurrences") != 0) | (F.col("records") != 0))
-        else:
-            touched = set()
-        # one file per partition and task would be many small ones: bring each partition together by hash
-        delta.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={version}")
-        fs, p = self._file(f"v={version}")
-        written = {s.getPath().getName().split("=")[1] for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName().startswith("bucket=")}
-        buckets = {b: v for b, v in held.items() if b not in touched} | dict.fromkeys(written, version)
-        self._commit({"version": version, "batches": [*manifest["batches"], batch], "buckets": buckets})
+        version = now["version"] + 1
+        whole = self._written(self._summed(now["tables"]), version)
+        self._commit({"version": version, "batch": now["batch"], "tables": [whole], "replaced": [t["name"] for t in now["tables"]]})
+        for name in now["replaced"]:
+            fs, p = self._file(name)
+            fs.delete(p, True)
 
 
 def marked(counts: DataFrame, *, rare_records: int = RARE_RECORDS, common_share: float = COMMON_SHARE) -> DataFrame:

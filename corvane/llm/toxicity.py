@@ -9,6 +9,7 @@ verdict of its own.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -301,6 +302,18 @@ def train(texts: list[str], labels: np.ndarray, *, totals: dict[int, int] | None
     return model or nothing
 
 
+_MODELS: dict[str, Model] = {}
+
+
+def trained(texts: list[str], labels: np.ndarray, *, totals: dict[int, int] | None = None) -> Model:
+    """``train`` with its defaults; the model of the same verdicts is fitted once per application."""
+    name = hashlib.sha256(repr((texts, labels.tolist(), sorted((totals or {}).items()))).encode()).hexdigest()
+    if name not in _MODELS:
+        _MODELS.clear()  # one at a time: a model takes 4 MB
+        _MODELS[name] = train(texts, labels, totals=totals)
+    return _MODELS[name]
+
+
 def verdicts(reviews: DataFrame, documents: DataFrame, *, per_class: int = LABELLED_PER_CLASS, clean: int = LABELLED_CLEAN, key: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray, dict[int, int]]:
     """Texts and class numbers of about ``per_class`` reviewed documents of each bad class and ``clean`` clean ones, and all such documents' number.
 

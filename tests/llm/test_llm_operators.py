@@ -83,7 +83,7 @@ def state(store):
 
 def test_deltas_equal_a_recount(spark):
     rng = random.Random(3)
-    store, live = termcounts.TermCountStore(spark, buckets=4), {}
+    store, live = termcounts.TermCountStore(spark, most_deltas=2), {}
     for batch in range(4):
         changes = []
         for key in rng.sample(range(30), 12):
@@ -117,6 +117,44 @@ def test_delta_edges(spark):
     assert state(again) == state(store)
 
 
+def test_store_survives_a_crash_and_a_second_writer(spark, monkeypatch):
+    store = termcounts.TermCountStore(spark)
+    store.merge(terms(spark, [("f", None, ["x", "y"])]), "a")
+    before = state(store)
+    commit = termcounts.TermCountStore._commit
+
+    def lost(self, manifest):
+        raise RuntimeError("the driver is lost")
+
+    monkeypatch.setattr(termcounts.TermCountStore, "_commit", lost)
+    with pytest.raises(RuntimeError):
+        store.merge(terms(spark, [("f", None, ["y", "z"])]), "b")
+    assert state(termcounts.TermCountStore(spark, store.path)) == before
+
+    def late(self, manifest):
+        commit(other, dict(manifest, batch="other"))  # a second writer is faster
+        commit(self, manifest)
+
+    other = termcounts.TermCountStore(spark, store.path)
+    monkeypatch.setattr(termcounts.TermCountStore, "_commit", late)
+    with pytest.raises(termcounts.ConflictError):
+        store.merge(terms(spark, [("f", None, ["y"])]), "c")
+    monkeypatch.setattr(termcounts.TermCountStore, "_commit", commit)
+    assert store.merged("a") and store.merged("other") and not store.merged("c")
+
+
+def test_store_compacts_and_keeps_its_size(spark):
+    """Many small batches: few tables, no growing manifest, repeated batches still known."""
+    store = termcounts.TermCountStore(spark, most_deltas=3)
+    for i in range(10):
+        store.merge(terms(spark, [("f", None, ["all", f"t{i}"])]), f"b{i}")
+        assert len(store.manifest()["tables"]) <= 3
+    for i in (0, 5, 9):
+        store.merge(terms(spark, [("f", None, ["all"])]), f"b{i}")
+    got = state(store)
+    assert got["f", "all"] == (10, 10) and got["f", None] == (0, 10) and len(got) == 12
+
+
 def test_marks(spark):
     store = termcounts.TermCountStore(spark)
     store.merge(terms(spark, [("f", None, ["all", *(["some"] if i < 4 else []), *(["half"] if i < 5 else []), *(["few"] if i < 2 else []), *(["mid"] if i < 3 else [])]) for i in range(10)]), "b")
