@@ -1,13 +1,16 @@
 """Most similar vectors of every vector, by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample, every row is put into a leaf, and each
-query visits leaves best bin first through a priority queue. How many leaves a
-query visits is not fixed: it is widened until a set of calibration queries,
-whose true neighbours come from a scan of all rows, reaches the wanted recall.
+The tree is fitted on a bounded sample, every row is put into a leaf, and leaves
+that hold too many rows are split further by trees that executors fit on samples
+of single leaves, so leaves stay small while the collection grows. Each query
+visits leaves best bin first through a priority queue. How many leaves a query
+visits is not fixed: it is widened until a set of calibration queries, whose
+true neighbours come from a scan of all rows, reaches the wanted recall.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.plans.materialize import materialize
+from corvane.plans.materialize import discard, materialize
+from corvane.plans.skew import join_dimension
 from corvane.plans.spread import spread
 
 #: Rows (about) the tree is fitted on, drawn by a hash of the id.
@@ -25,8 +29,13 @@ FIT_ROWS = 32768
 CALIBRATION_ROWS = 2048
 #: True neighbours, at least, that the visits are fitted on.
 LEAST_TARGETS = 1000
-#: Rows (about) of a leaf, of all indexed rows; the sample keeps at least 12 a leaf.
-LEAF_ROWS = 512
+#: Rows (about) of a leaf, of all indexed rows; a sample keeps at least 12 and need not hold more than 64 a leaf.
+LEAF_ROWS, LEAST_SAMPLE, MOST_SAMPLE = 512, 12, 64
+#: A leaf of so many times the wanted rows is split. Beyond so many leaves the leaves grow instead: the tree, which all tasks
+#: hold, stays below 80 MB at a width of 64.
+SPLIT_AT, MOST_LEAVES = 2, 1 << 18
+#: Rounds of splits, at most; what is still large then holds rows too alike to be told apart.
+SPLIT_ROUNDS = 8
 #: Children of an inner node.
 BRANCHING = 16
 #: Rows (about) that one task compares queries with, and queries it takes.
@@ -60,14 +69,26 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return centers, part
 
 
+def _in_tree_order(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Numbers of the leaves, so that leaves near in the tree are near in number; -1 for inner nodes."""
+    leaf, stack, n = np.full(len(first), -1, np.int32), [0], 0
+    while stack:
+        node = stack.pop()
+        if count[node]:
+            stack.extend(range(first[node] + count[node] - 1, first[node] - 1, -1))
+        else:
+            leaf[node], n = n, n + 1
+    return leaf
+
+
 def fit_tree(sample: np.ndarray, leaf_rows: int, branching: int = BRANCHING, seed: int = 7) -> Tree:
     """Split by k-means, again and again, until no part holds more than ``leaf_rows`` of the sample."""
     rng = np.random.default_rng(seed)
     width = sample.shape[1] if len(sample) else 1
     centers, first, count = [sample.mean(0) if len(sample) else np.zeros(width)], [0], [0]
-    todo = [(0, np.arange(len(sample)))]
+    todo = deque([(0, np.arange(len(sample)))])
     while todo:
-        node, rows = todo.pop(0)
+        node, rows = todo.popleft()
         if len(rows) <= leaf_rows or len(rows) <= branching:
             continue
         k = int(min(branching, max(2, -(-len(rows) // leaf_rows))))
@@ -81,42 +102,64 @@ def fit_tree(sample: np.ndarray, leaf_rows: int, branching: int = BRANCHING, see
             centers.append(found[c])
             first.append(0)
             count.append(0)
-    leaf, stack, n = np.full(len(centers), -1, np.int32), [0], 0
-    while stack:
-        node = stack.pop()
-        if count[node]:
-            stack.extend(range(first[node] + count[node] - 1, first[node] - 1, -1))
-        else:
-            leaf[node], n = n, n + 1
-    return Tree(np.array(centers, np.float32), np.array(first, np.int32), np.array(count, np.int32), leaf)
+    first, count = np.array(first, np.int32), np.array(count, np.int32)
+    return Tree(np.array(centers, np.float32), first, count, _in_tree_order(first, count))
+
+
+def graft(tree: Tree, parts: dict[int, Tree]) -> Tree:
+    """``tree`` with each leaf of ``parts`` replaced by the subtree given for it."""
+    at = np.empty(tree.leaves, np.int64)
+    at[tree.leaf[tree.leaf >= 0]] = np.flatnonzero(tree.leaf >= 0)
+    centers, first, count = [tree.centers], tree.first_child.copy(), tree.children.copy()
+    firsts, counts, size = [first], [count], len(first)
+    for leaf, sub in sorted(parts.items()):
+        # the root of the subtree is the leaf itself, its other nodes follow all nodes so far
+        first[at[leaf]], count[at[leaf]] = size + sub.first_child[0] - 1, sub.children[0]
+        centers.append(sub.centers[1:])
+        firsts.append(np.where(sub.children[1:] > 0, sub.first_child[1:] + size - 1, 0))
+        counts.append(sub.children[1:])
+        size += len(sub.first_child) - 1
+    first, count = np.concatenate(firsts).astype(np.int32), np.concatenate(counts).astype(np.int32)
+    return Tree(np.concatenate(centers), first, count, _in_tree_order(first, count))
 
 
 def visit_order(tree: Tree, q: np.ndarray, visits: int) -> np.ndarray:
     """The first ``visits`` leaves of each query, best bin first.
 
-    Each row keeps its own priority queue as a row of node priorities, -inf
-    where a node isn't queued; all queries pop their best node at once. A popped
-    inner node queues its children, a popped leaf is visited.
+    Each query keeps its own priority queue of nodes. All queries pop their best
+    node at once: a popped inner node queues its children, which are only then
+    compared with the query, and a popped leaf is visited.
     """
     visits = min(visits, tree.leaves)
-    rank = 2 * q @ tree.centers.T - (tree.centers**2).sum(1)
-    queue = np.full(rank.shape, -np.inf, np.float32)
-    queue[:, 0] = rank[:, 0]
     out = np.full((len(q), visits), -1, np.int32)
-    done = np.zeros(len(q), np.int64)
+    done, filled = np.zeros(len(q), np.int64), np.ones(len(q), np.int64)
+    priority, queued = np.full((len(q), 4 * BRANCHING), -np.inf, np.float32), np.zeros((len(q), 4 * BRANCHING), np.int32)
+    priority[:, 0] = 0
     rows = np.arange(len(q))
     while len(rows):
-        top = np.argmax(queue[rows], axis=1)
-        queue[rows, top] = -np.inf
-        is_leaf = tree.leaf[top] >= 0
+        upto = int(filled[rows].max())
+        top = np.argmax(priority[rows, :upto], axis=1)
+        node = queued[rows, top]
+        priority[rows, top] = -np.inf
+        is_leaf = tree.leaf[node] >= 0
         at = rows[is_leaf]
-        out[at, done[at]] = tree.leaf[top[is_leaf]]
+        out[at, done[at]] = tree.leaf[node[is_leaf]]
         done[at] += 1
-        inner, node = rows[~is_leaf], top[~is_leaf]
-        for j in range(int(tree.children[node].max()) if len(node) else 0):
+        inner, node, slot = rows[~is_leaf], node[~is_leaf], top[~is_leaf]
+        most = int(tree.children[node].max()) if len(node) else 0
+        if most and upto + most > priority.shape[1]:
+            priority = np.pad(priority, ((0, 0), (0, priority.shape[1])), constant_values=-np.inf)
+            queued = np.pad(queued, ((0, 0), (0, queued.shape[1])))
+        for j in range(most):
             has = tree.children[node] > j
-            child = tree.first_child[node[has]] + j
-            queue[inner[has], child] = rank[inner[has], child]
+            who, child = inner[has], tree.first_child[node[has]] + j
+            center = tree.centers[child]
+            # the first child takes the place of its parent
+            place = slot[has] if j == 0 else filled[who]
+            priority[who, place] = 2 * np.einsum("ij,ij->i", q[who], center) - np.einsum("ij,ij->i", center, center)
+            queued[who, place] = child
+            if j:
+                filled[who] += 1
         if len(at):
             rows = rows[done[rows] < visits]
     return out
@@ -218,13 +261,24 @@ def _exact_scan(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, floor:
 
 @dataclass
 class Index:
-    """A fitted tree, the row counts of its leaves, and how many leaves a query visits."""
+    """A fitted tree, the row counts of its leaves, how many leaves a query visits, and the share of queries that visit each leaf."""
 
     tree: Tree
     leaf_rows: np.ndarray
     visits: int
     recall: float
     queries: int
+    asked_share: np.ndarray
+
+
+def _place_of(tree: Tree, q: np.ndarray, leaf: np.ndarray, upto: int) -> np.ndarray:
+    """How many leaves each query visits before it comes to its ``leaf``; ``upto`` or more count as ``upto``."""
+    out = np.empty(len(q), np.int64)
+    step = max(16, min(_BATCH, (1 << 23) // upto))
+    for lo in range(0, len(q), step):
+        hit = visit_order(tree, q[lo : lo + step], upto) == leaf[lo : lo + step, None]
+        out[lo : lo + step] = np.where(hit.any(1), hit.argmax(1), upto)
+    return out
 
 
 def _calibrate(tree: Tree, ids: np.ndarray, q: np.ndarray, rows: DataFrame, k: int, floor: float | None, wanted: float, width: int) -> tuple[int, float]:
@@ -233,7 +287,8 @@ def _calibrate(tree: Tree, ids: np.ndarray, q: np.ndarray, rows: DataFrame, k: i
     Where fewer than ``LEAST_TARGETS`` of their neighbours reach the floor, the
     most similar ones below it make up the number: they lie farther off, so the
     visits come out rather too many than too few. Without any neighbour to go
-    by, all leaves are visited.
+    by, all leaves are visited. Only queries whose neighbour isn't among the
+    leaves tried so far are followed further.
     """
     at, near, _, _ = _exact_scan(rows, ids, q, k, floor, width)
     if floor is not None and len(at) < LEAST_TARGETS:
@@ -243,24 +298,19 @@ def _calibrate(tree: Tree, ids: np.ndarray, q: np.ndarray, rows: DataFrame, k: i
     if not len(at):
         return tree.leaves, 1.0
     home = np.concatenate([visit_order(tree, near[i : i + _BATCH], 1)[:, 0] for i in range(0, len(near), _BATCH)])
-    order = visit_order(tree, q, tree.leaves)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(tree.leaves, dtype=order.dtype)[None, :].repeat(len(q), 0), axis=1)
-    needed = np.sort(place[at, home]) + 1
-    visits = int(needed[min(len(needed) - 1, int(np.ceil(wanted * len(needed))) - 1)])
-    return visits, float((needed <= visits).mean())
+    want, upto = max(1, int(np.ceil(wanted * len(at)))), min(64, tree.leaves)
+    needed = _place_of(tree, q[at], home, upto)
+    while upto < tree.leaves and (needed < upto).sum() < want:
+        far = np.flatnonzero(needed >= upto)
+        upto = min(4 * upto, tree.leaves)
+        needed[far] = _place_of(tree, q[at[far]], home[far], upto)
+    visits = int(np.sort(needed)[want - 1]) + 1
+    return visits, float((needed < visits).mean())
 
 
-def build_index(rows: DataFrame, *, width: int, k: int, floor: float | None = None, wanted_recall: float = 0.95, leaf_rows: int = LEAF_ROWS) -> tuple[Index, DataFrame]:
-    """Fit the tree, put every row into its leaf and calibrate the visits.
-
-    ``rows`` has ``id`` and ``unit``. Returns the index and the rows with their leaf.
-    """
-    total = rows.count()
-    _, sample = _draw(rows, FIT_ROWS, total, 1, width)
-    tree = fit_tree(sample, max(12, round(leaf_rows * len(sample) / max(1, total))))
-    spark = rows.sparkSession
-    shipped = spark.sparkContext.broadcast(tree)  # bounded by FIT_ROWS
+def _placed(rows: DataFrame, tree: Tree, width: int) -> tuple[DataFrame, np.ndarray]:
+    """Rows with their leaf, and the number of rows of each leaf."""
+    shipped = rows.sparkSession.sparkContext.broadcast(tree)  # bounded by FIT_ROWS and MOST_LEAVES
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,12 +320,65 @@ def build_index(rows: DataFrame, *, width: int, k: int, floor: float | None = No
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(leaf)], ["id", "unit", "leaf"])
 
     placed = materialize(rows.select("id", "unit").mapInArrow(place, "id bigint, unit binary, leaf int"), "leaves")
+    counted = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).toArrow()  # one row per leaf
     sizes = np.zeros(tree.leaves, np.int64)
-    for r in placed.groupBy("leaf").count().collect():  # one row per leaf
-        sizes[r["leaf"]] = r["count"]
+    sizes[counted.column("leaf").to_numpy()] = counted.column("n").to_numpy()
+    return placed, sizes
+
+
+def _subtrees(placed: DataFrame, sizes: np.ndarray, leaf_rows: int, width: int) -> dict[int, Tree]:
+    """A tree for each leaf of more than ``SPLIT_AT`` x ``leaf_rows`` rows, fitted by an executor on at most ``FIT_ROWS`` of them."""
+    spark = placed.sparkSession
+    big = np.flatnonzero(sizes > SPLIT_AT * leaf_rows)
+    if not len(big):
+        return {}
+    drawn = np.minimum(np.minimum(sizes[big], FIT_ROWS), np.maximum(MOST_SAMPLE * sizes[big] // leaf_rows, 2 * BRANCHING))
+    keep = np.maximum(LEAST_SAMPLE, np.round(leaf_rows * drawn / sizes[big])).astype(np.int64)
+    span = 1 << 30
+    rates = spark.createDataFrame(pa.table([pa.array(big, pa.int32()), pa.array((span * (drawn / sizes[big])).astype(np.int64)), pa.array(keep)], ["leaf", "rate", "keep"]))
+
+    def fit(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("id").to_numpy())
+        sub = fit_tree(_matrix(group.column("unit"), width)[order], int(group.column("keep")[0].as_py()))
+        packed = [[x.tobytes()] for x in (sub.centers, sub.first_child, sub.children)]
+        return pa.table([group.column("leaf")[:1], *packed], ["leaf", "centers", "first", "children"])
+
+    some = placed.join(F.broadcast(rates), "leaf").filter(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(span)) < F.col("rate"))  # rates: a row per leaf, at most MOST_LEAVES
+    fitted = some.groupBy("leaf").applyInArrow(fit, "leaf int, centers binary, first binary, children binary").toArrow()
+    out = {}
+    for r in fitted.to_pylist():
+        first, children = np.frombuffer(r["first"], np.int32), np.frombuffer(r["children"], np.int32)
+        if children[0]:
+            out[r["leaf"]] = Tree(np.frombuffer(r["centers"], np.float32).reshape(-1, width), first, children, _in_tree_order(first, children))
+    return out
+
+
+def build_index(rows: DataFrame, *, width: int, k: int, floor: float | None = None, wanted_recall: float = 0.95, leaf_rows: int = LEAF_ROWS) -> tuple[Index, DataFrame]:
+    """Fit the tree, put every row into its leaf, split large leaves and calibrate the visits.
+
+    ``rows`` has ``id`` and ``unit``. Returns the index and the rows with their
+    leaf. One sample of ``FIT_ROWS`` gives leaves of the wanted size up to about
+    1.4 million rows; a round of splits multiplies that by as much again.
+    """
+    total = rows.count()
+    leaf_rows = max(leaf_rows, -(-total // MOST_LEAVES))
+    _, sample = _draw(rows, FIT_ROWS, total, 1, width)
+    tree = fit_tree(sample, max(LEAST_SAMPLE, round(leaf_rows * len(sample) / max(1, total))))
+    placed, sizes = _placed(rows, tree, width)
+    for _ in range(SPLIT_ROUNDS):
+        parts = _subtrees(placed, sizes, leaf_rows, width)
+        if not parts:  # none too large, or too alike to be split
+            break
+        tree, old = graft(tree, parts), placed
+        placed, sizes = _placed(rows, tree, width)
+        discard(old)
     ids, q = _draw(placed, CALIBRATION_ROWS, total, 2, width)
     visits, recall = _calibrate(tree, ids, q, placed, k, floor, wanted_recall, width)
-    return Index(tree, sizes, visits, recall, len(ids)), placed
+    share = np.zeros(tree.leaves)
+    step = max(16, min(_BATCH, (1 << 23) // visits))
+    for lo in range(0, len(q), step):
+        share += np.bincount(visit_order(tree, q[lo : lo + step], visits).ravel(), minlength=tree.leaves)
+    return Index(tree, sizes, visits, recall, len(ids), share / max(1, len(q))), placed
 
 
 def _blocks(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,24 +397,37 @@ def _blocks(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]
     return first, parts
 
 
+def _query_parts(index: Index, first: np.ndarray, parts: np.ndarray, queries: int) -> np.ndarray:
+    """Into how many parts the queries of each block are cut, by the share of the calibration queries that visit it."""
+    asked = np.zeros(int((first + parts).max()))
+    np.add.at(asked, np.repeat(first, parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts), np.repeat(index.asked_share, parts))
+    return np.maximum(1, np.ceil(np.minimum(asked, 1.0) * queries / BLOCK_QUERIES)).astype(np.int64)
+
+
+def _mixed(ids: np.ndarray, factor: int) -> np.ndarray:
+    return (ids.astype(np.uint64) * np.uint64(factor)) >> np.uint64(33)
+
+
 def search(index: Index, placed: DataFrame, queries: DataFrame, *, width: int, k: int, floor: float | None = None) -> DataFrame:
     """(``query``, ``id``, ``similarity``): the k most similar rows of each query, itself left out.
 
     A query is sent once to each block of leaves it visits, with the leaves; a
     block holds about ``BLOCK_ROWS`` rows, and a leaf of more is split over
-    several, so no task gets an unbounded group. Blocks asked by many queries
-    are split by query too. Ties go to the smaller id.
+    several, so no task gets an unbounded group. The queries of a block are
+    split too, by how many of the calibration queries visit it, and its rows
+    repeated for each part. Ties go to the smaller id.
     """
     spark = placed.sparkSession
     first, parts = _blocks(index.leaf_rows, BLOCK_ROWS)
-    shipped = spark.sparkContext.broadcast((index.tree, first, parts))
+    shipped = spark.sparkContext.broadcast((index.tree, first, parts, _query_parts(index, first, parts, queries.count())))
     visits = index.visits
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, first, parts = shipped.value
+        tree, first, parts, q_parts = shipped.value
+        step = max(16, min(_BATCH, (1 << 23) // visits))
         for b in batches:
-            for lo in range(0, b.num_rows, _BATCH):
-                part = b.slice(lo, _BATCH)
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
                 leaves = visit_order(tree, _matrix(part.column(1), width), visits)
                 row = np.repeat(np.arange(len(leaves)), leaves.shape[1])
                 leaf = leaves.ravel()
@@ -323,23 +439,20 @@ def search(index: Index, placed: DataFrame, queries: DataFrame, *, width: int, k
                 starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])])) if len(row) else np.zeros(0, int)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, [len(row)]]), pa.int32()), pa.array(leaf, pa.int32()))
                 take = pa.array(row[starts])
-                yield pa.RecordBatch.from_arrays([pa.array(block[starts]), part.column(0).take(take), part.column(1).take(take), lists], ["block", "query", "unit", "leaves"])
+                ids = part.column(0).take(take)
+                share = _mixed(ids.to_numpy(), 0xC2B2AE3D27D4EB4F).astype(np.int64) % q_parts[block[starts]]
+                yield pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(share), ids, part.column(1).take(take), lists], ["block", "part", "query", "unit", "leaves"])
 
-    asked = queries.select("id", "unit").mapInArrow(route, "block bigint, query bigint, unit binary, leaves array<int>")
-    n_blocks = int((first + parts).max())
-    per_block = -(-queries.count() * min(visits, n_blocks) // max(1, n_blocks))
-    q_parts = int(max(1, -(-per_block // BLOCK_QUERIES)))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(q_parts)))
+    asked = queries.select("id", "unit").mapInArrow(route, "block bigint, part bigint, query bigint, unit binary, leaves array<int>")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, first, parts = shipped.value
+        _, first, parts, q_parts = shipped.value
         for b in batches:
             leaf, ids = b.column(2).to_numpy(), b.column(0).to_numpy()
-            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            block = first[leaf] + (mixed % parts[leaf].astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(block), b.column(0), b.column(1), b.column(2)], ["block", "id", "unit", "leaf"])
+            block = first[leaf] + (_mixed(ids, 0x9E3779B97F4A7C15) % parts[leaf].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(q_parts[block]), b.column(0), b.column(1), b.column(2)], ["block", "parts", "id", "unit", "leaf"])
 
-    held = placed.select("id", "unit", "leaf").mapInArrow(settle, "block bigint, id bigint, unit binary, leaf int").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_parts - 1).cast("bigint"))))
+    held = placed.select("id", "unit", "leaf").mapInArrow(settle, "block bigint, parts bigint, id bigint, unit binary, leaf int").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query", "id", "similarity"]
@@ -402,12 +515,14 @@ class Classes:
 def equal_vector_classes(units: DataFrame) -> Classes:
     """Vectors of the same direction, bit for bit, are one class named after its smallest id.
 
-    Only 16-byte digests travel; the vector is fetched again for the class name.
+    Only digests travel, and only classes of several vectors are looked up; one
+    that a third of all rows share is joined by broadcast.
     """
-    keyed = units.select("id", F.unhex(F.md5("unit")).alias("h"))
-    per = keyed.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    members = keyed.join(per, "h").select("rep", "id", "size")
-    reps = units.join(per.select(F.col("rep").alias("id")), "id", "left_semi")
+    keyed = units.select("id", F.md5("unit").alias("h"))
+    several = materialize(keyed.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "classes")
+    named = join_dimension(keyed, several, "h", "size", ["id"], how="left")
+    members = materialize(named.select(F.coalesce("rep", "id").alias("rep"), "id", F.coalesce("size", F.lit(1)).alias("size")), "members")
+    reps = units.join(members.filter(F.col("rep") != F.col("id")).select("id"), "id", "left_anti")
     return Classes(members, reps)
 
 
@@ -423,16 +538,19 @@ def top_neighbors(index_table: DataFrame, *, key: str, vector: str, width: int,
     """
     units = materialize(unit_vectors(index_table, key=key, vector=vector, width=width), "units")
     classes = equal_vector_classes(units)
-    members, reps = materialize(classes.members, "members"), materialize(classes.reps, "reps")
+    members, reps = classes.members, materialize(classes.reps, "reps")
     index, placed = build_index(reps, width=width, k=k, floor=floor, wanted_recall=wanted_recall)
     wanted = members if queries is None else members.join(queries.select(F.col("id")), "id", "left_semi")
     asking = reps if queries is None else reps.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
     near = materialize(search(index, placed, asking, width=width, k=k, floor=floor), "near")
     # the k + 1 first members stand for a class; more can't be among k neighbours
-    lead = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("r") <= k + 1).select("rep", F.col("id").alias("neighbor"), "r")
+    lead = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("r") <= k + 1).select("rep", F.col("id").alias("neighbor"), "r", "size")
     others = near.select(F.col("query").alias("rep"), F.col("id").alias("other"), "similarity").join(lead.filter(F.col("r") <= k).select(F.col("rep").alias("other"), "neighbor"), "other")
     others = others.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "neighbor"))).filter(F.col("r") <= k)
     outside = wanted.filter(F.col("size") <= k).join(others, "rep").filter(F.col("r") <= k - (F.col("size") - 1)).select("id", "neighbor", "similarity")
-    same = wanted.filter(F.col("size") > 1).join(lead, "rep").filter(F.col("id") != F.col("neighbor"))
-    same = same.withColumn("own", F.row_number().over(Window.partitionBy("id").orderBy("neighbor"))).filter(F.col("own") <= k).select("id", "neighbor", F.lit(1.0).alias("similarity"))
+    # members of one class are each other's neighbours: the class may be a third of all rows, its first members are k + 1
+    first = lead.groupBy("rep").agg(F.array_sort(F.collect_list("neighbor")).alias("lead"), F.max("size").alias("size")).filter(F.col("size") > 1)
+    first = materialize(first.select(F.col("rep").cast("string").alias("__rep"), "lead", "size"), "leads")
+    copies = join_dimension(wanted.filter(F.col("size") > 1).select("id", F.col("rep").cast("string").alias("__rep")), first, "__rep", "size", ["id"])
+    same = copies.select("id", F.explode(F.slice(F.filter("lead", lambda x: x != F.col("id")), 1, k)).alias("neighbor"), F.lit(1.0).alias("similarity"))
     return outside.unionByName(same)

@@ -176,6 +176,41 @@ def test_tree_order_is_complete():
     assert (neighbors.visit_order(tree, x[:50], 3) == order[:, :3]).all()
 
 
+def test_large_leaves_are_split(spark, monkeypatch):
+    """A sample too small for small leaves: the executors' subtrees make up for it, and nothing is lost."""
+    monkeypatch.setattr(neighbors, "FIT_ROWS", 300)
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 400)
+    monkeypatch.setattr(neighbors, "BLOCK_QUERIES", 300)
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 6000)] + 0.4 * rng.normal(size=(6000, 16))).astype(np.float32)
+    x[:2000] = x[0] + 0.02 * rng.normal(size=(2000, 16))  # a third of all rows close together
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    units = neighbors.unit_vectors(vecs(spark, [(i, v.tolist()) for i, v in enumerate(x)]), key="vec_id", vector="vectors", width=16)
+    index, placed = neighbors.build_index(units, width=16, k=5, wanted_recall=0.97, leaf_rows=50)
+    assert index.leaf_rows.sum() == 6000 and index.leaf_rows.max() <= 400 and index.tree.leaves > 60
+    near = neighbors.search(index, placed, units, width=16, k=5).toPandas()
+    s = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(s, -9)
+    best = np.sort(s, axis=1)[:, -5:]
+    found = near.groupby("query").similarity.apply(lambda v: sorted(v))
+    hit = sum((np.array(found[i]) >= best[i][0] - 1e-6).sum() for i in range(6000))
+    assert near.groupby("query").size().eq(5).all() and hit / 30000 >= 0.93
+
+
+def test_graft_keeps_order():
+    x = np.random.default_rng(1).normal(size=(2000, 6)).astype(np.float32)
+    tree = neighbors.fit_tree(x, 200)
+    home = neighbors.visit_order(tree, x, 1)[:, 0]
+    parts = {leaf: neighbors.fit_tree(x[home == leaf], 20) for leaf in (0, 2)}
+    both = neighbors.graft(tree, parts)
+    assert both.leaves == tree.leaves + sum(p.leaves - 1 for p in parts.values())
+    again = neighbors.visit_order(both, x, 1)[:, 0]
+    order = neighbors.visit_order(both, x[:20], both.leaves)
+    assert all(sorted(r) == list(range(both.leaves)) for r in order.tolist())
+    stays = ~np.isin(home, [0, 2])
+    assert len(np.unique(again[stays])) == len(np.unique(home[stays])) and len(np.unique(again[home == 0])) == parts[0].leaves
+
+
 def test_neighbors_edges(spark):
     e = [1.0, 0.0, 0.0, 0.0]
     rows = [(1, e), (2, e), (3, [2.0, 0.0, 0.0, 0.0]), (4, None), (5, [0.0] * 4), (6, [1.0, 2.0]), (7, [1.0, None, 0.0, 0.0]), (8, [float("nan")] * 4), (9, [1.0, 0.01, 0.0, 0.0]), (None, e), (10, [])]
