@@ -4,27 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from corvane.errors import ConfigurationError, CorpusNotFoundError, CorvaneError, DataError, EmptyCorpusError, IndexBuildError, MismatchError, ModelError, NotTrainedError, ResourceError, SchemaError, StaleIndexError  # noqa: F401
 from corvane.functions.text import short_hash
 
 
+def _summed_digests(text: Column) -> list[Column]:
+    """Exact sums of both halves of a 128-bit digest of each row, and the number of rows; the same in any order."""
+    half = lambda at: F.coalesce(F.sum(F.conv(F.substring(F.md5(text), at, 16), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return [F.count(F.lit(1)).cast("string"), half(1), half(17)]
+
+
 def file_fingerprint(spark, path: str) -> str:
-    """First 16 hex digits of SHA-256 over the bytes of one file."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring(F.sha2("content", 256), 1, 16).alias("f")).first()
-    if row is None:
-        raise CorpusNotFoundError(path)
-    return row["f"]
+    """First 16 hex digits of SHA-256 over the summed digests of all lines and their number.
+
+    Lines are digested where they are read, in blocks, so files of any size will
+    do. The order of lines doesn't count.
+    """
+    try:
+        lines = spark.read.text(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise CorpusNotFoundError(path) from e
+        raise
+    return lines.agg(short_hash(F.concat_ws("|", *_summed_digests(F.col("value")))).alias("f")).first()["f"]
 
 
 def table_fingerprint(table: DataFrame) -> DataFrame:
     """One row ``fingerprint`` of a table of any size: the same for the same rows in any order.
 
-    Row hashes are summed exactly, so no rows are gathered or sorted.
+    Digests of rows, in which a null is told from any value and each value from
+    its neighbours, are summed exactly, so no rows are gathered or sorted.
     """
-    h = F.xxhash64(*[F.col(c) for c in sorted(table.columns)]).cast("decimal(20,0)")
-    total = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("s"))
-    return total.select(short_hash(F.concat_ws("|", F.col("n").cast("string"), F.col("s").cast("string"))).alias("fingerprint"))
+    text = lambda c: F.to_json(F.array(F.col(c))) if isinstance(table.schema[c].dataType, (ArrayType, MapType, StructType)) else F.col(c).cast("string")
+    marked = [F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in sorted(table.columns)]
+    return table.agg(short_hash(F.concat_ws("|", *_summed_digests(F.concat(*marked)))).alias("fingerprint"))
 
 
 def model_fingerprint(kind: str, corpus: str, params: dict) -> str:

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The columns of an export, in file order, under their table names.
 EXPORT_COLUMNS = ["date_added", "trial_id", "title", "brief_title", "abstract", "publication_date", "phase"]
-EXPORT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in EXPORT_COLUMNS] + [T.StructField("_corrupt_record", T.StringType())])
 
 #: Registry name and the exact form of its identifiers.
 REGISTRY_FORMS = {
@@ -19,6 +17,8 @@ REGISTRY_FORMS = {
     "DRKS": r"DRKS[0-9]{8}",
     "jRCT": r"jRCT[0-9]{10}",
 }
+#: How a line of an export begins that opens a record: the date it was added, then an identifier.
+RECORD_START = '^(?:"[^",]{0,24}"|[^",]{0,24}),"?(?:' + "|".join(REGISTRY_FORMS.values()) + ')"?,'
 _CONTROL = "[\\x{0}-\\x{8}\\x{B}-\\x{1F}\\x{7F}-\\x{9F}\\x{FFFD}]"
 
 
@@ -64,7 +64,7 @@ def _is_day(value: Column) -> Column:
     return F.coalesce(value.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & ~value.startswith("0000") & value.try_cast("date").isNotNull(), F.lit(False))
 
 
-def read_records(lines: DataFrame, *, raw: str = "raw_line", line_no: str = "line_no") -> DataFrame:
+def read_records(lines: DataFrame, *, raw: str = "raw_line", line_no: str = "line_no", columns: list[str] | None = None, values: bool = True) -> DataFrame:
     """``lines`` with ``reason``, the parsed fields as struct ``fields`` and the raw text.
 
     The line is read permissively under the explicit schema, which keeps the raw
@@ -72,24 +72,29 @@ def read_records(lines: DataFrame, *, raw: str = "raw_line", line_no: str = "lin
     by quoting, field count and value checks, in this order, because the
     permissive reader also lets stray quotes pass. ``reason`` is null for a
     loadable record. Line 1 of each file is a header and comes out in neither
-    part. A null or empty line has no seven fields: ``column_count``. One pass,
-    no shuffle; all expressions stay in the JVM.
+    part. A null or empty line has no seven fields: ``column_count``. Other
+    ``columns`` than those of an export may be given; without ``values`` only
+    the form of a record is checked. One pass, no shuffle; all expressions stay
+    in the JVM.
     """
+    names = columns or EXPORT_COLUMNS
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "quote": '"', "escape": '"', "sep": ",", "maxCharsPerColumn": "-1"}
-    ddl = ", ".join(f"{f.name} STRING" for f in EXPORT_SCHEMA)
+    ddl = ", ".join(f"`{name}` STRING" for name in [*names, "_corrupt_record"])
     body = lines.filter(F.coalesce(F.col(line_no) != 1, F.lit(True)))
     body = body.withColumn("__text", F.coalesce(F.col(raw), F.lit(""))).withColumn("__pieces", _pieces(F.col("__text")))
-    body = body.withColumn("__shape", F.when(_broken_quoting(F.col("__pieces")), "quoting").when(_field_count(F.col("__pieces")) != len(EXPORT_COLUMNS), "column_count"))
+    body = body.withColumn("__shape", F.when(_broken_quoting(F.col("__pieces")), "quoting").when(_field_count(F.col("__pieces")) != len(names), "column_count"))
     body = body.withColumn("fields", F.from_csv(F.col("__text"), ddl, options))
     f = F.col("fields")
-    abstract = F.coalesce(f["abstract"], F.lit(""))
-    bad_value = (
-        registry_of(F.coalesce(f["trial_id"], F.lit(""))).isNull()
-        | ~abstract.rlike(r"[^\s\p{Z}]")
-        | abstract.rlike(_CONTROL)
-        | ~_is_day(f["publication_date"])
-        | f["_corrupt_record"].isNotNull()
-    )
+    bad_value = f["_corrupt_record"].isNotNull()
+    if values:
+        abstract = F.coalesce(f["abstract"], F.lit(""))
+        bad_value = (
+            registry_of(F.coalesce(f["trial_id"], F.lit(""))).isNull()
+            | ~abstract.rlike(r"[^\s\p{Z}]")
+            | abstract.rlike(_CONTROL)
+            | ~_is_day(f["publication_date"])
+            | bad_value
+        )
     reason = F.coalesce(F.col("__shape"), F.when(bad_value, F.lit("invalid_value")))
     return body.withColumn("reason", reason).drop("__text", "__pieces", "__shape")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corvane.operators.manifest import CorpusNotFoundError, EmptyCorpusError, SchemaError
+from corvane.errors import CorpusNotFoundError, EmptyCorpusError, SchemaError
+from corvane.operators.rejects import RECORD_START, read_records
+from corvane.plans.materialize import materialize
+from corvane.sources.records import csv_records
 
 #: Column of an export and its name in the engine.
 COLUMN_MAP = {"Trial ID": "trial_id", "Title": "title", "Abstract": "abstract", "Publication date": "publication_date", "Date added": "date_added", "Phase": "phase"}
@@ -31,23 +33,53 @@ def header(spark: SparkSession, path: str) -> list[str]:
         raise
 
 
-def read_csv(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFrame:
-    """The six engine columns of a CSV export as strings.
+def read_csv_parts(spark: SparkSession, path: str, *, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of a CSV export, and (``file``, ``block``, ``nth``, ``reason``, ``raw``) of the records that can't be read.
 
-    Quoted fields may hold line ends. Missing required columns raise with the
-    columns found; absent optional ones come out null. The row limit is applied
-    before blank rows are dropped. A row is blank if all its text fields are
-    missing.
+    A record is set apart if its quoting is broken or its number of fields isn't
+    that of the header. Rows have the six engine columns as strings: quoted
+    fields may hold line ends; missing required columns raise with the columns
+    found; absent optional ones come out null. The row limit is applied, in file
+    order, before blank rows are dropped. A row is blank if all its text fields
+    are missing.
     """
     found = header(spark, path)
     lacking = missing_required(found)
     if lacking:
         raise SchemaError(f"{path}: columns {lacking} are missing; found {found[:8]}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in found])
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    value = lambda c: F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`"))
-    rows = rows.select(*[(value(c) if c in found else F.lit(None).cast("string")).alias(name) for c, name in COLUMN_MAP.items()])
-    return drop_blank(rows if limit is None else rows.limit(limit))
+    export = found[1:2] == ["Trial ID"]
+    records = csv_records(spark, path, record_start=RECORD_START if export else None).withColumn("line_no", F.when(F.col("header"), 1).otherwise(2))
+    read = read_records(records, raw="raw", columns=[f"c{i}" for i in range(len(found))], values=False)
+    good = read.filter(F.col("reason").isNull())
+    if limit is not None:
+        good = good.orderBy("file", "block", "nth").limit(limit)
+    value = lambda c: F.when(~c.isin(MISSING), c)
+    rows = good.select(*[(value(F.col("fields")[f"c{found.index(c)}"]) if c in found else F.lit(None).cast("string")).alias(name) for c, name in COLUMN_MAP.items()])
+    return drop_blank(rows), read.filter(F.col("reason").isNotNull()).select("file", "block", "nth", "reason", "raw")
+
+
+def read_csv(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFrame:
+    """The good rows of ``read_csv_parts``."""
+    return read_csv_parts(spark, path, limit=limit)[0]
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``row_id``: 0, 1, 2 ... in the order of a 128-bit digest over all columns, nulls told apart.
+
+    Every row keeps its own id, equal rows neighbouring ones, so nothing is
+    dropped and no two rows share an id; the ids don't depend on partitions.
+    Equal rows, however many, are spread over the sorted partitions by their
+    place. One shuffle; the only table gathered has a row per partition.
+    """
+    marked = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in rows.columns]
+    keyed = rows.withColumn("__h", F.md5(F.concat(*marked))).withColumn("__n", F.monotonically_increasing_id())
+    ranged = keyed.repartitionByRange("__h", "__n").sortWithinPartitions("__h", "__n").drop("__h", "__n")
+    # an id holds the partition's number and the place in it
+    held = materialize(ranged.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = held.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return held.join(F.broadcast(before), part == F.col("__p")).select((F.col("__before") + place).alias("row_id"), *rows.columns)
 
 
 def drop_blank(rows: DataFrame) -> DataFrame:
