@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, fields
 
-from corvane.operators.manifest import ConfigurationError
+from corvane.errors import ConfigurationError
 
 MODELS, FIELDS, POOLINGS = ("skipgram", "fasttext"), ("abstract", "title"), ("mean", "sif")
 PREFIX = "CORVANE_"
+#: Largest values that make sense.
+MOST = {"top_n": 1000, "vector_size": 1000, "window": 50, "epochs": 100, "buckets": 2_000_000}
 
 
 @dataclass(frozen=True)
@@ -42,19 +44,33 @@ class Settings:
         for name in ("top_n", "vector_size", "window", "min_count", "epochs", "buckets", "partitions"):
             if getattr(self, name) < 1:
                 raise ConfigurationError(f"{name} must be 1 or more")
+        for name, most in MOST.items():
+            if getattr(self, name) > most:
+                raise ConfigurationError(f"{name} must be {most} or less")
         if not self.sif_a > 0:
             raise ConfigurationError("sif_a must be positive")
+        if self.max_artefact_mb <= 0:
+            raise ConfigurationError("max_artefact_mb must be positive")
 
     @classmethod
-    def from_env(cls, **given) -> Settings:
-        out = {}
+    def from_env(cls, *, env_file: str = ".env", **given) -> Settings:
+        """Settings given, else of the environment, else of ``env_file`` (lines NAME=value), else the defaults."""
+        out, filed = {}, {}
+        if os.path.exists(env_file):
+            with open(env_file, encoding="utf-8") as f:
+                lines = [line.strip().removeprefix("export ").partition("=") for line in f if "=" in line and not line.lstrip().startswith("#")]
+            filed = {name.strip(): value.strip().strip("'\"") for name, _, value in lines}
         for f in fields(cls):
-            raw = os.environ.get(PREFIX + f.name.upper())
+            name = PREFIX + f.name.upper()
+            raw = os.environ.get(name, filed.get(name))
             if given.get(f.name) is not None:
                 out[f.name] = given[f.name]
             elif raw is not None:
                 kind = type(f.default)
-                out[f.name] = raw.strip().lower() in ("1", "true", "yes", "on") if kind is bool else kind(raw)
+                try:
+                    out[f.name] = raw.strip().lower() in ("1", "true", "yes", "on") if kind is bool else kind(raw)
+                except ValueError as e:
+                    raise ConfigurationError(f"{name}: {raw!r} is no {kind.__name__}") from e
         return cls(**out)
 
     def tokens_path(self) -> str:

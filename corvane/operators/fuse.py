@@ -117,10 +117,19 @@ def negation_filtered(ranked: DataFrame, queries: DataFrame, corpus: DataFrame,
     return kept.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)
 
 
-def reasons(queries: DataFrame, hits: DataFrame, *, text: str = "query_text", when_none: str = "Nothing matched this query.") -> DataFrame:
-    """(``query_id``, ``reason``): null where a query has hits, else why not."""
-    answered = hits.select("query_id").distinct().withColumn("__yes", F.lit(True))
+def reasons(queries: DataFrame, hits: DataFrame, *, text: str = "query_text", known: DataFrame | None = None, before: DataFrame | None = None, when_none: str = "Nothing matched this query.") -> DataFrame:
+    """(``query_id``, ``reason``): null where a query has hits, else why not, the first that applies.
+
+    ``known`` has the ``query_id`` of the queries with a word the collection or
+    the model knows, ``before`` of those with hits before filters; without them
+    these two reasons aren't told apart from ``when_none``.
+    """
+    mark = lambda table, name: table.select("query_id").distinct().withColumn(name, F.lit(True))
+    out = queries.join(mark(hits, "__yes"), "query_id", "left")
+    out = out.join(mark(known, "__known"), "query_id", "left") if known is not None else out.withColumn("__known", F.lit(True))
+    out = out.join(mark(before, "__before"), "query_id", "left") if before is not None else out.withColumn("__before", F.lit(None).cast("boolean"))
     blank = F.trim(F.coalesce(text, F.lit(""))) == ""
     empty = F.size(T.preprocess(F.col(text))) == 0
-    why = F.when(F.col("__yes"), F.lit(None)).when(blank, "Query is empty.").when(empty, "Query has no searchable words.").otherwise(when_none)
-    return queries.join(answered, "query_id", "left").select("query_id", why.cast("string").alias("reason"))
+    why = F.when(F.col("__yes"), F.lit(None)).when(blank, "Query is empty.").when(empty, "Query has no searchable words.").when(F.col("__known").isNull(), "No word of this query is known.")
+    why = why.when(F.col("__before"), "All results were ruled out by the query.").otherwise(when_none)
+    return out.select("query_id", why.cast("string").alias("reason"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.plans.skew import join_dimension
 
+#: Words whose lemma is another word, up to which their map is held by every task.
+MOST_LEMMAS = 1_000_000
+
 #: Plurals that no suffix rule covers.
 IRREGULAR = {"children": "child", "feet": "foot", "teeth": "tooth", "mice": "mouse", "geese": "goose", "indices": "index", "matrices": "matrix", "diagnoses": "diagnosis", "analyses": "analysis", "metastases": "metastasis", "criteria": "criterion", "bacteria": "bacterium"}
 
@@ -44,6 +51,36 @@ def lemma_map(terms: DataFrame) -> DataFrame:
     return guess.join(known, F.col("__guess") == F.col("__known"), "left").select("term", F.coalesce("__known", "term").alias("lemma"))
 
 
+def lemma_tokens(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """``tokens`` with every token in the form of its lemma, in place.
+
+    Only words that change are looked up. Up to ``MOST_LEMMAS`` of them, which
+    are counted first, are held by every task and no row moves; more are joined
+    under skew and the token lists put together again.
+    """
+    changed = lemmas.filter(F.col("term") != F.col("lemma")).select("term", "lemma")
+    if changed.limit(MOST_LEMMAS + 1).count() > MOST_LEMMAS:
+        flat = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
+        weighted = changed.join(flat.groupBy("term").agg(F.count(F.lit(1)).alias("__n")), "term")
+        said = join_dimension(flat, weighted, "term", "__n", ["doc_id", "pos"], how="left").select("doc_id", F.struct("pos", F.coalesce("lemma", "term").alias("t")).alias("x"))
+        lists = said.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]).alias("tokens"))
+        return tokens.select("doc_id").join(lists, "doc_id", "left").select("doc_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    pairs = changed.toArrow()
+    held = tokens.sparkSession.sparkContext.broadcast((pairs.column("term").combine_chunks(), pairs.column("lemma").combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, forms = held.value
+        for b in batches:
+            lists = b.column(1)
+            flat = lists.flatten()
+            said = pc.coalesce(forms.take(pc.index_in(flat, words)), flat)
+            start = lists.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pc.subtract(lists.offsets, pa.scalar(start, pa.int32())), said)], ["doc_id", "tokens"])
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("doc_id", "tokens").mapInArrow(run, f"doc_id {kind}, tokens array<string>")
+
+
 def term_counts(tokens: DataFrame) -> DataFrame:
     """(``doc_id``, ``term``, ``tf``): repeats within a document are counted before the shuffle."""
     return tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))

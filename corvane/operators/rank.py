@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.plans.materialize import materialize
+from corvane.plans.skew import join_dimension
+
 DIGITS = 6
 
 
@@ -38,9 +41,26 @@ def idf_bm25(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def tfidf_norms(postings: DataFrame, idf: DataFrame) -> DataFrame:
-    """(``doc_id``, ``norm``): length of each document's weight vector."""
+    """(``doc_id``, ``norm``): length of each document's weight vector.
+
+    A term of very many documents doesn't meet in one task.
+    """
     w = F.col("tf") * F.col("idf")
-    return postings.join(idf, "term").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    met = join_dimension(postings, idf.select("term", "df", "idf"), "term", "df", ["doc_id"])
+    return met.groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+
+
+def matching(postings: DataFrame, asked: DataFrame, df: DataFrame) -> DataFrame:
+    """Postings of the terms in ``asked`` (``term`` and more columns, a row per query and term), joined.
+
+    Terms asked by a batch are few beside the postings. They are grouped by term
+    and joined under skew, so the postings of a word that most documents hold
+    are spread, and so are those of one that most queries ask.
+    """
+    rest = [c for c in asked.columns if c != "term"]
+    by = asked.groupBy("term").agg(F.collect_list(F.struct(*rest)).alias("__asked"))
+    met = join_dimension(postings, materialize(by.join(df.select("term", "df"), "term"), "asked-terms"), "term", "df", ["doc_id"])
+    return met.withColumn("__a", F.explode("__asked")).select(*[c for c in met.columns if c not in ("__asked", "df")], *[F.col("__a")[c].alias(c) for c in rest])
 
 
 def tfidf(postings: DataFrame, idf: DataFrame, norms: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
@@ -52,14 +72,14 @@ def tfidf(postings: DataFrame, idf: DataFrame, norms: DataFrame, queries: DataFr
     known = queries.join(idf, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
     norm_q = known.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     known = known.join(norm_q, "query_id").select("query_id", "term", (F.col("qw") / F.col("qnorm") * F.col("idf")).alias("qw"))
-    dots = postings.join(known, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("tf")).alias("dot"))
+    dots = matching(postings, known, idf).groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("tf")).alias("dot"))
     scored = dots.join(norms, "doc_id").select("query_id", "doc_id", F.round(F.col("dot") / F.col("norm"), DIGITS).alias("score"))
     return top_n(scored, n)
 
 
 def bm25_scores(postings: DataFrame, doc_lengths: DataFrame, stats: DataFrame, idf: DataFrame, queries: DataFrame, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(``query_id``, ``doc_id``, ``score``) of every document that shares a term; a repeated query term counts again."""
-    hit = postings.join(queries.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")), "term")
+    hit = matching(postings, queries.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")), idf)
     hit = hit.join(doc_lengths, "doc_id").crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
@@ -105,9 +125,16 @@ def cosine(queries: DataFrame, documents: DataFrame, n: int = 10, *, block_rows:
                 d_id, s = d_id[order], np.round(x @ y[order].T, DIGITS)
                 if exclude_self:
                     s[q_id[:, None] == d_id[None, :]] = -1
-                best = np.argsort(-s, axis=1, kind="stable")[:, :n]
-                i = np.repeat(np.arange(len(q_id)), best.shape[1])
-                j = best.ravel()
+                if s.shape[1] > n:
+                    # all that reach the n-th best score, ties included, then cut in order of score and id
+                    i, j = np.nonzero(s >= np.partition(s, s.shape[1] - n, axis=1)[:, [s.shape[1] - n]])
+                    order = np.lexsort((j, -s[i, j], i))
+                    i, j = i[order], j[order]
+                    begin = np.searchsorted(i, np.arange(len(q_id)))
+                    first = np.arange(len(i)) - begin[i] < n
+                    i, j = i[first], j[first]
+                else:
+                    i, j = (x.ravel() for x in np.indices(s.shape))
                 good = s[i, j] > 0
                 yield pa.RecordBatch.from_arrays([pa.array(q_id[i[good]]), pa.array(d_id[j[good]]), pa.array(s[i, j][good])], ["query_id", "doc_id", "score"])
 

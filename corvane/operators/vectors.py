@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.plans.materialize import materialize
+from corvane.plans.skew import join_dimension
+
+#: Size of word vectors up to which every task holds them.
+MAX_VECTORS_MB = 256
+
 
 def norm(v: Column) -> Column:
     """Euclidean length of an array column."""
@@ -34,26 +45,69 @@ def _vector(column: str) -> Column:
     return array_to_vector(F.transform(column, lambda x: x.cast("double")))
 
 
-def pooled(counts: DataFrame, word_vectors: DataFrame, documents: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """(``doc_id``, ``v``, ``known``): mean of the vectors of the known tokens.
+def pooled(tokens: DataFrame, word_vectors: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(``doc_id``, ``v``, ``known``): mean of the vectors of the known tokens of each document.
 
-    ``counts`` has ``doc_id``, ``term``, ``tf``; a token counts once per
+    ``tokens`` has ``doc_id`` and ``tokens``; a token counts once per
     occurrence, unknown ones don't. With ``weights`` (``term``, ``weight``) the
     mean is weighted, 1 for terms without one; where all weights are 0 the
-    plain mean is taken. Documents without known tokens have a null vector and
-    0 known tokens. The sums are combined before the shuffle.
+    plain mean is taken. Documents without known tokens, null lists included,
+    have a null vector and 0 known tokens.
+
+    Word vectors up to ``MAX_VECTORS_MB``, measured first, are held by every
+    task: documents are pooled where they lie, without a shuffle. Larger ones
+    are joined with the counted terms under skew.
     """
-    hit = counts.join(word_vectors.select("term", "v"), "term")
-    tf = F.col("tf").cast("double")
-    if weights is None:
-        sums = hit.groupBy("doc_id").agg(Summarizer.mean(_vector("v"), tf).alias("m"), F.sum("tf").alias("known")).select("doc_id", vector_to_array("m").alias("v"), "known")
+    words = word_vectors.select("term", "v").filter(F.col("v").isNotNull())
+    if weights is not None:
+        words = words.join(weights.select("term", "weight"), "term", "left").select("term", "v", F.coalesce("weight", F.lit(1.0)).alias("w"))
     else:
-        hit = hit.join(weights.select("term", "weight"), "term", "left").withColumn("w", F.coalesce("weight", F.lit(1.0)))
-        plain, scaled = Summarizer.mean(_vector("v"), tf), Summarizer.mean(array_to_vector(F.transform("v", lambda x: x.cast("double") * F.col("w"))), tf)
-        sums = hit.groupBy("doc_id").agg(plain.alias("m"), scaled.alias("wm"), F.sum(tf * F.col("w")).alias("weight_sum"), F.sum("tf").alias("known"))
-        mean = F.transform(vector_to_array("wm"), lambda x: x * F.col("known") / F.col("weight_sum"))
-        sums = sums.select("doc_id", F.when(F.col("weight_sum") > 0, mean).otherwise(vector_to_array("m")).alias("v"), "known")
-    return documents.select("doc_id").join(sums, "doc_id", "left").select("doc_id", "v", F.coalesce("known", F.lit(0)).cast("bigint").alias("known"))
+        words = words.withColumn("w", F.lit(1.0))
+    words = materialize(words, "weighted-words")
+    total = words.agg(F.sum(F.size("v") * 8 + F.length("term") + 16).alias("b")).first()["b"] or 0
+    if total > MAX_VECTORS_MB * 1e6:
+        return _pooled_by_join(tokens, words)
+    table = words.toArrow()
+    v = table.column("v").combine_chunks()
+    matrix = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
+    held = tokens.sparkSession.sparkContext.broadcast((table.column("term").combine_chunks(), matrix, table.column("w").to_numpy().astype(np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, matrix, weight = held.value
+        for b in batches:
+            lists = b.column(1)
+            found = pc.index_in(lists.flatten(), terms)
+            known = found.is_valid().to_numpy(zero_copy_only=False)
+            at = found.drop_null().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(known)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            size = np.diff(ends)
+            out = np.zeros((len(size), matrix.shape[1]))
+            some = np.flatnonzero(size)
+            if len(some):
+                w = weight[at]
+                of = np.repeat(np.arange(len(size)), size)
+                mass = np.bincount(of, w, len(size))
+                w = np.where(mass[of] > 0, w, 1.0)
+                for lo in range(0, matrix.shape[1], 16):  # a few columns at a time bound the memory
+                    out[some, lo : lo + 16] = np.add.reduceat(matrix[at, lo : lo + 16] * w[:, None], ends[some], axis=0)
+                out[some] /= np.where(mass > 0, mass, size)[some, None]
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * matrix.shape[1]), pa.array(out.ravel()), mask=pa.array(size == 0))
+            yield pa.RecordBatch.from_arrays([b.column(0), vectors, pa.array(size.astype(np.int64))], ["doc_id", "v", "known"])
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("doc_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).mapInArrow(run, f"doc_id {kind}, v array<double>, known bigint")
+
+
+def _pooled_by_join(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """``pooled`` with word vectors of any size: terms are counted, joined under skew, and the sums combined before the shuffle."""
+    counts = materialize(tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")), "counts")
+    asked = words.join(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    hit = join_dimension(counts, asked, "term", "df", ["doc_id"])
+    plain, scaled = Summarizer.mean(_vector("v"), F.col("tf")), Summarizer.mean(array_to_vector(F.transform("v", lambda x: x.cast("double") * F.col("w"))), F.col("tf"))
+    sums = hit.groupBy("doc_id").agg(plain.alias("m"), scaled.alias("wm"), F.sum(F.col("tf") * F.col("w")).alias("mass"), F.sum("tf").alias("known"))
+    mean = F.transform(vector_to_array("wm"), lambda x: x * F.col("known") / F.col("mass"))
+    sums = sums.select("doc_id", F.when(F.col("mass") > 0, mean).otherwise(vector_to_array("m")).alias("v"), "known")
+    return tokens.select("doc_id").join(sums, "doc_id", "left").select("doc_id", "v", F.coalesce("known", F.lit(0)).cast("bigint").alias("known"))
 
 
 def unknown_documents(vectors: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ SQL |= {
 
 # Vectors
 
-_WORDS = """wv AS (SELECT term, CAST(embedding AS DOUBLE[]) AS v FROM (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS vec_id FROM (SELECT term, count(*) AS df FROM counts GROUP BY term)) JOIN embeddings USING (vec_id)),
+_WORDS = """wv AS (SELECT term, CAST(embedding AS DOUBLE[]) AS v FROM (SELECT term, CAST('0x' || substring(md5(term), 1, 12) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id FROM (SELECT DISTINCT term FROM counts)) JOIN embeddings USING (vec_id)),
 sif AS (SELECT term, 0.001 / (0.001 + sum(tf) / (SELECT sum(tf) FROM counts)) AS weight FROM counts GROUP BY term)"""
 
 

@@ -4,25 +4,31 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import fuse, postings, rank
 from corvane.plans.materialize import materialize
 from corvane.plans.spread import spread
+from corvane.sources import store
 
 
 @dataclass
 class LexicalIndex:
-    """Postings and their statistics, written once to the shared folder."""
+    """Postings and their statistics, written once; every ranker call only reads.
 
+    ``surface`` are the tokens as written, ``tokens`` those the postings count
+    (lemmas, where there are any).
+    """
+
+    surface: DataFrame
     tokens: DataFrame
-    counts: DataFrame
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
     df: DataFrame
+    norms: DataFrame
     lemmas: DataFrame | None
     chain: object
 
@@ -33,23 +39,43 @@ class LexicalIndex:
         return rank.bm25(self.postings, self.lengths, self.stats, rank.idf_bm25(self.df, self.stats), self.queries(queries), n, **k)
 
     def tfidf(self, queries: DataFrame, n: int = 10) -> DataFrame:
-        idf = rank.idf_tfidf(self.df, self.stats)
-        return rank.tfidf(self.postings, idf, rank.tfidf_norms(self.postings, idf), self.queries(queries), n)
+        return rank.tfidf(self.postings, rank.idf_tfidf(self.df, self.stats), self.norms, self.queries(queries), n)
 
+    def save(self, path: str, **about) -> dict:
+        """Keep all tables below ``path``, their manifest written last."""
+        spark = self.postings.sparkSession
+        for name in _TABLES:
+            table = getattr(self, name)
+            if table is not None:
+                table.write.mode("overwrite").parquet(f"{path}/{name}")
+        about |= {"lemmas": self.lemmas is not None}
+        store.write_json(spark, f"{path}/manifest.json", about)
+        return about
 
-def build_lexical(documents: DataFrame, *, key: str, text: Column, chain=T.preprocess, lemmas: bool = True) -> LexicalIndex:
-    """Tokenise once, count, lemmatise, and write postings and lengths.
 
-    The token table is read by every later step instead of tokenising again.
-    """
-    tokens = materialize(postings.tokenized(spread(documents, key), key=key, text=text, chain=chain), "tokens")
-    counts = materialize(postings.term_counts(tokens), "counts")
-    found, held = None, counts
+_TABLES = ("surface", "tokens", "postings", "lengths", "stats", "df", "norms", "lemmas")
+
+
+def load_lexical(spark: SparkSession, path: str, *, chain=T.preprocess, **wanted) -> LexicalIndex:
+    """A saved index; raises if it isn't there or a ``wanted`` value of its manifest differs."""
+    about = store.read_json(spark, f"{path}/manifest.json")
+    store.check(path, about, wanted)
+    return LexicalIndex(*[spark.read.parquet(f"{path}/{name}") if name != "lemmas" or about["lemmas"] else None for name in _TABLES], chain)
+
+
+def build_lexical(documents: DataFrame, *, key: str, text: Column, chain=T.preprocess, lemmas: bool = True) -> LexicalIndex:
+    """Tokenise once, bring tokens to their lemmas, count, and write postings, lengths, frequencies and norms."""
+    surface = materialize(postings.tokenized(spread(documents, key), key=key, text=text, chain=chain), "surface")
+    found, tokens = None, surface
     if lemmas:
-        found = materialize(postings.lemma_map(counts), "lemmas")
-        held = materialize(postings.lemmatized(counts, found), "postings")
-    doc_lengths = tokens.select("doc_id", F.size("tokens").cast("bigint").alias("dl"))
-    return LexicalIndex(tokens, counts, held, doc_lengths, postings.collection_stats(doc_lengths), postings.document_frequency(held), found, chain)
+        found = materialize(postings.lemma_map(surface.select(F.explode("tokens").alias("term"))), "lemmas")
+        tokens = materialize(postings.lemma_tokens(surface, found), "tokens")
+    held = materialize(postings.term_counts(tokens), "postings")
+    lengths = tokens.select("doc_id", F.size("tokens").cast("bigint").alias("dl"))
+    stats = materialize(postings.collection_stats(lengths), "stats")
+    df = materialize(postings.document_frequency(held), "df")
+    norms = materialize(rank.tfidf_norms(held, rank.idf_tfidf(df, stats)), "norms")
+    return LexicalIndex(surface, tokens, held, lengths, stats, df, norms, found, chain)
 
 
 def one_per_trial(hits: DataFrame, corpus: DataFrame, n: int | None = None) -> DataFrame:

@@ -188,19 +188,17 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 # Vectors
 
 
-def _word_vectors(spark: SparkSession, d: str, counts: DataFrame) -> DataFrame:
-    """The terms of the abstracts, most frequent first, each with the vector of that place in ``embeddings``."""
-    df = postings.document_frequency(counts)
-    first = df.orderBy(F.desc("df"), "term").limit(_t(spark, d, "embeddings").count())
-    placed = first.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).cast("bigint").alias("vec_id"))
-    return placed.join(_t(spark, d, "embeddings"), "vec_id").select("term", F.col("embedding").alias("v"))
+def _word_vectors(spark: SparkSession, d: str, tokens: DataFrame) -> DataFrame:
+    """Every term of the abstracts with a vector of ``embeddings``, picked by a digest of the term: stand-ins that SQL can repeat."""
+    v = _t(spark, d, "embeddings")
+    place = F.pmod(F.conv(F.substring(F.md5("term"), 1, 12), 16, 10).cast("bigint"), F.lit(v.count()))
+    terms = tokens.select(F.explode("tokens").alias("term")).distinct()
+    return terms.withColumn("vec_id", place).join(v, "vec_id").select("term", F.col("embedding").alias("v"))
 
 
 def _pooled(spark: SparkSession, d: str, weighted: bool) -> DataFrame:
     tokens = materialize(_tokens(spark, d), "tokens")
-    counts = materialize(postings.term_counts(tokens), "counts")
-    words = materialize(_word_vectors(spark, d, counts), "words")
-    return vectors.pooled(counts, words, tokens, postings.sif_weights(counts) if weighted else None)
+    return vectors.pooled(tokens, _word_vectors(spark, d, tokens), postings.sif_weights(postings.term_counts(tokens)) if weighted else None)
 
 
 def _entries(df: DataFrame) -> DataFrame:
@@ -232,7 +230,11 @@ def component_removed(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: The training of production, side by side: one partition would leave all other cores idle.
-TRAINING = embed.TrainingParams(partitions=4)
+TRAINING = embed.TrainingParams(partitions=8)
+
+
+def _asked_words(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "eval_queries").select(F.explode(T.preprocess(F.col("query_text"))).alias("term"))
 
 
 def skipgram_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -242,8 +244,13 @@ def skipgram_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def most_similar(spark: SparkSession, d: str) -> DataFrame:
     """The most similar words of every word of the judged queries."""
-    words = materialize(embed.skipgram(_tokens(spark, d), TRAINING), "words")
-    return embed.most_similar(words, _t(spark, d, "eval_queries").select(F.explode(T.preprocess(F.col("query_text"))).alias("term")))
+    return embed.most_similar(embed.skipgram(_tokens(spark, d), TRAINING), _asked_words(spark, d))
+
+
+def subword_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the query words, also of unseen ones, from n-grams trained with the words."""
+    model = embed.train(_tokens(spark, d), TRAINING, subwords=True)
+    return embed.infer(_asked_words(spark, d), model.words, model.buckets, TRAINING)
 
 
 def candidate_sheet(spark: SparkSession, d: str) -> DataFrame:
@@ -253,13 +260,6 @@ def candidate_sheet(spark: SparkSession, d: str) -> DataFrame:
     return sheet(pool_candidates(spark, d), _t(spark, d, "eval_queries"), _corpus(spark, d))
 
 
-def subword_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of the query words, also of unseen ones, from subwords."""
-    words = materialize(embed.skipgram(_tokens(spark, d), TRAINING), "words")
-    asked = _t(spark, d, "eval_queries").select(F.explode(T.preprocess(F.col("query_text"))).alias("term"))
-    return embed.infer(asked, words, embed.subword(words, TRAINING), TRAINING)
-
-
 # Fusion, identifiers, negation
 
 
@@ -320,16 +320,25 @@ def promoted(spark: SparkSession, d: str) -> DataFrame:
     return fuse.promoted(ranked, fuse.known_items(q, fuse.id_index(corpus))).select("query_id", "trial_id", "rank")
 
 
+def _embedding_run(lex: retrieval.LexicalIndex, words: DataFrame, q: DataFrame, n: int = 30) -> DataFrame:
+    """Cosine of pooled query words against pooled abstracts."""
+    docs = materialize(vectors.pooled(lex.surface, words).select(F.col("doc_id").alias("id"), "v"), "docs")
+    asked = vectors.pooled(postings.tokenized(q, key="query_id", text=F.col("query_text")), words).select(F.col("doc_id").cast("bigint").alias("id"), "v")
+    return materialize(rank.cosine(materialize(asked, "asked"), docs, n).withColumn("query_id", F.col("query_id").cast("int")), "embedding")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The default search of all judged queries; pooled query words against pooled abstracts are the embedding run."""
     lex, q = _runs(spark, d)
-    corpus = _corpus(spark, d)
-    words = materialize(_word_vectors(spark, d, lex.counts), "words")
-    docs = materialize(vectors.pooled(lex.counts, words, lex.tokens).select(F.col("doc_id").alias("id"), "v"), "docs")
-    asked = postings.query_terms(q, key="query_id", text=F.col("query_text"))
-    asked = vectors.pooled(asked.select(F.col("query_id").alias("doc_id"), "term", F.col("qtf").alias("tf")), words, q.select(F.col("query_id").alias("doc_id"))).select(F.col("doc_id").cast("bigint").alias("id"), "v")
-    embedding = materialize(rank.cosine(materialize(asked, "asked"), docs, 30).withColumn("query_id", F.col("query_id").cast("int")), "embedding")
-    return retrieval.flagship(lex, embedding, q, corpus).select("query_id", "trial_id", F.round("score", 9).alias("score"), "rank")
+    embedding = _embedding_run(lex, materialize(_word_vectors(spark, d, lex.surface), "words"), q)
+    return retrieval.flagship(lex, embedding, q, _corpus(spark, d)).select("query_id", "trial_id", F.round("score", 9).alias("score"), "rank")
+
+
+def flagship_trained(spark: SparkSession, d: str) -> DataFrame:
+    """The same search with word vectors trained on the abstracts."""
+    lex, q = _runs(spark, d)
+    embedding = _embedding_run(lex, embed.skipgram(lex.surface, TRAINING), q)
+    return retrieval.flagship(lex, embedding, q, _corpus(spark, d)).select("query_id", "trial_id", F.round("score", 9).alias("score"), "rank")
 
 
 def query_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -450,7 +459,7 @@ QUERIES = {
         p3_found, p3_loaded, clean_text, strip_urls, join_marks, tokenize, preprocess, old_chain, legacy_chain, bigrams, normalize_id, truncated_abstract, row_fingerprint, drop_blank_rows, containment,
         term_freq, doc_freq, lemma_map, lemma_postings, vocab_top10, corpus_stats, sif_weights, idf, bm25_topk, bm25_b0, tfidf_topk, bigram_bm25, old_chain_bm25, cosine_topk,
         mean_pool, sif_pool, oov_documents, l2_normalize, component_removed, skipgram_vectors, subword_vectors, most_similar, candidate_sheet, rrf_union, pool_candidates, unjudged, known_item, id_collisions, negation_spans,
-        negation_asserts, negation_filter, promoted, flagship, query_reasons, log_metrics, log_metrics_by_stratum, ranker_metrics, method_best, release_gate, log_latency, bootstrap, overlap_twins,
+        negation_asserts, negation_filter, promoted, flagship, flagship_trained, query_reasons, log_metrics, log_metrics_by_stratum, ranker_metrics, method_best, release_gate, log_latency, bootstrap, overlap_twins,
         label_progress, merge_labels, relevant_per_stratum, served_per_day, integrity_findings, table_fingerprints,
     )
 }

@@ -20,6 +20,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, length and time of change of each file of a path, which may hold wildcards; empty if there is none."""
+    fs, p = _fs(spark, path)
+    found = fs.globStatus(p) or []
+    return sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for f in found for s in (fs.listStatus(f.getPath()) if f.isDirectory() else [f]))
+
+
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
     fs, p = _fs(spark, path)
     out = fs.create(p, True)
@@ -59,6 +66,13 @@ def save_table(table: DataFrame, path: str, **about) -> dict:
     return manifest
 
 
+def check(path: str, manifest: dict, wanted: dict) -> None:
+    """Raise if a manifest doesn't have the wanted values; another collection is a ``StaleIndexError``."""
+    for name, value in wanted.items():
+        if manifest.get(name) != value:
+            raise (StaleIndexError if name == "corpus_fingerprint" else MismatchError)(f"{path}: {name} is {manifest.get(name)}, not {value}")
+
+
 def load_table(spark: SparkSession, path: str, *, verify: bool = False, **wanted) -> tuple[DataFrame, dict]:
     """A saved table and its manifest.
 
@@ -67,9 +81,7 @@ def load_table(spark: SparkSession, path: str, *, verify: bool = False, **wanted
     don't have the checksum.
     """
     manifest = read_json(spark, f"{path}/manifest.json")
-    for name, value in wanted.items():
-        if manifest.get(name) != value:
-            raise (StaleIndexError if name == "corpus_fingerprint" else MismatchError)(f"{path}: {name} is {manifest.get(name)}, not {value}")
+    check(path, manifest, wanted)
     table = spark.read.parquet(f"{path}/data")
     if verify and table_fingerprint(table).first()["fingerprint"] != manifest["checksum"]:
         raise MismatchError(f"{path}: the data have changed since the manifest was written")

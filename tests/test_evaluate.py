@@ -135,7 +135,12 @@ def test_csv(spark, tmp_path):
         corpus.require_rows(spark.range(0))
     with pytest.raises(manifest.SchemaError):
         corpus.text_of(spark.range(1), "abstract")
-    assert manifest.file_fingerprint(spark, str(p)) == __import__("hashlib").sha256(p.read_bytes()).hexdigest()[:16]
+    # the digest of the lines' digests, no longer of the file as one value: equal for equal content, whatever the file's name
+    first = manifest.file_fingerprint(spark, str(p))
+    (tmp_path / "copy.csv").write_bytes(p.read_bytes())
+    assert len(first) == 16 and manifest.file_fingerprint(spark, str(tmp_path / "copy.csv")) == first
+    (tmp_path / "copy.csv").write_bytes(p.read_bytes() + b"NCT4,t,u,,z\n")
+    assert manifest.file_fingerprint(spark, str(tmp_path / "copy.csv")) != first
 
 
 def test_query_files(spark, tmp_path):
@@ -149,16 +154,21 @@ def test_query_files(spark, tmp_path):
         corpus.read_judgements(spark, str(tmp_path / "c.json"))
 
 
-def test_pooling(spark):
-    words = spark.createDataFrame([("lung", [1.0, 0.0]), ("virus", [0.0, 2.0])], "term string, v array<double>")
-    counts = spark.createDataFrame([(1, "lung", 2), (1, "virus", 1), (1, "unseen", 9), (2, "unseen", 1)], "doc_id bigint, term string, tf bigint")
-    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id bigint")
-    got = {r["doc_id"]: (r["v"], r["known"]) for r in vectors.pooled(counts, words, docs).collect()}
-    assert got[1] == (pytest.approx([2 / 3, 2 / 3]), 3) and got[2] == (None, 0) and got[3] == (None, 0)
+@pytest.mark.parametrize("held", [True, False])
+def test_pooling(spark, monkeypatch, held):
+    """With word vectors in every task, and by a join."""
+    if not held:
+        monkeypatch.setattr(vectors, "MAX_VECTORS_MB", 0)
+    words = spark.createDataFrame([("lung", [1.0, 0.0]), ("virus", [0.0, 2.0]), ("null", None)], "term string, v array<double>")
+    docs = spark.createDataFrame([(1, ["lung", "unseen", "virus", "lung"]), (2, ["unseen", "null"]), (3, []), (4, None)], "doc_id bigint, tokens array<string>")
+    got = {r["doc_id"]: (r["v"], r["known"]) for r in vectors.pooled(docs, words).collect()}
+    assert got.pop(1) == (pytest.approx([2 / 3, 2 / 3]), 3) and got == {2: (None, 0), 3: (None, 0), 4: (None, 0)}
     weights = spark.createDataFrame([("lung", 0.0)], "term string, weight double")
-    assert {r["doc_id"]: r["v"] for r in vectors.pooled(counts, words, docs, weights).collect()}[1] == pytest.approx([0.0, 2.0])
+    assert {r["doc_id"]: r["v"] for r in vectors.pooled(docs, words, weights).collect()}[1] == pytest.approx([0.0, 2.0])
     zero = spark.createDataFrame([("lung", 0.0), ("virus", 0.0)], "term string, weight double")
-    assert {r["doc_id"]: r["v"] for r in vectors.pooled(counts, words, docs, zero).collect()}[1] == pytest.approx([2 / 3, 2 / 3])
+    assert {r["doc_id"]: r["v"] for r in vectors.pooled(docs, words, zero).collect()}[1] == pytest.approx([2 / 3, 2 / 3])
+    assert vectors.pooled(docs.limit(0), words).count() == 0
+    assert {r["known"] for r in vectors.pooled(docs, words.limit(0)).collect()} == {0}
 
 
 def test_component_removal(spark):
@@ -180,26 +190,40 @@ def test_component_removal(spark):
 
 
 def test_embeddings(spark):
-    tokens = spark.createDataFrame([("lung injury failure virus".split(),), ("kidney injury failure renal".split(),)] * 30 + [([],)], "tokens array<string>")
-    p = embed.TrainingParams(vector_size=8, epochs=1, buckets=500)
-    words = embed.skipgram(tokens, p)
-    again = embed.skipgram(tokens, p)
-    assert sorted(map(str, words.collect())) == sorted(map(str, again.collect()))
+    tokens = spark.createDataFrame([(2 * i + j, t.split()) for i in range(60) for j, t in enumerate(("lung injury failure virus", "kidney injury failure renal"))] + [(500, []), (501, None)], "doc_id bigint, tokens array<string>")
+    p = embed.TrainingParams(vector_size=8, epochs=3, buckets=500, partitions=2)
+    for subwords in (False, True):
+        one, two = (embed.train(tokens, p, subwords=subwords) for _ in range(2))
+        assert sorted(map(str, one.words.collect())) == sorted(map(str, two.words.collect()))
     asked = spark.createDataFrame([("lung",), ("lungs",), ("injuries",)], "term string")
-    got = {r["term"]: r["v"] for r in embed.infer(asked, words, embed.subword(words, p), p).collect()}
+    got = {r["term"]: r["v"] for r in embed.infer(asked, one.words, one.buckets, p).collect()}
     assert set(got) == {"lung", "lungs", "injuries"} and all(len(v) == 8 for v in got.values())
     cos = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
     assert cos(got["lungs"], got["lung"]) > 0.5
-    with pytest.raises(ValueError):
-        embed.subword(words, embed.TrainingParams(vector_size=300, buckets=10**6))
+    none = embed.train(tokens.limit(0), p, subwords=True)
+    assert none.words.count() == none.buckets.count() == 0
+    with pytest.raises(manifest.ResourceError):
+        embed.train(tokens, embed.TrainingParams(vector_size=300, buckets=10**6), subwords=True)
     with pytest.raises(ValueError):
         embed.TrainingParams(epochs=0)
 
 
+def test_words_of_like_contexts_are_alike(spark):
+    """Words that stand in the same contexts come out nearer than words that don't."""
+    rng = np.random.default_rng(2)
+    groups = [[f"{g}{i}" for i in range(8)] for g in ("alpha", "beta", "gamma", "delta")]
+    rows = [(i, [str(w) for w in rng.choice(groups[i % 4], 12)]) for i in range(800)]
+    words = embed.skipgram(spark.createDataFrame(rows, "doc_id bigint, tokens array<string>"), embed.TrainingParams(vector_size=16, partitions=2, sample=1.0))
+    v = {r["term"]: np.array(r["v"]) / np.linalg.norm(r["v"]) for r in words.collect()}
+    inside = np.mean([v[a] @ v[b] for g in groups for a in g for b in g if a < b])
+    across = np.mean([v[a] @ v[b] for g in groups for h in groups for a in g for b in h if g is not h])
+    assert len(v) == 32 and inside > across + 0.3
+
+
 def test_registered_queries_train_in_full(spark, monkeypatch):
     """The registered queries train as the settings do; only the number of partitions may differ."""
-    trained, real = [], embed.skipgram
-    monkeypatch.setattr(embed, "skipgram", lambda tokens, params=embed.TrainingParams(): trained.append(params) or real(tokens, params))
+    trained, real = [], embed.train
+    monkeypatch.setattr(embed, "train", lambda tokens, params=embed.TrainingParams(), **more: trained.append(params) or real(tokens, params, **more))
     d = f"{oracle.ROOT}/sf0.001"
     assert {len(r["v"]) for r in queries.skipgram_vectors(spark, d).collect()} == {100}
     assert {len(r["v"]) for r in queries.subword_vectors(spark, d).collect()} == {100}
