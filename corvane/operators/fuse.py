@@ -21,6 +21,8 @@ prevention avoid avoids avoided avoiding avoidance lower lowers lowering minimis
 delays delaying risk need needing likelihood probability eligible
 """.split()
 MAX_SPAN, MIN_SPAN, LOOK_BACK, DEPTH = 5, 2, 6, 3
+#: Codes that one call looks for, at most.
+MOST_CODES = 1000
 
 
 def rrf_union(embedding: DataFrame, keyword: DataFrame, *, k: int = RRF_K, keyword_weight: float = KEYWORD_WEIGHT, doc: str = "doc_id") -> DataFrame:
@@ -117,6 +119,26 @@ def negation_filtered(ranked: DataFrame, queries: DataFrame, corpus: DataFrame,
     return kept.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)
 
 
+def containing(documents: DataFrame, codes: list[str], *, key: str, text: Column) -> DataFrame:
+    """(``code``, ``key``): documents whose text holds a code, in any case and inside words too.
+
+    The codes are a list of the caller, at most ``MOST_CODES``: each text is
+    tested against all of them where it lies. An empty code is in no text.
+    """
+    wanted = sorted({c.lower() for c in codes if c})
+    if len(wanted) > MOST_CODES:
+        raise ValueError(f"{len(wanted)} codes; at most {MOST_CODES}")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    held = F.array(*[F.lit(c) for c in wanted]) if wanted else F.array().cast("array<string>")
+    found = documents.select(key, low.alias("__low")).select(key, F.explode(F.filter(held, lambda c: F.contains(F.col("__low"), c))).alias("code"))
+    return found.select("code", key)
+
+
+def without_cues(text: Column) -> Column:
+    """The words of a query without its negation cues: the twin that asks for what the query rules out."""
+    return F.array_join(F.filter(T.word_runs(text), lambda t: ~t.isin(NEGATION_CUES)), " ")
+
+
 def reasons(queries: DataFrame, hits: DataFrame, *, text: str = "query_text", known: DataFrame | None = None, before: DataFrame | None = None, when_none: str = "Nothing matched this query.") -> DataFrame:
     """(``query_id``, ``reason``): null where a query has hits, else why not, the first that applies.
 

@@ -19,6 +19,7 @@ lines AS (SELECT line_id, f, CASE WHEN quoting THEN 'quoting' WHEN n <> 7 THEN '
     OR NOT regexp_matches(f[5], '[^\s\pZ]') OR regexp_matches(f[5], '[\x00-\x08\x0B-\x1F\x7F-\x{9F}\x{FFFD}]')
     OR NOT regexp_full_match(f[6], '[0-9]{4}-[0-9]{2}-[0-9]{2}') OR try_cast(f[6] AS DATE) IS NULL OR starts_with(f[6], '0000') THEN 'invalid_value' END AS reason FROM shape)
 """
+_SQL_SHAPE = _SQL_LINES[: _SQL_LINES.index(",\nlines AS")]
 SQL_P3_FOUND = _SQL_LINES + "SELECT line_id, reason FROM lines WHERE reason IS NOT NULL"
 SQL_P3_LOADED = (
     _SQL_LINES
@@ -100,7 +101,12 @@ SELECT term, count(*) AS n FROM both_ GROUP BY term""",
     "truncated_abstract": "SELECT row_id, CASE WHEN length(abstract) <= 300 THEN abstract WHEN abstract IS NOT NULL THEN rtrim(substring(abstract, 1, 300), ' ') || '...' END AS short, substring(title, 1, 200) AS head FROM sample_corpus",
     "row_fingerprint": "SELECT row_id, substring(sha256(concat_ws('|', trial_id, title, abstract)), 1, 16) AS fingerprint FROM sample_corpus",
     "drop_blank_rows": "SELECT row_id, coalesce(abstract, '') AS text FROM sample_corpus WHERE abstract IS NOT NULL OR title IS NOT NULL",
-    "containment": "SELECT doc_id, trial_id FROM documents WHERE contains(lower(text), lower(trial_id))",
+    "containment": """WITH codes AS (SELECT DISTINCT lower(string_split(trim(query_text), ' ')[1]) AS code FROM eval_queries WHERE stratum = 'entity')
+SELECT code, row_id FROM codes JOIN sample_corpus ON contains(lower(concat_ws(' ', title, abstract)), code)""",
+    "csv_loaded": _SQL_SHAPE + """, miss AS (SELECT ['', 'NA', 'N/A', 'n/a', 'NULL', 'null', 'NaN', 'nan', 'None', '<NA>'] AS m)
+SELECT * FROM (SELECT CASE WHEN NOT list_contains(m, f[2]) THEN f[2] END AS trial_id, CASE WHEN NOT list_contains(m, f[3]) THEN f[3] END AS title, CASE WHEN NOT list_contains(m, f[5]) THEN f[5] END AS abstract,
+CASE WHEN NOT list_contains(m, f[6]) THEN f[6] END AS publication_date, CASE WHEN NOT list_contains(m, f[1]) THEN f[1] END AS date_added, CASE WHEN NOT list_contains(m, f[7]) THEN f[7] END AS phase
+FROM shape, miss WHERE NOT quoting AND n = 7) WHERE title IS NOT NULL OR abstract IS NOT NULL""",
 }
 
 
@@ -262,8 +268,27 @@ cut_k AS (SELECT * FROM tfidf WHERE rank <= CASE WHEN query_id IN (SELECT query_
 {_union('cut_e', 'cut_k')}, kept AS ({_negated('fusedr')}),
 short AS (SELECT * FROM kept WHERE rank <= CASE WHEN query_id IN (SELECT query_id FROM neg) THEN 10 ELSE 60 END), per AS ({_per_trial('short')})
 SELECT query_id, trial_id, round(score, 9) AS score, rank FROM ({_promoted('per')})""",
-    "query_reasons": f"""{_RUNS}{_bm25()} SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM bm25) THEN NULL WHEN trim(coalesce(query_text, '')) = '' THEN 'Query is empty.'
-WHEN len({_preprocess('query_text')}) = 0 THEN 'Query has no searchable words.' ELSE 'Nothing matched this query.' END AS reason FROM eval_queries""",
+    "query_reasons": "WITH " + _index(_P) + f""",
+made AS (SELECT query_id + n AS query_id, CASE n WHEN 0 THEN query_text WHEN 1000 THEN '  ' WHEN 2000 THEN 'the of and' WHEN 3000 THEN 'zzqx' || query_id ELSE query_text || ' without ' || query_text END AS query_text
+FROM eval_queries, unnest([0, 1000, 2000, 3000, 4000]) u(n)),
+{_asked(_preprocess('query_text')).replace('eval_queries', 'made')},
+{_bm25(30)},
+{_SPANS.replace('eval_queries', 'made')},
+{_ASSERTS},
+kept AS (SELECT DISTINCT query_id FROM ({_negated('bm25')}) WHERE rank <= 10)
+SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM kept) THEN NULL WHEN trim(coalesce(query_text, '')) = '' THEN 'Query is empty.'
+WHEN len({_preprocess('query_text')}) = 0 THEN 'Query has no searchable words.' WHEN query_id NOT IN (SELECT query_id FROM q JOIN df USING (term)) THEN 'No word of this query is known.'
+WHEN query_id IN (SELECT query_id FROM bm25) THEN 'All results were ruled out by the query.' ELSE 'Nothing matched this query.' END AS reason FROM made""",
+    "twin_overlap": "WITH " + _index(_P) + f""",
+neg AS (SELECT query_id, query_text FROM eval_queries WHERE query_id IN (WITH {_SPANS} SELECT query_id FROM spans)),
+made AS (SELECT query_id, query_text FROM neg UNION ALL SELECT query_id + 1000, array_to_string(list_filter(regexp_extract_all(lower(query_text), '[a-z0-9]+'), lambda t: NOT list_contains({_list(NEGATION_CUES)}, t)), ' ') FROM neg),
+{_asked(_preprocess('query_text')).replace('eval_queries', 'made')},
+{_bm25(30)},
+{_SPANS.replace('eval_queries', 'made')},
+{_ASSERTS},
+kept AS (SELECT query_id, doc_id FROM ({_negated('bm25')}) WHERE rank <= 10), ten AS (SELECT query_id, doc_id FROM bm25 WHERE rank <= 10)
+SELECT query_id, round((SELECT count(*) FROM ten a JOIN ten b USING (doc_id) WHERE a.query_id = neg.query_id AND b.query_id = neg.query_id + 1000) / 10, 6) AS plain,
+round((SELECT count(*) FROM kept a JOIN ten b USING (doc_id) WHERE a.query_id = neg.query_id AND b.query_id = neg.query_id + 1000) / 10, 6) AS filtered FROM neg""",
     "label_progress": f"{_BOTH},\n{_POOL} SELECT CAST(sum(j) AS BIGINT) AS judged, CAST(sum(c) AS BIGINT) AS candidates, count(*) FILTER (WHERE j = c) AS complete FROM (SELECT query_id, count(relevant) AS j, count(*) AS c FROM sheet GROUP BY query_id)",
     "merge_labels": f"""{_BOTH},\n{_POOL}, full_ AS (SELECT query_id FROM sheet GROUP BY query_id HAVING count(relevant) = count(*))
 SELECT query_id, string_agg(trial_id, ',' ORDER BY trial_id) AS relevant FROM (SELECT query_id, trial_id FROM qrels UNION SELECT query_id, trial_id FROM sheet WHERE relevant AND query_id IN (SELECT query_id FROM full_) AND query_id IN (SELECT query_id FROM qrels)) GROUP BY query_id""",

@@ -28,9 +28,16 @@ class LexicalIndex:
     lengths: DataFrame
     stats: DataFrame
     df: DataFrame
-    norms: DataFrame
     lemmas: DataFrame | None
     chain: object
+    held_norms: DataFrame | None = None
+
+    @property
+    def norms(self) -> DataFrame:
+        """Lengths of the TF-IDF vectors, written when first asked for: BM25 doesn't need them."""
+        if self.held_norms is None:
+            self.held_norms = materialize(rank.tfidf_norms(self.postings, rank.idf_tfidf(self.df, self.stats)), "norms")
+        return self.held_norms
 
     def queries(self, queries: DataFrame, *, key: str = "query_id", text: str = "query_text") -> DataFrame:
         return postings.query_terms(queries, key=key, text=F.col(text), lemmas=self.lemmas, chain=self.chain)
@@ -53,18 +60,19 @@ class LexicalIndex:
         return about
 
 
-_TABLES = ("surface", "tokens", "postings", "lengths", "stats", "df", "norms", "lemmas")
+_TABLES = ("surface", "tokens", "postings", "lengths", "stats", "df", "lemmas", "norms")
 
 
 def load_lexical(spark: SparkSession, path: str, *, chain=T.preprocess, **wanted) -> LexicalIndex:
     """A saved index; raises if it isn't there or a ``wanted`` value of its manifest differs."""
     about = store.read_json(spark, f"{path}/manifest.json")
     store.check(path, about, wanted)
-    return LexicalIndex(*[spark.read.parquet(f"{path}/{name}") if name != "lemmas" or about["lemmas"] else None for name in _TABLES], chain)
+    held = {name: spark.read.parquet(f"{path}/{name}") for name in _TABLES if name != "lemmas" or about["lemmas"]}
+    return LexicalIndex(**{n: t for n, t in held.items() if n != "norms"} | {"lemmas": held.get("lemmas"), "chain": chain, "held_norms": held["norms"]})
 
 
 def build_lexical(documents: DataFrame, *, key: str, text: Column, chain=T.preprocess, lemmas: bool = True) -> LexicalIndex:
-    """Tokenise once, bring tokens to their lemmas, count, and write postings, lengths, frequencies and norms."""
+    """Tokenise once, bring tokens to their lemmas, count, and write postings, lengths and frequencies."""
     surface = materialize(postings.tokenized(spread(documents, key), key=key, text=text, chain=chain), "surface")
     found, tokens = None, surface
     if lemmas:
@@ -74,8 +82,7 @@ def build_lexical(documents: DataFrame, *, key: str, text: Column, chain=T.prepr
     lengths = tokens.select("doc_id", F.size("tokens").cast("bigint").alias("dl"))
     stats = materialize(postings.collection_stats(lengths), "stats")
     df = materialize(postings.document_frequency(held), "df")
-    norms = materialize(rank.tfidf_norms(held, rank.idf_tfidf(df, stats)), "norms")
-    return LexicalIndex(surface, tokens, held, lengths, stats, df, norms, found, chain)
+    return LexicalIndex(surface, tokens, held, lengths, stats, df, found, chain)
 
 
 def one_per_trial(hits: DataFrame, corpus: DataFrame, n: int | None = None) -> DataFrame:

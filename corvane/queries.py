@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import embed, evaluate, fuse, manifest, postings, rank, rejects, vectors
 from corvane.plans import retrieval
-from corvane.plans.materialize import materialize
+from corvane.plans.materialize import materialize, scratch_path
+from corvane.sources import corpus, store
 from corvane.plans.spread import spread
 from corvane.streaming import ingest
 
@@ -84,15 +85,39 @@ def row_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drop_blank_rows(spark: SparkSession, d: str) -> DataFrame:
-    from corvane.sources.corpus import drop_blank
-
-    return drop_blank(_corpus(spark, d)).select("row_id", F.coalesce("abstract", F.lit("")).alias("text"))
+    return corpus.drop_blank(_corpus(spark, d)).select("row_id", F.coalesce("abstract", F.lit("")).alias("text"))
 
 
 def containment(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose text holds the identifier of their trial."""
-    docs = _t(spark, d, "documents").filter(F.col("trial_id").isNotNull())
-    return docs.filter(F.contains(F.lower("text"), F.lower("trial_id"))).select("doc_id", "trial_id")
+    """Corpus rows whose title or abstract holds the name that an entity query begins with."""
+    names = _t(spark, d, "eval_queries").filter("stratum = 'entity'").select(F.substring_index(F.trim("query_text"), " ", 1).alias("c"))
+    codes = [r["c"] for r in names.distinct().collect()]  # judged queries are a short fixed list
+    return fuse.containing(_corpus(spark, d), codes, key="row_id", text=F.concat_ws(" ", "title", "abstract"))
+
+
+# CSV files
+
+
+def _csv_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of ``raw_corpus`` written as the CSV files they came from, and read as files."""
+    path = scratch_path(spark, "csv")
+    lines = _t(spark, d, "raw_corpus").filter(F.col("raw_line").isNotNull())
+    lines.repartition("file_name").sortWithinPartitions("file_name", "line_no").select("raw_line", "file_name").write.partitionBy("file_name").text(path)
+    return corpus.read_csv_parts(spark, path)
+
+
+def csv_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """Good rows of the CSV files, by registered identifier and date."""
+    return _csv_parts(spark, d)[0].select("trial_id", "title", "abstract", "publication_date", "date_added", "phase")
+
+
+def csv_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the CSV files that can't be read, by reason.
+
+    A record with an open quote takes the lines after it up to the next that looks like the start of a record, so bad
+    records may be fewer than bad lines; the good ones are the same.
+    """
+    return _csv_parts(spark, d)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
 
 
 # Inverted index
@@ -255,9 +280,7 @@ def subword_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def candidate_sheet(spark: SparkSession, d: str) -> DataFrame:
     """Pooled candidates of every query as a labelling sheet."""
-    from corvane.sources.store import candidate_sheet as sheet
-
-    return sheet(pool_candidates(spark, d), _t(spark, d, "eval_queries"), _corpus(spark, d))
+    return store.candidate_sheet(pool_candidates(spark, d), _t(spark, d, "eval_queries"), _corpus(spark, d))
 
 
 # Fusion, identifiers, negation
@@ -315,9 +338,9 @@ def negation_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def promoted(spark: SparkSession, d: str) -> DataFrame:
     lex, q = _runs(spark, d)
-    corpus = _corpus(spark, d)
-    ranked = retrieval.one_per_trial(lex.bm25(q), corpus)
-    return fuse.promoted(ranked, fuse.known_items(q, fuse.id_index(corpus))).select("query_id", "trial_id", "rank")
+    rows = _corpus(spark, d)
+    ranked = retrieval.one_per_trial(lex.bm25(q), rows)
+    return fuse.promoted(ranked, fuse.known_items(q, fuse.id_index(rows))).select("query_id", "trial_id", "rank")
 
 
 def _embedding_run(lex: retrieval.LexicalIndex, words: DataFrame, q: DataFrame, n: int = 30) -> DataFrame:
@@ -342,8 +365,28 @@ def flagship_trained(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_reasons(spark: SparkSession, d: str) -> DataFrame:
-    lex, q = _runs(spark, d)
-    return fuse.reasons(q, lex.bm25(q))
+    """Why queries have no BM25 hits after the negation filter: each judged query, and made ones that fail in each way."""
+    lex, judged = _runs(spark, d)
+    text = F.col("query_text")
+    made = [("0", text), ("1000", F.lit("  ")), ("2000", F.lit("the of and")), ("3000", F.concat(F.lit("zzqx"), F.col("query_id").cast("string"))), ("4000", F.concat_ws(" ", text, F.lit("without"), text))]
+    q = judged.select(F.explode(F.array(*[F.struct((F.col("query_id") + int(n)).alias("query_id"), t.alias("query_text")) for n, t in made])).alias("q")).select("q.*")
+    q = materialize(q, "asked")
+    before = materialize(lex.bm25(q, 30), "before")
+    known = lex.queries(q).join(lex.df, "term", "left_semi")
+    return fuse.reasons(q, fuse.negation_filtered(before, q, _corpus(spark, d), 10), known=known, before=before)
+
+
+def twin_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the first ten BM25 hits that a query with a negation has in common with its twin without the cue, filtered and not."""
+    lex, judged = _runs(spark, d)
+    q = judged.filter(F.size(fuse.negated_spans(F.col("query_text"))) > 0).select("query_id", "query_text")
+    twins = q.select((F.col("query_id") + 1000).alias("query_id"), fuse.without_cues(F.col("query_text")).alias("query_text"))
+    asked = materialize(q.unionByName(twins), "asked")
+    run = materialize(lex.bm25(asked, 30), "run")
+    filtered = fuse.negation_filtered(run, asked, _corpus(spark, d), 10)
+    pairs = q.select("query_id", (F.col("query_id") + 1000).alias("twin_id"))
+    plain, kept = (evaluate.overlap(r, run, pairs, doc="doc_id").select("query_id", F.col("overlap").alias(name)) for r, name in ((run, "plain"), (filtered, "filtered")))
+    return plain.join(kept, "query_id").select("query_id", F.round("plain", 6).alias("plain"), F.round("filtered", 6).alias("filtered"))
 
 
 # Evaluation
@@ -370,12 +413,12 @@ def log_metrics_by_stratum(spark: SparkSession, d: str) -> DataFrame:
 def ranker_metrics(spark: SparkSession, d: str) -> DataFrame:
     """BM25, TF-IDF and their union on the judged queries; the union is scored to twice the depth."""
     lex, q = _runs(spark, d)
-    corpus = _corpus(spark, d)
+    rows = _corpus(spark, d)
     bm25, tfidf = materialize(lex.bm25(q, 20), "bm25"), materialize(lex.tfidf(q, 20), "tfidf")
     runs = {"bm25": bm25, "tfidf": tfidf, "union": fuse.rrf_union(bm25, tfidf)}
     out = None
     for name, run in runs.items():
-        part = retrieval.one_per_trial(run, corpus).select(F.lit(name).alias("method"), "query_id", "trial_id", "rank")
+        part = retrieval.one_per_trial(run, rows).select(F.lit(name).alias("method"), "query_id", "trial_id", "rank")
         out = part if out is None else out.unionByName(part)
     scores = evaluate.per_query(out, evaluate.judgements(q), (5, 10), depth_factor=F.when(F.col("method") == "union", 2).otherwise(1))
     return evaluate.summary(scores)
@@ -441,12 +484,31 @@ def served_per_day(spark: SparkSession, d: str) -> DataFrame:
 
 
 def integrity_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Findings on three models and indexes written down here against the corpus table."""
-    rows = _corpus(spark, d).count()
-    live = spark.createDataFrame([("c0", rows)], "fingerprint string, rows bigint")
-    models = spark.createDataFrame([("skipgram", "m1", "c0", "v1", False, 12.8), ("fasttext", "m2", "c9-n200", "v2", True, 319.0), ("glove", None, None, None, None, None)], "kind string, fingerprint string, corpus_fingerprint string, vectors_checksum string, sampled boolean, mb double")
-    indexes = spark.createDataFrame([("skipgram", "abstract", "m1", "c0", "v1", rows), ("skipgram", "title", "m0", "c0", "v0", rows - 1), ("fasttext", "abstract", "m2", "c0-n200", None, 200)], "kind string, field string, model_fingerprint string, corpus_fingerprint string, vectors_checksum string, size bigint")
-    return manifest.findings(models, indexes, live)
+    """Findings on models and indexes that were saved to storage, some of them spoilt afterwards, against the corpus table.
+
+    The skip-gram model and its abstract index fit. Its title index was built
+    from other vectors of another model and lacks a row. The subword model was
+    trained on the rows with a date only, and its index predates checksums. A
+    third model was never trained.
+    """
+    root = scratch_path(spark, "artefacts")
+    rows, docs = _corpus(spark, d), _t(spark, d, "document_index").select(F.col("vec_id").alias("doc_id"), F.col("vectors").alias("v"))
+    mark = lambda table: manifest.table_fingerprint(table).first()["fingerprint"]
+    live, part = mark(rows), rows.filter(F.col("publication_date").isNotNull())
+    words = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    model = store.save_table(words, f"{root}/models/skipgram", kind="skipgram", corpus_fingerprint=live, sampled=False, mb=12.8, fingerprint=manifest.model_fingerprint("skipgram", live, {"epochs": 5}))
+    other = store.save_table(words.filter("vec_id > 0"), f"{root}/models/fasttext", kind="fasttext", corpus_fingerprint=f"{mark(part)}-n{part.count()}", sampled=True, mb=319.0, fingerprint=manifest.model_fingerprint("fasttext", live, {"epochs": 5}))
+    fit = store.save_table(rows.select("row_id"), f"{root}/index/skipgram-abstract", model_fingerprint=model["fingerprint"], vectors_checksum=model["checksum"], corpus_fingerprint=live)
+    last = rows.agg(F.max("row_id")).first()[0]
+    bad = store.save_table(rows.filter(F.col("row_id") < last).select("row_id"), f"{root}/index/skipgram-title", model_fingerprint=other["fingerprint"], vectors_checksum=other["checksum"], corpus_fingerprint=live)
+    old = store.save_table(docs.select("doc_id"), f"{root}/index/fasttext-abstract", model_fingerprint=other["fingerprint"], vectors_checksum=None, corpus_fingerprint=f"{live}-n200")
+    models = [(m["kind"], m["fingerprint"], m["corpus_fingerprint"], m["checksum"], m["sampled"], m["mb"]) for m in (store.read_json(spark, f"{root}/models/{k}/manifest.json") for k in ("skipgram", "fasttext"))]
+    indexes = [(k, f, i["model_fingerprint"], i["corpus_fingerprint"], i["vectors_checksum"], i["rows"]) for (k, f), i in ((("skipgram", "abstract"), fit), (("skipgram", "title"), bad), (("fasttext", "abstract"), old))]
+    return manifest.findings(
+        spark.createDataFrame([*models, ("glove", None, None, None, None, None)], "kind string, fingerprint string, corpus_fingerprint string, vectors_checksum string, sampled boolean, mb double"),
+        spark.createDataFrame(indexes, "kind string, field string, model_fingerprint string, corpus_fingerprint string, vectors_checksum string, size bigint"),
+        spark.createDataFrame([(live, rows.count())], "fingerprint string, rows bigint"),
+    )
 
 
 def table_fingerprints(spark: SparkSession, d: str) -> DataFrame:
@@ -456,7 +518,7 @@ def table_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_loaded, clean_text, strip_urls, join_marks, tokenize, preprocess, old_chain, legacy_chain, bigrams, normalize_id, truncated_abstract, row_fingerprint, drop_blank_rows, containment,
+        p3_found, p3_loaded, clean_text, strip_urls, join_marks, tokenize, preprocess, old_chain, legacy_chain, bigrams, normalize_id, truncated_abstract, row_fingerprint, drop_blank_rows, containment, csv_loaded, csv_rejected, twin_overlap,
         term_freq, doc_freq, lemma_map, lemma_postings, vocab_top10, corpus_stats, sif_weights, idf, bm25_topk, bm25_b0, tfidf_topk, bigram_bm25, old_chain_bm25, cosine_topk,
         mean_pool, sif_pool, oov_documents, l2_normalize, component_removed, skipgram_vectors, subword_vectors, most_similar, candidate_sheet, rrf_union, pool_candidates, unjudged, known_item, id_collisions, negation_spans,
         negation_asserts, negation_filter, promoted, flagship, flagship_trained, query_reasons, log_metrics, log_metrics_by_stratum, ranker_metrics, method_best, release_gate, log_latency, bootstrap, overlap_twins,

@@ -26,7 +26,7 @@ def missing_required(present: list[str]) -> list[str]:
 def header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV, without reading its rows."""
     try:
-        return spark.read.option("header", True).option("escape", '"').csv(path).columns
+        return spark.read.option("header", True).option("escape", "\"").option("recursiveFileLookup", True).csv(path).columns
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             raise CorpusNotFoundError(path) from e

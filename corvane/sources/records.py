@@ -46,7 +46,7 @@ def csv_records(spark: SparkSession, path: str, *, record_start: str | None = No
     quotes. ``header`` marks the first record of each file; blank lines are no
     records. ``file``, ``block``, ``nth`` give the order.
     """
-    source = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    source = spark.read.option("recursiveFileLookup", True).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
     columns = ["value", "file_path", "file_block_start"]
 
     def pieces(b: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.Array, pa.Array | None]]:
