@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 from corvane.plans.batches import text_slices
 from corvane.plans.materialize import materialize
+from corvane.plans.skew import join_dimension
 from corvane.plans.spread import spread
 
 _TOP = 0x110000
@@ -259,3 +260,20 @@ def lookalike_pairs(table: DataFrame, *, key: str, fields: list[str]) -> DataFra
     met = pairs.join(left, ["text_field", "canon", "form_a"]).join(right, ["text_field", "canon", "form_b"])
     met = met.filter(F.col("id_a") != F.col("id_b"))
     return met.select("text_field", F.least("id_a", "id_b").alias("row_id_a"), F.greatest("id_a", "id_b").alias("row_id_b"))
+
+
+def lookalike_classes(values: DataFrame) -> DataFrame:
+    """(``text_field``, ``row_id``, ``class_id``, ``rows``, ``written``): one row per value, the linear form of all pairs.
+
+    ``values`` as of ``canonical_values``. Values with the same canonical form
+    are a class, named after its smallest row; ``rows`` counts it and
+    ``written`` its different stored forms. Forms are known by 128-bit digests.
+    A class that a third of all rows share isn't gathered: it is counted before
+    the shuffle, by stored form and then in all, and joined under skew. Null
+    keys take no part.
+    """
+    keyed = values.filter(F.col("row_id").isNotNull()).select("text_field", "row_id", F.concat_ws(":", "text_field", F.md5("canonical")).alias("form"), F.md5("stored").alias("stored"))
+    keyed = materialize(keyed, "forms")
+    ways = keyed.groupBy("form", "stored").agg(F.min("row_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(ways.groupBy("form").agg(F.min("low").alias("class_id"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("written")), "classes")
+    return join_dimension(keyed.select("text_field", "row_id", "form"), classes, "form", "rows", ["row_id"]).select("text_field", "row_id", "class_id", "rows", "written")

@@ -32,14 +32,14 @@ def mixture(sized: DataFrame, rates: DataFrame, *, key: str, seed: int = SEED) -
     """(``key``, ``source``, ``tokens``, ``copy``): one row per use of a document.
 
     Every document comes floor(rate) times, and once more if a number drawn
-    from a hash of seed and key lies below the fraction, so the draw is the same
+    from a digest of seed and key lies below the fraction, so the draw is the same
     on every run, whatever the partitions. The rates have one row per target,
     a table the caller writes, and are broadcast: documents aren't shuffled.
     Documents of null or untargeted sources come 0 times.
     """
     by = rates.select(F.col("source").alias("__s"), "rate")
     both = sized.select(key, "source", "tokens").join(F.broadcast(by), F.col("source") == F.col("__s"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), 1, 10), 16, 10).cast("bigint") / F.lit(float(1 << 40))
     whole = F.floor("rate")
     times = (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int")
     used = both.withColumn("times", times).filter("times > 0")

@@ -73,6 +73,18 @@ c AS (SELECT *, {_sql_canonical('stored')} AS c FROM v)
 SELECT a.text_field, a.row_id AS row_id_a, b.row_id AS row_id_b FROM c a JOIN c b ON a.text_field = b.text_field AND a.c = b.c AND a.row_id < b.row_id AND a.stored <> b.stored"""
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each visible form: the class is named after its smallest row, with the number of its rows and of ways it is written."""
+    forms = materialize(canonical.canonical_values(_t(spark, d, "sample_corpus"), key="row_id", fields=["abstract", "trial_id"]), "forms")
+    return canonical.lookalike_classes(forms)
+
+
+SQL_P2_CLASSES = f"""
+WITH v AS (SELECT 'abstract' AS text_field, row_id, abstract AS stored FROM sample_corpus WHERE abstract IS NOT NULL UNION ALL SELECT 'trial_id', row_id, trial_id FROM sample_corpus WHERE trial_id IS NOT NULL),
+c AS (SELECT *, {_sql_canonical('stored')} AS c FROM v)
+SELECT text_field, row_id, min(row_id) OVER w AS class_id, count(*) OVER w AS "rows", (SELECT count(DISTINCT stored) FROM c x WHERE x.text_field = c.text_field AND x.c = c.c) AS written FROM c WINDOW w AS (PARTITION BY text_field, c)"""
+
+
 SQL_P2_CANONICAL = f"""
 SELECT 'abstract' AS text_field, row_id, {_sql_canonical('abstract')} AS canonical FROM sample_corpus WHERE abstract IS NOT NULL
 UNION ALL SELECT 'trial_id', row_id, {_sql_canonical('trial_id')} FROM sample_corpus WHERE trial_id IS NOT NULL"""
@@ -241,6 +253,21 @@ def p7_usage(spark: SparkSession, d: str) -> DataFrame:
     return packing.usage(p7_packed(spark, d), _t(spark, d, "pack_capacities"))
 
 
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a packing: every document placed whole, no container over its capacity, no cut that isn't needed."""
+    caps = _t(spark, d, "pack_capacities").select("capacity_id", "capacity_tokens").distinct()
+    packed = materialize(p7_packed(spark, d).join(F.broadcast(caps), "capacity_id"), "packed")  # four capacities
+    docs = packed.groupBy("capacity_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("piece").alias("pieces"), F.sum("tokens").alias("t"), F.max("capacity_tokens").alias("c"))
+    needed = F.greatest(F.lit(1), F.ceil(F.col("t") / F.col("c")))
+    docs = docs.groupBy("capacity_id").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.when((F.col("pieces") != F.col("n")) | (F.col("pieces") != needed), 1).otherwise(0)).cast("bigint").alias("badly_cut"))
+    full = packed.filter("container > 0").groupBy("capacity_id", "container").agg(F.sum("tokens").alias("t"), F.max("capacity_tokens").alias("c"))
+    full = full.groupBy("capacity_id").agg(F.sum(F.when(F.col("t") > F.col("c"), 1).otherwise(0)).cast("bigint").alias("overfull"), (F.max("container") - F.count(F.lit(1))).alias("empty"))
+    return docs.join(full, "capacity_id")
+
+
+SQL_P7_CHECKED = "SELECT capacity_id, (SELECT count(*) FROM documents) AS documents, 0 AS badly_cut, 0 AS overfull, 0 AS empty FROM pack_capacities"
+
+
 # 8. Mixing sources to target weights
 
 
@@ -260,6 +287,20 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(*_mixed(spark, d))
 
 
+def p8_by_length(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture with sizes in characters in the place of tokens, which SQL can count as well."""
+    sized = _t(spark, d, "documents").select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("tokens"))
+    return mixing.mixture(sized, mixing.repetition_rates(sized, _t(spark, d, "mix_targets")), key="doc_id")
+
+
+SQL_P8_BY_LENGTH = f"""
+WITH sized AS (SELECT doc_id, source, coalesce(length(text), 0) AS tokens FROM documents),
+have AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(tokens), 0) AS have FROM mix_targets m LEFT JOIN sized s ON s.source = m.source GROUP BY ALL),
+rates AS (SELECT source, CASE WHEN have > 0 AND target_share > 0 THEN least(target_share * CAST((SELECT sum(have) FROM have) AS DOUBLE) / CAST(have AS DOUBLE), CAST(max_repeats AS DOUBLE)) ELSE 0.0 END AS rate FROM have),
+drawn AS (SELECT s.*, rate, CAST('0x' || substring(md5('{mixing.SEED}:' || doc_id), 1, 10) AS BIGINT) / 1099511627776.0 AS draw FROM sized s JOIN rates USING (source))
+SELECT doc_id, source, tokens, c AS "copy" FROM drawn, unnest(range(1, CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 2 ELSE 1 END)) u(c)"""
+
+
 # 9. Abusive, hateful or sexual content
 
 
@@ -281,6 +322,6 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_canonical": p2_canonical, "p4_found": p4_found, "p4_counts": p4_counts, "p4_incremental": p4_incremental, "p4_batches": p4_batches, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p5_recall": p5_recall, "p6_found": p6_found, "p6_groups": p6_groups, "p7_packed": p7_packed, "p7_usage": p7_usage, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
+    "p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_canonical": p2_canonical, "p2_classes": p2_classes, "p4_found": p4_found, "p4_counts": p4_counts, "p4_incremental": p4_incremental, "p4_batches": p4_batches, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p5_recall": p5_recall, "p6_found": p6_found, "p6_groups": p6_groups, "p7_packed": p7_packed, "p7_usage": p7_usage, "p7_checked": p7_checked, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_by_length": p8_by_length, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
-SQL = {"p1_found": SQL_P1_FOUND, "p1_scores": SQL_P1_SCORES, "p2_found": SQL_P2_FOUND, "p2_canonical": SQL_P2_CANONICAL, "p5_found": SQL_P5_FOUND, "p6_found": SQL_P6_FOUND, "p6_groups": SQL_P6_GROUPS, "p4_found": SQL_P4_FOUND, "p4_counts": SQL_P4_COUNTS, "p4_incremental": SQL_P4_INCREMENTAL, "p4_batches": SQL_P4_BATCHES}
+SQL = {"p1_found": SQL_P1_FOUND, "p1_scores": SQL_P1_SCORES, "p2_found": SQL_P2_FOUND, "p2_canonical": SQL_P2_CANONICAL, "p2_classes": SQL_P2_CLASSES, "p7_checked": SQL_P7_CHECKED, "p8_by_length": SQL_P8_BY_LENGTH, "p5_found": SQL_P5_FOUND, "p6_found": SQL_P6_FOUND, "p6_groups": SQL_P6_GROUPS, "p4_found": SQL_P4_FOUND, "p4_counts": SQL_P4_COUNTS, "p4_incremental": SQL_P4_INCREMENTAL, "p4_batches": SQL_P4_BATCHES}

@@ -70,6 +70,15 @@ def test_lookalike_pairs_edges(spark):
     assert canonical.lookalike_pairs(t.limit(0), key="row_id", fields=["abstract"]).count() == 0
 
 
+def test_lookalike_classes_edges(spark):
+    rows = [(1, "abc", "x"), (2, "\uff41bc", "x"), (3, "abc", None), (4, None, " x"), (5, "", " "), (None, "a\u200bbc", "x")]
+    t = spark.createDataFrame([(*r, "clash") for r in rows], "row_id bigint, abstract string, trial_id string, form string")
+    values = canonical.canonical_values(t, key="row_id", fields=["abstract", "trial_id"])
+    got = sorted(tuple(r) for r in canonical.lookalike_classes(values).collect())
+    assert got == [("abstract", 1, 1, 3, 2), ("abstract", 2, 1, 3, 2), ("abstract", 3, 1, 3, 2), ("abstract", 5, 5, 1, 1), ("trial_id", 1, 1, 3, 2), ("trial_id", 2, 1, 3, 2), ("trial_id", 4, 1, 3, 2), ("trial_id", 5, 5, 1, 1)]
+    assert canonical.lookalike_classes(values.limit(0)).count() == 0
+
+
 # 4
 
 
