@@ -299,38 +299,40 @@ def _join_groups(budget: int, threshold: float):
     return run
 
 
-def _blocked(routed: DataFrame, counts: DataFrame) -> DataFrame:
-    """``routed`` with ``parts``, the number of blocks of its key's trie, 1 for all but hot keys.
+def _blocked(routed: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows of ``routed`` whose key is ``shared``, with ``parts``, the number of blocks of the key's trie: 1 for all but hot keys.
 
     A key held by more than ``TRIE_ROWS`` records is hot. Up to ``HOT_KEYS`` hot
     keys are counted and broadcast. Where there are more, those with more than
     1/``HOT_KEYS`` of all routed rows still are, fewer than ``HOT_KEYS`` by
-    construction; the rows of any other key fit into a task, so the rest is
-    joined by a shuffle.
+    construction; the rows of any other key fit into a task, so they are joined
+    like those of keys that aren't hot, by a shuffle if need be.
     """
-    hot = materialize(counts.filter(F.col("n") > TRIE_ROWS).select("key", "n", F.ceil(F.col("n") / TRIE_ROWS).cast("int").alias("parts")), "hot-keys")
-    if hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
-        both = routed.join(F.broadcast(hot.drop("n")), "key", "left")
-        return both.withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = counts.agg(F.sum("n")).first()[0]
-    top = hot.filter(F.col("n") * F.lit(HOT_KEYS) > F.lit(rows)).select("key", F.col("parts").alias("__top"))
-    rest = hot.join(F.broadcast(top), "key", "left_anti").select("key", F.col("parts").alias("__rest"))
-    both = routed.join(F.broadcast(top), "key", "left")
-    # a hot key at hand doesn't go through the shuffled join: its rows get keys of their own there
-    both = both.withColumn("__key", F.when(F.col("__top").isNull(), F.col("key")).otherwise(F.xxhash64("key", "rep")))
-    both = both.join(rest.select(F.col("key").alias("__key"), "__rest"), "__key", "left")
-    return both.withColumn("parts", F.coalesce("__top", "__rest", F.lit(1))).drop("__key", "__top", "__rest")
+    cut = shared.select("key", "n", F.ceil(F.col("n") / TRIE_ROWS).cast("int").alias("parts"))
+    top = cut.filter(F.col("parts") > 1)
+    if top.limit(HOT_KEYS + 1).count() > HOT_KEYS:
+        rows = shared.agg(F.sum("n")).first()[0]
+        top = top.filter(F.col("n") * F.lit(HOT_KEYS) > F.lit(rows))
+        rest = cut.filter(F.col("n") * F.lit(HOT_KEYS) <= F.lit(rows))
+    else:
+        rest = cut.filter(F.col("parts") == 1)
+    both = routed.join(F.broadcast(top.select("key", F.col("parts").alias("__top"))), "key", "left")
+    at_hand = both.filter(F.col("__top").isNotNull()).withColumnRenamed("__top", "parts")
+    return at_hand.unionByName(both.filter(F.col("__top").isNull()).drop("__top").join(rest.select("key", "parts"), "key"))
 
 
 def candidate_pairs(sketches: DataFrame, *, budget: int, threshold: float) -> DataFrame:
     """(``a``, ``b``), a < b: pairs that some trie join lets through, each once.
 
-    A hot trie is cut into blocks of about ``TRIE_ROWS`` by a hash of the
-    record, and each two blocks, and each block with itself, are joined in a
-    task of their own, so no pair is lost and no task holds an unbounded trie.
+    Most keys are held by one record alone. Keys are counted first, and only the
+    rows of shared keys get their fingerprints and travel. A hot trie is cut
+    into blocks of about ``TRIE_ROWS`` by a hash of the record, and each two
+    blocks, and each block with itself, are joined in a task of their own, so no
+    pair is lost and no task holds an unbounded trie.
     """
-    counts = sketches.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    routed = _blocked(sketches.select("rep", "fp", "n", F.explode("keys").alias("key")), counts)
+    keys = sketches.select("rep", F.explode("keys").alias("key"))
+    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "shared-keys")
+    routed = _blocked(keys, shared).join(sketches.select("rep", "fp", "n"), "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     routed = routed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     block = F.least("own", "other").cast("bigint") * F.col("parts") + F.greatest("own", "other")
