@@ -31,8 +31,8 @@ FEW_KEYS = 85
 TRIE_ROWS = 4096
 #: Rows of hot keys that are broadcast, at most.
 HOT_KEYS = 20000
-#: Node pairs walked at once.
-FRONTIER = 1 << 20
+#: Node pairs walked at once, and pairs of codes below two nodes up to which they are compared one by one.
+FRONTIER, LEAF_PAIRS = 1 << 20, 16
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -184,7 +184,8 @@ def trie_join(codes: np.ndarray, group: np.ndarray, side: np.ndarray, budget: in
     two halves are two tries. Sorted codes are the trie: a node is a range of
     rows with a common prefix, split by bisection on the next bit. All tries of
     the call go down together, one bit a step, in pieces of ``FRONTIER`` pairs;
-    equal codes end as one leaf, and two leaves are compared by one popcount.
+    equal codes end as one leaf, and nodes with few codes below them are
+    compared code by code, each by one popcount.
     """
     order = np.lexsort(tuple(codes.T[::-1]) + (side, group))
     codes, group, side = codes[order], group[order], side[order]
@@ -215,15 +216,19 @@ def trie_join(codes: np.ndarray, group: np.ndarray, side: np.ndarray, budget: in
         if len(a0) > FRONTIER:
             stack += [(depth, *(x[i : i + FRONTIER] for x in (a0, a1, b0, b1, err))) for i in range(0, len(a0), FRONTIER)]
             continue
-        single = (a1 - a0 == 1) & (b1 - b0 == 1)
+        few = (a1 - a0) * (b1 - b0) <= LEAF_PAIRS
         if depth == bits.shape[1]:
-            single[:] = True
-        if single.any():
-            i, j = a0[single], b0[single]
-            differ = _POP[leaf[i] ^ leaf[j]].sum(1, dtype=np.int32)
-            near = differ <= budget
+            few[:] = True
+        if few.any():
+            wide = b1[few] - b0[few]
+            times = (a1[few] - a0[few]) * wide
+            at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            i, j = np.repeat(a0[few], times) + at // np.repeat(wide, times), np.repeat(b0[few], times) + at % np.repeat(wide, times)
+            once = (i <= j) | np.repeat(a0[few] != b0[few], times)
+            i, j = i[once], j[once]
+            near = _POP[leaf[i] ^ leaf[j]].sum(1, dtype=np.int32) <= budget
             hits.append((i[near], j[near]))
-            a0, a1, b0, b1, err = (x[~single] for x in (a0, a1, b0, b1, err))
+            a0, a1, b0, b1, err = (x[~few] for x in (a0, a1, b0, b1, err))
         if not len(a0):
             continue
         # within a node the rows with bit 0 stand first
