@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,15 @@ def encoder(path: str):
 
 
 def with_tokens(table: DataFrame, *, key: str, text: str, keep: tuple[str, ...] = (), path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
-    """(``key``, *``keep``, ``tokens``): tokens of the whole text; a null text has 0. No shuffle."""
+    """(``key``, *``keep``, ``tokens``): tokens of the whole text; a null text has 0. No shuffle.
+
+    The rank file is sent to the executors, which need no copy of their own.
+    """
+    table.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             n = np.fromiter((len(encode(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n)], [*b.schema.names[:-1], "tokens"])
