@@ -193,66 +193,96 @@ def _fit(starts: np.ndarray, bucket: np.ndarray, label: np.ndarray, weight: np.n
     return (vectors @ linear).astype(np.float64), bias.astype(np.float64)
 
 
-@dataclass
 class _Sentences:
-    """Sentences of the labelled texts: features, text and identity of each."""
-
-    bucket: np.ndarray
-    starts: np.ndarray
-    stands_for: np.ndarray
-    same: np.ndarray  # equal for sentences with the same features
+    """Sentences of labelled texts whose features are kept: features, target class, weight and identity of each."""
+
+    def __init__(self):
+        self.buckets: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.numbers: list[np.ndarray] = []
+
+    def add(self, bucket: np.ndarray, size: np.ndarray, number: np.ndarray) -> None:
+        """Sentences by their ``number``, with features one after the other."""
+        self.buckets.append(bucket)
+        self.sizes.append(size)
+        self.numbers.append(number)
+
+    @property
+    def number(self) -> np.ndarray:
+        return np.concatenate(self.numbers) if self.numbers else np.zeros(0, int)
+
+    def chosen(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and features of some sentences, by place."""
+        bucket, size = np.concatenate(self.buckets), np.concatenate(self.sizes)
+        begin, n = (np.cumsum(size) - size)[some], size[some]
+        ends = np.cumsum(n)
+        flat = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(begin, n)
+        return np.concatenate([[0], ends]), bucket[flat]
 
-    def fit(self, target: np.ndarray, use: np.ndarray, seed: int, epochs: int) -> Model | None:
+    def fit(self, target: np.ndarray, weight: np.ndarray, same: np.ndarray, use: np.ndarray, seed: int, epochs: int) -> Model | None:
         """Each distinct sentence once per class, weighted by the square root of its number."""
-        _, at, inverse = np.unique((self.same * len(CLASSES) + target)[use], return_index=True, return_inverse=True)
+        _, at, inverse = np.unique((same * len(CLASSES) + target)[use], return_index=True, return_inverse=True)
         pick = np.flatnonzero(use)[at]
         if not (target[pick] != 0).any():
             return None
-        weight = np.sqrt(np.bincount(inverse, self.stands_for[use])).astype(np.float32)
-        weight[target[pick] != 0] *= BAD_WEIGHT
-        n = np.diff(self.starts)[pick]
-        ends = np.cumsum(n)
-        flat = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(self.starts[pick], n)
-        return Model(*_fit(np.concatenate([[0], ends]), self.bucket[flat], target[pick], weight, seed, epochs))
+        mass = np.sqrt(np.bincount(inverse, weight[use])).astype(np.float32)
+        mass[target[pick] != 0] *= BAD_WEIGHT
+        starts, bucket = self.chosen(pick)
+        return Model(*_fit(starts, bucket, target[pick], mass, seed, epochs))
 
-    def bad(self, model: Model | None, some: np.ndarray) -> np.ndarray:
+    def bad(self, model: Model | None) -> np.ndarray:
         if model is None:
-            return np.zeros(int(some.sum()))
-        n = np.diff(self.starts)[some]
-        ends = np.cumsum(n)
-        flat = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(self.starts[:-1][some], n)
-        return 1 - model.sentences(np.repeat(np.arange(len(n)), n), self.bucket[flat], len(n))[:, 0]
+            return np.zeros(len(self.number))
+        starts, bucket = self.chosen(np.arange(len(self.number)))
+        n = len(starts) - 1
+        return 1 - model.sentences(np.repeat(np.arange(n), np.diff(starts)), bucket, n)[:, 0]
 
 
-def _novelty(where: np.ndarray, bucket: np.ndarray, row_of: np.ndarray, labels: np.ndarray, stands_for: np.ndarray) -> tuple[np.ndarray, float]:
-    """Share of each sentence's features that mark bad texts, and the share that clean sentences stay below.
+@dataclass
+class _Labelled:
+    """Normalised labelled texts in pieces; features are made anew for each pass, so memory follows a piece."""
 
-    A feature marks bad texts if it is LIFT times as frequent in them as in
-    clean ones, and found in more of them. Texts count for as many as they were
-    drawn from. The limit is what 99 of 100 sentences of clean texts keep under
-    when their own text is counted as a bad one, with some distance where many
-    verdicts make that share small.
-    """
-    pairs = np.sort(row_of[where].astype(np.int64) * BUCKETS + bucket)
-    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
-    text, feature = pairs // BUCKETS, pairs % BUCKETS
-    many = stands_for[text]
-    of_clean = np.bincount(feature, many * (labels[text] == 0), BUCKETS)
-    of_bad = np.bincount(feature, many * (labels[text] != 0), BUCKETS)
-    clean, bad = stands_for[labels == 0].sum(), stands_for[labels != 0].sum()
-    own = clean / (labels == 0).sum()
-    size = np.maximum(np.bincount(where, minlength=len(row_of)), 1)
-
-    def share(more: int) -> np.ndarray:
-        left = of_clean - more * own
-        marks = ((of_bad + more) * clean > LIFT * left * bad) & (of_bad + more > left)
-        return np.bincount(where, marks[bucket], len(row_of)) / size
-
-    usual = share(1)[labels[row_of] == 0]
-    return share(0), max(float(np.quantile(usual, 0.99)), min(2 * float(np.quantile(usual, 0.995)), MARKED))
-
-
-def train(texts: list[str], labels: np.ndarray, *, totals: dict[int, int] | None = None, epochs: tuple[int, ...] = EPOCHS, seed: int = 5) -> Model:
+    pieces: list[tuple[int, np.ndarray]]  # first row, bytes
+    labels: np.ndarray
+    stands_for: np.ndarray
+
+    def passes(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(sentence of each feature, bucket of each feature, row of each sentence), features in order of sentences."""
+        for row, data in self.pieces:
+            where, bucket, row_of = features(data)
+            order = np.argsort(where, kind="stable")
+            yield where[order], bucket[order], row_of + row
+
+    def novelty(self) -> tuple[np.ndarray, float]:
+        """Share of each sentence's features that mark bad texts, and the share that clean sentences stay below.
+
+        A feature marks bad texts if it is LIFT times as frequent in them as in
+        clean ones, and found in more of them. Texts count for as many as they
+        were drawn from. The limit is what 99 of 100 sentences of clean texts
+        keep under when their own text is counted as a bad one, with some
+        distance where many verdicts make that share small.
+        """
+        labels, stands_for = self.labels, self.stands_for
+        of_clean, of_bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for where, bucket, row_of in self.passes():
+            pairs = np.sort(row_of[where].astype(np.int64) * BUCKETS + bucket)
+            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+            text, feature = pairs // BUCKETS, pairs % BUCKETS
+            of_clean += np.bincount(feature, stands_for[text] * (labels[text] == 0), BUCKETS)
+            of_bad += np.bincount(feature, stands_for[text] * (labels[text] != 0), BUCKETS)
+        clean, bad = stands_for[labels == 0].sum(), stands_for[labels != 0].sum()
+        own = clean / (labels == 0).sum()
+        marks = [((of_bad + more) * clean > LIFT * (of_clean - more * own) * bad) & (of_bad + more > of_clean - more * own) for more in (0, 1)]
+        shares, usual = [], []
+        for where, bucket, row_of in self.passes():
+            size = np.maximum(np.bincount(where, minlength=len(row_of)), 1)
+            shares.append(np.bincount(where, marks[0][bucket], len(row_of)) / size)
+            usual.append((np.bincount(where, marks[1][bucket], len(row_of)) / size)[labels[row_of] == 0])
+        usual = np.concatenate(usual)
+        return np.concatenate(shares), max(float(np.quantile(usual, 0.99)), min(2 * float(np.quantile(usual, 0.995)), MARKED))
+
+
+def train(texts: list[str], labels: np.ndarray, *, totals: dict[int, int] | None = None, epochs: tuple[int, int] = EPOCHS, seed: int = 5) -> Model:
     """Fit on texts with class numbers, at the level of sentences.
 
     A verdict holds for a whole text of which often one sentence is to blame,
@@ -270,36 +300,62 @@ def train(texts: list[str], labels: np.ndarray, *, totals: dict[int, int] | None
     nothing = Model(np.zeros((BUCKETS, len(CLASSES))), np.array([50.0, 0, 0, 0]))
     if not len(labels) or labels.min() == labels.max():
         return nothing
-    where, bucket, row_of = features(normal_bytes(pa.array(texts, pa.string())))
-    if not len(where):
-        return nothing
     have = np.bincount(labels, minlength=len(CLASSES))
     stands_for = np.array([(totals or {}).get(c, n) / max(1, n) for c, n in enumerate(have)])[labels]
-    novelty, limit = _novelty(where, bucket, row_of, labels, stands_for)
-    bucket, count = bucket[np.argsort(where, kind="stable")], np.bincount(where, minlength=len(row_of))
-    some = count > 0
-    starts = np.concatenate([[0], np.cumsum(count[some])])
-    row, label, novelty = row_of[some], labels[row_of[some]], novelty[some]
-    # equal sentences are known by the sum of their features' hashes
-    with np.errstate(over="ignore"):
-        name = np.add.reduceat(_scramble(bucket.astype(np.uint64) + np.uint64(1)), starts[:-1])
-    data = _Sentences(bucket, starts, stands_for[row], np.unique(name, return_inverse=True)[1])
-    n_clean, n_bad = (np.bincount(data.same, data.stands_for * at) for at in (label == 0, label != 0))
-    guilty = (label != 0) & (novelty > limit) & (n_bad > n_clean)[data.same]
+    array = pa.array(texts, pa.string())
+    data = _Labelled([(lo, normal_bytes(array.slice(lo, n))) for lo, n in text_slices(array, limit=1 << 20)], labels, stands_for)
+    novelty, limit = data.novelty()
     clean = np.flatnonzero(labels == 0)
     early = np.zeros(len(labels), bool)
     early[clean[np.linspace(0, len(clean) - 1, min(len(clean), CLEAN_FIRST)).astype(int)]] = True
-    taken = early[row]
-    model = None
-    for r, passes in enumerate(epochs):
+    kept, rows, names, sizes = _Sentences(), [], [], []
+    first = 0
+    for where, bucket, row_of in data.passes():
+        size = np.bincount(where, minlength=len(row_of))
+        # equal sentences are known by the sum of their features' hashes
+        name, some = np.zeros(len(row_of), np.uint64), np.flatnonzero(size)
+        with np.errstate(over="ignore"):
+            if len(some):
+                name[some] = np.add.reduceat(_scramble(bucket.astype(np.uint64) + np.uint64(1)), (np.cumsum(size) - size)[some])
+        wanted = (labels[row_of] != 0) | early[row_of]
+        stays = np.flatnonzero(wanted & (size > 0))
+        kept.add(bucket[wanted[where]], size[stays], first + stays)
+        rows.append(row_of)
+        names.append(name)
+        sizes.append(size)
+        first += len(row_of)
+    row, size = np.concatenate(rows), np.concatenate(sizes)
+    if not size.any():
+        return nothing
+    same = np.unique(np.concatenate(names), return_inverse=True)[1]
+    label = labels[row]
+    n_clean, n_bad = (np.bincount(same, stands_for[row] * at * (size > 0)) for at in (label == 0, label != 0))
+    guilty = (label != 0) & (novelty > limit) & (n_bad > n_clean)[same] & (size > 0)
+
+    def fit(seed: int, passes: int, taken: np.ndarray) -> Model | None:
         judged = np.zeros(len(labels), bool)
         judged[row[guilty]] = True
-        use = np.where(label != 0, judged[row], taken)
-        model = data.fit(np.where(guilty, label, 0), use, seed + r, passes)
-        bad = data.bad(model, np.ones(len(label), bool))
-        guilty |= (label != 0) & (bad >= 0.5)
-        taken = (early[row] | (bad > DOUBTFUL)) & ~((label == 0) & (bad > 0.8) & (novelty > limit))
-    return model or nothing
+        at = kept.number
+        use = np.where(label[at] != 0, judged[row[at]], taken[at])
+        return kept.fit(np.where(guilty, label, 0)[at], stands_for[row[at]], same[at], use, seed, passes)
+
+    taken = early[row]
+    model = fit(seed, epochs[0], taken)
+    bad = np.zeros(len(row))
+    bad[kept.number] = kept.bad(model)
+    guilty |= (label != 0) & (bad >= 0.5)
+    first = 0
+    for where, bucket, row_of in data.passes():  # the other clean texts
+        n = len(row_of)
+        if model is not None:
+            p = 1 - model.sentences(where, bucket, n)[:, 0]
+            doubt = (p > DOUBTFUL) & (label[first : first + n] == 0) & ~early[row_of]
+            kept.add(bucket[doubt[where]], np.bincount(where, minlength=n)[doubt], first + np.flatnonzero(doubt))
+            taken[first : first + n] |= doubt
+            bad[first : first + n][doubt] = p[doubt]
+        first += n
+    taken &= ~((label == 0) & (bad > 0.8) & (novelty > limit))
+    return fit(seed + 1, epochs[1], taken) or nothing
 
 
 _MODELS: dict[str, Model] = {}
@@ -307,7 +363,10 @@ _MODELS: dict[str, Model] = {}
 
 def trained(texts: list[str], labels: np.ndarray, *, totals: dict[int, int] | None = None) -> Model:
     """``train`` with its defaults; the model of the same verdicts is fitted once per application."""
-    name = hashlib.sha256(repr((texts, labels.tolist(), sorted((totals or {}).items()))).encode()).hexdigest()
+    digest = hashlib.sha256(repr((labels.tolist(), sorted((totals or {}).items()))).encode())
+    for t in texts:
+        digest.update(hashlib.sha256(t.encode()).digest())
+    name = digest.hexdigest()
     if name not in _MODELS:
         _MODELS.clear()  # one at a time: a model takes 4 MB
         _MODELS[name] = train(texts, labels, totals=totals)
