@@ -15,6 +15,7 @@ from corvane.log import LOG, stage
 from corvane.operators import embed, evaluate, fuse, manifest, postings, rank, vectors
 from corvane.plans import retrieval
 from corvane.plans.materialize import materialize
+from corvane.runtime import check_memory
 from corvane.sources import corpus as source
 from corvane.sources import store
 
@@ -71,6 +72,7 @@ def train_model(spark: SparkSession, settings: Settings, *, limit: int | None =
     path = settings.model_path()
     if not force and store.exists(spark, f"{path}/manifest.json") and store.read_json(spark, f"{path}/manifest.json").get("fingerprint") == name:
         return store.read_json(spark, f"{path}/manifest.json")
+    check_memory(spark, settings, "train", limit=limit)
     with stage("train"):
         found = embed.train(run_preprocessing(spark, settings, limit=limit), params, subwords=settings.model == "fasttext")
     extra = {}
@@ -119,6 +121,18 @@ class Engine:
     about: dict
     lexical: retrieval.LexicalIndex
 
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Let go of what is held in memory; the saved tables stay."""
+        for table in (self.corpus, self.index, self.lexical.postings):
+            table.unpersist()
+        self.__dict__.pop("_weights", None)
+
     @property
     def size(self) -> int:
         return self.about["rows"]

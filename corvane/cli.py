@@ -15,6 +15,7 @@ from corvane import api, log
 from corvane.config import FIELDS, MODELS, POOLINGS, Settings
 from corvane.operators import evaluate
 from corvane.errors import CorvaneError
+from corvane.runtime import check_memory, system_report
 from corvane.session import session
 from corvane.sources import corpus, store
 
@@ -67,7 +68,10 @@ def _doctor(spark, settings: Settings, full: bool) -> int:
     for r in found:
         print(r["severity"], r["code"], r["subject"])
     if full:
-        print("spark", spark.version, "master", spark.sparkContext.master, "cores", spark.sparkContext.defaultParallelism)
+        for name, value in system_report(spark).items():
+            print(name, value)
+        for step in ("preprocess", "train", "index", "search"):
+            print(step, "memory", "enough" if check_memory(spark, settings, step) else "short")
         if store.exists(spark, settings.root):
             for r in store.sizes(spark, settings.root).orderBy("folder").collect():  # a row per folder
                 print(r["folder"], r["files"], "files", r["bytes"], "bytes")

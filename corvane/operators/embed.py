@@ -47,6 +47,10 @@ class TrainingParams:
         return self.buckets * self.vector_size * 4 / 1e6
 
 
+#: The older generation's n-grams of one and two letters.
+LEGACY = {"min_n": 1, "max_n": 2}
+
+
 @dataclass
 class Embedding:
     """``words``: (``term``, ``v``); ``buckets``: (``bucket``, ``v``) of the n-grams, None without subwords."""

@@ -86,6 +86,15 @@ def term_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def cloud(counts: DataFrame, n: int = 200) -> DataFrame:
+    """(``term``, ``n``, ``size``): the most frequent words for a word cloud, ``size`` relative to the first.
+
+    The whole text of a collection isn't put together: the picture needs only frequencies.
+    """
+    top = counts.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(n)
+    return top.crossJoin(F.broadcast(top.agg(F.max("n").alias("most")))).select("term", "n", (F.col("n") / F.col("most")).alias("size"))
+
+
 def document_frequency(counts: DataFrame) -> DataFrame:
     """(``term``, ``df``)."""
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -110,6 +110,11 @@ def _pooled_by_join(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return tokens.select("doc_id").join(sums, "doc_id", "left").select("doc_id", "v", F.coalesce("known", F.lit(0)).cast("bigint").alias("known"))
 
 
+def or_zero(vectors: DataFrame, width: int) -> DataFrame:
+    """Null vectors, of documents without a known token, as zeros of a given width: the older form of a mean."""
+    return vectors.withColumn("v", F.coalesce("v", F.array_repeat(F.lit(0.0), width)))
+
+
 def unknown_documents(vectors: DataFrame) -> DataFrame:
     """One row: documents and how many of them have no known token."""
     return vectors.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.when(F.col("known") == 0, 1).otherwise(0)).cast("bigint").alias("unknown"))

@@ -197,6 +197,8 @@ SQL |= {
     "mean_pool": f"{_IDX},\n{_WORDS} {_ENTRY} ({_pool('tf')})",
     "sif_pool": f"{_IDX},\n{_WORDS} {_ENTRY} ({_pool('tf * weight')})",
     "oov_documents": f"{_IDX},\n{_WORDS} SELECT count(*) AS documents, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM counts JOIN wv USING (term))) AS unknown FROM tok",
+    "fixed_component_removed": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM v WHERE vec_id = 0)
+SELECT vec_id, i - 1 AS pos, round(v[i] - list_dot_product(v, u) * u[i], 5) + 0.0 AS x FROM v, u, unnest(range(1, len(v) + 1)) r(i)""",
     "l2_normalize": """SELECT vec_id, i - 1 AS pos, round(v[i] / CASE WHEN list_dot_product(v, v) > 0 THEN sqrt(list_dot_product(v, v)) ELSE 1 END, 5) + 0.0 AS x
 FROM (SELECT vec_id, CAST(vectors AS DOUBLE[]) AS v FROM document_index WHERE vectors IS NOT NULL), unnest(range(1, len(v) + 1)) u(i)""",
 }
@@ -344,7 +346,14 @@ means AS (SELECT r, avg(diff) AS m FROM (SELECT r, xor(x, x >> 16) % n AS i FROM
 SELECT round(any_value(effect), 6) AS effect, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN abs(m - effect) >= abs(effect) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p FROM means, e""",
     "overlap_twins": f"WITH {_LOG} SELECT method_a, method_b, round(avg(o), 6) AS overlap FROM (SELECT query_id, a.method AS method_a, b.method AS method_b, count(*) / 10 AS o FROM runs a JOIN runs b USING (query_id, trial_id) WHERE a.method < b.method AND a.rank <= 10 AND b.rank <= 10 GROUP BY ALL) GROUP BY ALL",
     "relevant_per_stratum": f"WITH {_QRELS} SELECT stratum, count(*) AS queries, round(avg(coalesce(n, 0)), 6) AS relevant FROM eval_queries LEFT JOIN (SELECT query_id, count(*) AS n FROM qrels GROUP BY query_id) USING (query_id) GROUP BY stratum",
-    "served_per_day": "SELECT date_trunc('day', served_at) AS window_start, ranker, count(DISTINCT hit_id) AS hits FROM search_log WHERE served_at IS NOT NULL GROUP BY ALL",
+    "served_per_day": """WITH h AS (SELECT hit_id, arg_min(ranker, (served_at, ranker)) AS ranker, min(served_at) AS served_at FROM search_log WHERE served_at IS NOT NULL GROUP BY hit_id)
+SELECT date_trunc('day', served_at) AS window_start, ranker, count(*) AS hits FROM h GROUP BY ALL""",
+    "word_cloud": _IDX + " SELECT term, n, round(n / max(n) OVER (), 6) AS size FROM (SELECT term, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY term ORDER BY n DESC, term LIMIT 200)",
+    "embedding_topk": f"{_IDX},\n{_EMB} SELECT query_id, doc_id, score, rank FROM emb WHERE rank <= 10",
+    "pool_four": f"""{_RUNS}{_bm25()},\n{_tfidf()},\n{_EMB},\nemb10 AS (SELECT * FROM emb WHERE rank <= 10),\n{_union('emb10')},
+each AS (SELECT 'bm25' AS src, * FROM ({_per_trial('bm25')}) UNION ALL SELECT 'tfidf', * FROM ({_per_trial('tfidf')}) UNION ALL SELECT 'embedding', * FROM ({_per_trial('emb10')}) UNION ALL SELECT 'union', * FROM ({_per_trial('fusedr')}))
+SELECT query_id, trial_id, found_by, row_number() OVER (PARTITION BY query_id ORDER BY length(found_by) - length(replace(found_by, ',', '')) DESC, trial_id) AS place
+FROM (SELECT query_id, trial_id, string_agg(src, ',' ORDER BY src) AS found_by FROM each WHERE rank <= 10 GROUP BY ALL)""",
     "integrity_findings": """SELECT * FROM (VALUES ('ERROR', 'index-model-mismatch', 'skipgram-title'), ('ERROR', 'index-model-vectors-stale', 'skipgram-title'), ('ERROR', 'index-size-mismatch', 'skipgram-title'), ('WARN', 'index-predates-checksum', 'fasttext-abstract'),
 ('WARN', 'index-sampled', 'fasttext-abstract'), ('WARN', 'model-missing', 'glove'), ('WARN', 'model-sampled', 'fasttext'), ('WARN', 'model-corpus-stale', 'fasttext'), ('WARN', 'artefact-oversized', 'fasttext')) t(severity, code, subject)""",
 }

@@ -254,6 +254,19 @@ def component_removed(spark: SparkSession, d: str) -> DataFrame:
     return v.select("vec_id", F.transform(vectors.without_component(F.col("v"), u), lambda x: F.round(x, 4)).alias("v"))
 
 
+def fixed_component_removed(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors without their part along the vector of id 0."""
+    v = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    u = v.filter("vec_id = 0").select(vectors.l2_normalized(F.col("v")).alias("u")).first()["u"]
+    left = v.select("vec_id", F.posexplode(vectors.without_component(F.col("v"), u)).alias("pos", "x"))
+    return left.select("vec_id", F.col("pos").cast("bigint").alias("pos"), (F.round("x", 5) + 0.0).alias("x"))
+
+
+def word_cloud(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 most frequent words of the abstracts and their sizes in a word cloud."""
+    return postings.cloud(term_freq(spark, d)).select("term", "n", F.round("size", 6).alias("size"))
+
+
 #: The training of production, side by side: one partition would leave all other cores idle.
 TRAINING = embed.TrainingParams(partitions=8)
 
@@ -350,6 +363,22 @@ def _embedding_run(lex: retrieval.LexicalIndex, words: DataFrame, q: DataFrame,
     return materialize(rank.cosine(materialize(asked, "asked"), docs, n).withColumn("query_id", F.col("query_id").cast("int")), "embedding")
 
 
+def embedding_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of pooled query words against pooled abstracts."""
+    lex, q = _runs(spark, d)
+    return _hits(_embedding_run(lex, materialize(_word_vectors(spark, d, lex.surface), "words"), q, 10))
+
+
+def pool_four(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of four systems: BM25, TF-IDF, embedding, and the union of the last two; all that each shows to depth 10."""
+    lex, q = _runs(spark, d)
+    emb = _embedding_run(lex, materialize(_word_vectors(spark, d, lex.surface), "words"), q, 10)
+    tfidf = materialize(lex.tfidf(q), "tfidf")
+    runs = {"bm25": lex.bm25(q), "embedding": emb, "tfidf": tfidf, "union": fuse.rrf_union(emb, tfidf)}
+    named = {n: retrieval.one_per_trial(r, _corpus(spark, d)) for n, r in runs.items()}
+    return fuse.pooled_runs(named, doc="trial_id").select("query_id", "trial_id", F.concat_ws(",", "found_by").alias("found_by"), "place")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The default search of all judged queries; pooled query words against pooled abstracts are the embedding run."""
     lex, q = _runs(spark, d)
@@ -520,7 +549,7 @@ QUERIES = {
     for f in (
         p3_found, p3_loaded, clean_text, strip_urls, join_marks, tokenize, preprocess, old_chain, legacy_chain, bigrams, normalize_id, truncated_abstract, row_fingerprint, drop_blank_rows, containment, csv_loaded, csv_rejected, twin_overlap,
         term_freq, doc_freq, lemma_map, lemma_postings, vocab_top10, corpus_stats, sif_weights, idf, bm25_topk, bm25_b0, tfidf_topk, bigram_bm25, old_chain_bm25, cosine_topk,
-        mean_pool, sif_pool, oov_documents, l2_normalize, component_removed, skipgram_vectors, subword_vectors, most_similar, candidate_sheet, rrf_union, pool_candidates, unjudged, known_item, id_collisions, negation_spans,
+        mean_pool, sif_pool, oov_documents, l2_normalize, component_removed, fixed_component_removed, word_cloud, embedding_topk, pool_four, skipgram_vectors, subword_vectors, most_similar, candidate_sheet, rrf_union, pool_candidates, unjudged, known_item, id_collisions, negation_spans,
         negation_asserts, negation_filter, promoted, flagship, flagship_trained, query_reasons, log_metrics, log_metrics_by_stratum, ranker_metrics, method_best, release_gate, log_latency, bootstrap, overlap_twins,
         label_progress, merge_labels, relevant_per_stratum, served_per_day, integrity_findings, table_fingerprints,
     )

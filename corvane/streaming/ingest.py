@@ -36,9 +36,13 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
 def served_per_window(log: DataFrame, *, time: str = "served_at", late: str = "2 days", width: str = "1 day") -> DataFrame:
     """(``window_start``, ``ranker``, ``hits``): hits by event time; each hit id counts once within the watermark.
 
-    Works on a stream, where rows later than the watermark are dropped, and on
-    a table, where all rows count.
+    Works on a stream, where rows later than the watermark are dropped and the
+    first of equal ids to arrive counts, and on a table, where all rows count
+    and of equal ids the one served first, then that of the first ranker.
     """
-    once = log.withWatermark(time, late).dropDuplicatesWithinWatermark(["hit_id"]) if log.isStreaming else log.dropDuplicates(["hit_id"])
+    if log.isStreaming:
+        once = log.withWatermark(time, late).dropDuplicatesWithinWatermark(["hit_id"])
+    else:
+        once = log.filter(F.col(time).isNotNull()).groupBy("hit_id").agg(F.min(F.struct(time, "ranker")).alias("h")).select("h.*")
     grouped = once.groupBy(F.window(time, width), "ranker").agg(F.count(F.lit(1)).alias("hits"))
     return grouped.select(F.col("window.start").alias("window_start"), "ranker", "hits")
