@@ -333,7 +333,7 @@ def candidate_pairs(sketches: DataFrame, *, budget: int, threshold: float) -> Da
     rows of shared keys get their fingerprints and travel. A hot trie is cut
     into blocks of about ``TRIE_ROWS`` by a hash of the record, and each two
     blocks, and each block with itself, are joined in a task of their own, so no
-    pair is lost and no task holds an unbounded trie.
+    pair is lost and no task holds an unbounded trie. The result is written.
     """
     keys = sketches.select("rep", F.explode("keys").alias("key"))
     shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "shared-keys")
@@ -344,7 +344,9 @@ def candidate_pairs(sketches: DataFrame, *, budget: int, threshold: float) -> Da
     side = F.when(F.col("own") > F.col("other"), 1).otherwise(0)
     routed = routed.select("key", block.alias("block"), side.cast("int").alias("side"), "rep", "fp", "n")
     placed = routed.repartition("key", "block").sortWithinPartitions("key", "block")
-    return placed.mapInArrow(_join_groups(budget, threshold), "a bigint, b bigint").distinct()
+    out = materialize(placed.mapInArrow(_join_groups(budget, threshold), "a bigint, b bigint").distinct(), "candidates")
+    discard(shared)
+    return out
 
 
 class NearDuplicates:
@@ -378,6 +380,7 @@ class NearDuplicates:
         several = materialize(per.filter(F.col("size") > 1).withColumn("h", F.hex("h")), "classes")
         named = join_dimension(keyed.select(F.hex("h").alias("h"), "id"), several, "h", "size", ["id"], how="left")
         self.members = materialize(named.select(F.coalesce("rep", "id").alias("rep"), "id", F.coalesce("size", F.lit(1)).alias("size")), "members")
+        discard(keyed)
         # where copies are few, their ids are a small table and the texts needn't be shuffled to leave them out
         copies = materialize(self.members.filter(F.col("rep") != F.col("id")).select("id"), "copies")
         sketch = _sketches(shingle, *tables_for(threshold), least)
@@ -388,12 +391,13 @@ class NearDuplicates:
     def links(self) -> DataFrame:
         """(``a``, ``b``, ``similarity``): pairs of classes, a < b."""
         if self._links is None:
-            pairs = materialize(candidate_pairs(self.sketches, budget=self.budget, threshold=self.threshold), "candidates")
+            pairs = candidate_pairs(self.sketches, budget=self.budget, threshold=self.threshold)
             sets = self.sketches.select("rep", "shingles")
             met = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
             both = F.size(F.array_intersect("sa", "sb"))
             met = met.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("either"))
             self._links = materialize(met.filter(F.col("both") >= F.col("either") * F.lit(self.threshold)).select("a", "b", (F.col("both") / F.col("either")).alias("similarity")), "links")
+            discard(pairs)
         return self._links
 
     def pairs(self) -> DataFrame:
