@@ -20,7 +20,7 @@ from corvane.plans.materialize import discard, materialize
 #: Bound of the n-gram matrix, and of all matrices of a training, which the driver and each task hold.
 MAX_MATRIX_MB, MAX_MODEL_MB = 200, 1024
 #: Token positions of one step, and rows of a matrix that travel as one block.
-STEP, BLOCK = 512, 1024
+STEP, BLOCK = 256, 1024
 
 
 @dataclass(frozen=True)

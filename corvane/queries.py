@@ -275,19 +275,24 @@ def _asked_words(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "eval_queries").select(F.explode(T.preprocess(F.col("query_text"))).alias("term"))
 
 
+def _trained(spark: SparkSession, d: str, subwords: bool = False) -> embed.Embedding:
+    """Vectors of the abstracts' words; the tokens are written once, as counting and encoding both read them."""
+    return embed.train(materialize(_tokens(spark, d), "tokens"), TRAINING, subwords=subwords)
+
+
 def skipgram_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Skip-gram vectors of the corpus vocabulary."""
-    return embed.skipgram(_tokens(spark, d), TRAINING)
+    return _trained(spark, d).words
 
 
 def most_similar(spark: SparkSession, d: str) -> DataFrame:
     """The most similar words of every word of the judged queries."""
-    return embed.most_similar(embed.skipgram(_tokens(spark, d), TRAINING), _asked_words(spark, d))
+    return embed.most_similar(_trained(spark, d).words, _asked_words(spark, d))
 
 
 def subword_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of the query words, also of unseen ones, from n-grams trained with the words."""
-    model = embed.train(_tokens(spark, d), TRAINING, subwords=True)
+    model = _trained(spark, d, subwords=True)
     return embed.infer(_asked_words(spark, d), model.words, model.buckets, TRAINING)
 
 
