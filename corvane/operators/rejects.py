@@ -17,8 +17,8 @@ REGISTRY_FORMS = {
     "DRKS": r"DRKS[0-9]{8}",
     "jRCT": r"jRCT[0-9]{10}",
 }
-#: How a line of an export begins that opens a record: the date it was added, then an identifier.
-RECORD_START = '^(?:"[^",]{0,24}"|[^",]{0,24}),"?(?:' + "|".join(REGISTRY_FORMS.values()) + ')"?,'
+#: How a line of an export begins that opens a record: the day it was added, or any short field and then an identifier.
+RECORD_START = '^(?:"?[0-9]{4}-[0-9]{2}-[0-9]{2}"?,|(?:"[^",]{0,24}"|[^",]{0,24}),"?(?:' + "|".join(REGISTRY_FORMS.values()) + ')"?,)'
 _CONTROL = "[\\x{0}-\\x{8}\\x{B}-\\x{1F}\\x{7F}-\\x{9F}\\x{FFFD}]"
 
 

@@ -37,11 +37,11 @@ def test_records_of_any_block_size(spark, tmp_path, block):
 
 def test_an_open_quote_damages_one_record(spark, tmp_path):
     good = '2020-01-0{0},NCT0000000{0},T{0},,"an abstract\nof two lines",2020-02-02,N/A'
-    lines = [HEAD, good.format(1), '2020-01-02,NCT00000002,"open,,abstract,2020-02-02,N/A', good.format(3), "2020-01-04,NCT00000004,few", good.format(5), ""]
+    lines = [HEAD, good.format(1), '2020-01-02,NCT00000002,"open,,abstract,2020-02-02,N/A', good.format(3), '2020-01-02,NCT00000006,"open,,abstract,2020-02-02,N/A', "2020-01-07,odd id,T7,,abstract,2020-02-02,", "2020-01-04,NCT00000004,few", good.format(5), ""]
     rows, bad = corpus.read_csv_parts(spark, write(tmp_path / "b.csv", "\n".join(lines)))
-    assert sorted(r["trial_id"] for r in rows.collect()) == ["NCT00000001", "NCT00000003", "NCT00000005"]
-    assert {r["abstract"] for r in rows.collect()} == {"an abstract\nof two lines"}
-    assert sorted((r["reason"], r["raw"][:22]) for r in bad.collect()) == [("column_count", "2020-01-04,NCT00000004"), ("quoting", "2020-01-02,NCT00000002")]
+    assert sorted(r["trial_id"] for r in rows.collect()) == ["NCT00000001", "NCT00000003", "NCT00000005", "odd id"]
+    assert {r["abstract"] for r in rows.collect()} == {"an abstract\nof two lines", "abstract"}
+    assert sorted((r["reason"], r["raw"][:22]) for r in bad.collect()) == [("column_count", "2020-01-04,NCT00000004"), ("quoting", "2020-01-02,NCT00000002"), ("quoting", "2020-01-02,NCT00000006")]
 
 
 def test_numbered_keeps_every_row(spark):
