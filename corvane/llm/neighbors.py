@@ -29,6 +29,8 @@ FIT_ROWS = 32768
 CALIBRATION_ROWS = 2048
 #: True neighbours, at least, that the visits are fitted on.
 LEAST_TARGETS = 1000
+#: Where every neighbour is wanted, so many times the visits that the calibration queries need: pairs outside them may lie farther off.
+MARGIN = 1.5
 #: Rows (about) of a leaf, of all indexed rows; a sample keeps at least 12 and need not hold more than 64 a leaf.
 LEAF_ROWS, LEAST_SAMPLE, MOST_SAMPLE = 512, 12, 64
 #: A leaf of so many times the wanted rows is split. Beyond so many leaves the leaves grow instead: the tree, which all tasks
@@ -305,6 +307,8 @@ def _calibrate(tree: Tree, ids: np.ndarray, q: np.ndarray, rows: DataFrame, k: i
         upto = min(4 * upto, tree.leaves)
         needed[far] = _place_of(tree, q[at[far]], home[far], upto)
     visits = int(np.sort(needed)[want - 1]) + 1
+    if wanted >= 1:
+        visits = min(tree.leaves, int(np.ceil(MARGIN * visits)))
     return visits, float((needed < visits).mean())
 
 
