@@ -304,21 +304,25 @@ SELECT doc_id, source, tokens, c AS "copy" FROM drawn, unnest(range(1, CAST(floo
 # 9. Abusive, hateful or sexual content
 
 
-def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Score and category of every document."""
+def _scored(spark: SparkSession, d: str, fresh: bool) -> DataFrame:
     documents = _t(spark, d, "documents")
     texts, labels, totals = toxicity.verdicts(_t(spark, d, "doc_reviews"), documents)
-    model = toxicity.trained(texts, labels, totals=totals)
+    model = toxicity.trained(texts, labels, totals=totals, fresh=fresh)
     return toxicity.score(documents, model, keep=("source",))
 
 
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score and category of every document, by a model fitted anew."""
+    return _scored(spark, d, True)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_scores(spark, d).filter("flagged").select("doc_id")
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Rate of flagged documents per source."""
-    return toxicity.rates(p9_scores(spark, d))
+    """Rate of flagged documents per source, by the model of these verdicts if one is at hand."""
+    return toxicity.rates(_scored(spark, d, False))
 
 
 QUERIES = {

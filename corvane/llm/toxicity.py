@@ -361,13 +361,13 @@ def train(texts: list[str], labels: np.ndarray, *, totals: dict[int, int] | None
 _MODELS: dict[str, Model] = {}
 
 
-def trained(texts: list[str], labels: np.ndarray, *, totals: dict[int, int] | None = None) -> Model:
-    """``train`` with its defaults; the model of the same verdicts is fitted once per application."""
+def trained(texts: list[str], labels: np.ndarray, *, totals: dict[int, int] | None = None, fresh: bool = False) -> Model:
+    """``train`` with its defaults; unless ``fresh``, the model last fitted is taken if it is of the same verdicts."""
     digest = hashlib.sha256(repr((labels.tolist(), sorted((totals or {}).items()))).encode())
     for t in texts:
         digest.update(hashlib.sha256(t.encode()).digest())
     name = digest.hexdigest()
-    if name not in _MODELS:
+    if fresh or name not in _MODELS:
         _MODELS.clear()  # one at a time: a model takes 4 MB
         _MODELS[name] = train(texts, labels, totals=totals)
     return _MODELS[name]
