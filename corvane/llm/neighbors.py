@@ -6,6 +6,8 @@ of single leaves, so leaves stay small while the collection grows. Each query
 visits leaves best bin first through a priority queue. How many leaves a query
 visits is not fixed: it is widened until a set of calibration queries, whose
 true neighbours come from a scan of all rows, reaches the wanted recall.
+Queries are searched in rounds, so that what they send to the leaves at once
+stays within the size of the index however many leaves each visits.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.plans.materialize import discard, materialize
+from corvane.plans.materialize import discard, materialize, materialize_all, shuffles_freed
 from corvane.plans.skew import join_dimension
 from corvane.plans.spread import spread
 
@@ -42,6 +44,8 @@ SPLIT_ROUNDS = 8
 BRANCHING = 16
 #: Rows (about) that one task compares queries with, and queries it takes.
 BLOCK_ROWS, BLOCK_QUERIES = 16384, 65536
+#: Bytes that the queries of one round send, as a multiple of the indexed vectors and at least; and of a row sent besides its vector.
+ROUND_SHARE, LEAST_ROUND, ROW_BYTES = 1.5, 128 << 20, 64
 _BATCH = 2048
 
 
@@ -224,12 +228,16 @@ def _best(query: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> np.n
 def _compare(q: np.ndarray, q_id: np.ndarray, m: np.ndarray, m_id: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query place, member place and similarity of the k best members of each query, itself left out."""
     out = []
+    by_id = np.argsort(m_id, kind="stable")
+    ordered = m_id[by_id]
+    begin, end = np.searchsorted(ordered, q_id), np.searchsorted(ordered, q_id, "right")
     step = max(1, (1 << 23) // max(1, len(m)))
     for lo in range(0, len(q), step):
         s = q[lo : lo + step] @ m.T
-        s[q_id[lo : lo + step, None] == m_id[None, :]] = -np.inf
+        b, n = begin[lo : lo + step], (end - begin)[lo : lo + step]
+        s[np.repeat(np.arange(len(s)), n), by_id[np.repeat(b - np.cumsum(n) + n, n) + np.arange(n.sum())]] = -np.inf
         if floor is not None:
-            i, j = np.nonzero(s >= floor - 1e-5)
+            i, j = np.divmod(np.flatnonzero(s >= np.float32(floor - 1e-5)), max(1, s.shape[1]))
         elif s.shape[1] > k + 4:
             j = np.argpartition(-s, k + 3, axis=1)[:, : k + 4]
             i, j = np.repeat(np.arange(len(s)), j.shape[1]), j.ravel()
@@ -263,7 +271,10 @@ def _exact_scan(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, floor:
 
 @dataclass
 class Index:
-    """A fitted tree, the row counts of its leaves, how many leaves a query visits, and the share of queries that visit each leaf."""
+    """A fitted tree, the row counts of its leaves, how many leaves a query visits, and the share of the calibration queries that go to each block.
+
+    ``full``: the share of them that have k neighbours (at or above the floor).
+    """
 
     tree: Tree
     leaf_rows: np.ndarray
@@ -271,6 +282,7 @@ class Index:
     recall: float
     queries: int
     asked_share: np.ndarray
+    full: float
 
 
 def _place_of(tree: Tree, q: np.ndarray, leaf: np.ndarray, upto: int) -> np.ndarray:
@@ -283,8 +295,8 @@ def _place_of(tree: Tree, q: np.ndarray, leaf: np.ndarray, upto: int) -> np.ndar
     return out
 
 
-def _calibrate(tree: Tree, ids: np.ndarray, q: np.ndarray, rows: DataFrame, k: int, floor: float | None, wanted: float, width: int) -> tuple[int, float]:
-    """Fewest leaf visits that reach the wanted recall on the calibration queries.
+def _calibrate(tree: Tree, ids: np.ndarray, q: np.ndarray, rows: DataFrame, k: int, floor: float | None, wanted: float, width: int) -> tuple[int, float, float]:
+    """Fewest leaf visits that reach the wanted recall on the calibration queries; that recall; the share of them with k neighbours.
 
     Where fewer than ``LEAST_TARGETS`` of their neighbours reach the floor, the
     most similar ones below it make up the number: they lie farther off, so the
@@ -293,12 +305,13 @@ def _calibrate(tree: Tree, ids: np.ndarray, q: np.ndarray, rows: DataFrame, k: i
     leaves tried so far are followed further.
     """
     at, near, _, _ = _exact_scan(rows, ids, q, k, floor, width)
+    full = float((np.bincount(at, minlength=len(ids)) >= k).mean()) if len(ids) else 0.0
     if floor is not None and len(at) < LEAST_TARGETS:
         at, near, _, sim = _exact_scan(rows, ids, q, k, None, width)
         nearest = np.argsort(-sim, kind="stable")[:LEAST_TARGETS]
         at, near = at[nearest], near[nearest]
     if not len(at):
-        return tree.leaves, 1.0
+        return tree.leaves, 1.0, full
     home = np.concatenate([visit_order(tree, near[i : i + _BATCH], 1)[:, 0] for i in range(0, len(near), _BATCH)])
     want, upto = max(1, int(np.ceil(wanted * len(at)))), min(64, tree.leaves)
     needed = _place_of(tree, q[at], home, upto)
@@ -309,7 +322,7 @@ def _calibrate(tree: Tree, ids: np.ndarray, q: np.ndarray, rows: DataFrame, k: i
     visits = int(np.sort(needed)[want - 1]) + 1
     if wanted >= 1:
         visits = min(tree.leaves, int(np.ceil(MARGIN * visits)))
-    return visits, float((needed < visits).mean())
+    return visits, float((needed < visits).mean()), full
 
 
 def _placed(rows: DataFrame, tree: Tree, width: int) -> tuple[DataFrame, np.ndarray]:
@@ -357,32 +370,44 @@ def _subtrees(placed: DataFrame, sizes: np.ndarray, leaf_rows: int, width: int)
     return out
 
 
-def build_index(rows: DataFrame, *, width: int, k: int, floor: float | None = None, wanted_recall: float = 0.95, leaf_rows: int = LEAF_ROWS) -> tuple[Index, DataFrame]:
+def build_index(rows: DataFrame, *, width: int, k: int, floor: float | None = None, wanted_recall: float = 0.95, leaf_rows: int = LEAF_ROWS, last_use: bool = False) -> tuple[Index, DataFrame]:
     """Fit the tree, put every row into its leaf, split large leaves and calibrate the visits.
 
     ``rows`` has ``id`` and ``unit``. Returns the index and the rows with their
     leaf. One sample of ``FIT_ROWS`` gives leaves of the wanted size up to about
-    1.4 million rows; a round of splits multiplies that by as much again.
+    1.4 million rows; a round of splits multiplies that by as much again. With
+    ``last_use`` the files of ``rows`` are deleted as soon as they are placed.
     """
     total = rows.count()
     leaf_rows = max(leaf_rows, -(-total // MOST_LEAVES))
     _, sample = _draw(rows, FIT_ROWS, total, 1, width)
     tree = fit_tree(sample, max(LEAST_SAMPLE, round(leaf_rows * len(sample) / max(1, total))))
     placed, sizes = _placed(rows, tree, width)
+    if last_use:
+        discard(rows)
     for _ in range(SPLIT_ROUNDS):
         parts = _subtrees(placed, sizes, leaf_rows, width)
         if not parts:  # none too large, or too alike to be split
             break
         tree, old = graft(tree, parts), placed
-        placed, sizes = _placed(rows, tree, width)
+        placed, sizes = _placed(old, tree, width)
         discard(old)
     ids, q = _draw(placed, CALIBRATION_ROWS, total, 2, width)
-    visits, recall = _calibrate(tree, ids, q, placed, k, floor, wanted_recall, width)
-    share = np.zeros(tree.leaves)
+    visits, recall, full = _calibrate(tree, ids, q, placed, k, floor, wanted_recall, width)
+    first, parts = _blocks(sizes, BLOCK_ROWS)
+    asked = np.zeros(int((first + parts).max()))
     step = max(16, min(_BATCH, (1 << 23) // visits))
     for lo in range(0, len(q), step):
-        share += np.bincount(visit_order(tree, q[lo : lo + step], visits).ravel(), minlength=tree.leaves)
-    return Index(tree, sizes, visits, recall, len(ids), share / max(1, len(q))), placed
+        leaves = np.sort(visit_order(tree, q[lo : lo + step], visits), axis=1)  # and so by block
+        new = np.pad(first[leaves[:, 1:]] != first[leaves[:, :-1]], ((0, 0), (1, 0)), constant_values=True)
+        some = leaves[new]
+        np.add.at(asked, np.repeat(first[some], parts[some]) + _counted(parts[some]), 1)
+    return Index(tree, sizes, visits, recall, len(ids), asked / len(q) if len(q) else np.ones(len(asked)), full), placed
+
+
+def _counted(times: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``times``, one after another."""
+    return np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
 
 
 def _blocks(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -401,11 +426,18 @@ def _blocks(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]
     return first, parts
 
 
-def _query_parts(index: Index, first: np.ndarray, parts: np.ndarray, queries: int) -> np.ndarray:
-    """Into how many parts the queries of each block are cut, by the share of the calibration queries that visit it."""
-    asked = np.zeros(int((first + parts).max()))
-    np.add.at(asked, np.repeat(first, parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts), np.repeat(index.asked_share, parts))
-    return np.maximum(1, np.ceil(np.minimum(asked, 1.0) * queries / BLOCK_QUERIES)).astype(np.int64)
+def _query_parts(index: Index, queries: int) -> np.ndarray:
+    """Into how many parts the queries of each block are cut, by the share of the calibration queries that go to it."""
+    return np.maximum(1, np.ceil(index.asked_share * queries / BLOCK_QUERIES)).astype(np.int64)
+
+
+def _rounds(index: Index, queries: int, width: int, k: int) -> int:
+    """In how many rounds to search, so that what one sends, and the neighbours that come back, is bounded by the size of the index."""
+    sent = index.asked_share.sum()  # blocks a query goes to
+    to_blocks = sent * (4 * width + ROW_BYTES) + 4 * index.visits
+    back = k * 32 * (1 + index.full * sent)  # a query with fewer than k neighbours gets each once, another up to k of each block
+    room = max(LEAST_ROUND, ROUND_SHARE * 4 * width * int(index.leaf_rows.sum()))
+    return max(1, int(np.ceil(queries * (to_blocks + back) / room)))
 
 
 def _mixed(ids: np.ndarray, factor: int) -> np.ndarray:
@@ -419,11 +451,14 @@ def search(index: Index, placed: DataFrame, queries: DataFrame, *, width: int, k
     block holds about ``BLOCK_ROWS`` rows, and a leaf of more is split over
     several, so no task gets an unbounded group. The queries of a block are
     split too, by how many of the calibration queries visit it, and its rows
-    repeated for each part. Ties go to the smaller id.
+    repeated for each part. Ties go to the smaller id. Queries are drawn by a
+    hash into rounds, one after another; the result is a written table.
     """
     spark = placed.sparkSession
+    total = queries.count()
+    rounds = _rounds(index, total, width, k)
     first, parts = _blocks(index.leaf_rows, BLOCK_ROWS)
-    shipped = spark.sparkContext.broadcast((index.tree, first, parts, _query_parts(index, first, parts, queries.count())))
+    shipped = spark.sparkContext.broadcast((index.tree, first, parts, _query_parts(index, -(-total // rounds))))
     visits = index.visits
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,14 +467,12 @@ def search(index: Index, placed: DataFrame, queries: DataFrame, *, width: int, k
         for b in batches:
             for lo in range(0, b.num_rows, step):
                 part = b.slice(lo, step)
-                leaves = visit_order(tree, _matrix(part.column(1), width), visits)
+                leaves = np.sort(visit_order(tree, _matrix(part.column(1), width), visits), axis=1)  # and so by block
                 row = np.repeat(np.arange(len(leaves)), leaves.shape[1])
                 leaf = leaves.ravel()
                 times = parts[leaf]
-                row, leaf, nth = np.repeat(row, times), np.repeat(leaf, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, leaf, nth = np.repeat(row, times), np.repeat(leaf, times), _counted(times)
                 block = first[leaf] + nth
-                order = np.lexsort((leaf, block, row))
-                row, leaf, block = row[order], leaf[order], block[order]
                 starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])])) if len(row) else np.zeros(0, int)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, [len(row)]]), pa.int32()), pa.array(leaf, pa.int32()))
                 take = pa.array(row[starts])
@@ -447,8 +480,6 @@ def search(index: Index, placed: DataFrame, queries: DataFrame, *, width: int, k
                 share = _mixed(ids.to_numpy(), 0xC2B2AE3D27D4EB4F).astype(np.int64) % q_parts[block[starts]]
                 yield pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(share), ids, part.column(1).take(take), lists], ["block", "part", "query", "unit", "leaves"])
 
-    asked = queries.select("id", "unit").mapInArrow(route, "block bigint, part bigint, query bigint, unit binary, leaves array<int>")
-
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first, parts, q_parts = shipped.value
         for b in batches:
@@ -474,9 +505,9 @@ def search(index: Index, placed: DataFrame, queries: DataFrame, *, width: int, k
             found.append(_compare(q, q_id, m, m_id, k, floor))
         else:
             order, by = np.argsort(leaf, kind="stable"), np.argsort(asked_leaf, kind="stable")
-            for x in present:
-                rows = order[np.searchsorted(leaf[order], x) : np.searchsorted(leaf[order], x, "right")]
-                qs = asked_row[by[np.searchsorted(asked_leaf[by], x) : np.searchsorted(asked_leaf[by], x, "right")]]
+            held_at, asked_at = (np.stack([np.searchsorted(x, present), np.searchsorted(x, present, "right")], axis=1) for x in (leaf[order], asked_leaf[by]))
+            for (a, b), (c, d) in zip(held_at, asked_at, strict=True):
+                rows, qs = order[a:b], asked_row[by[c:d]]
                 if len(qs):
                     i, j, s = _compare(q[qs], q_id[qs], m[rows], m_id[rows], k, floor)
                     found.append((qs[i], rows[j], s))
@@ -486,9 +517,16 @@ def search(index: Index, placed: DataFrame, queries: DataFrame, *, width: int, k
         best = _best(i, m_id[j], s, k)
         return pa.table([pa.array(q_id[i[best]]), pa.array(m_id[j[best]]), pa.array(s[best])], names)
 
-    near = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(meet, "query bigint, id bigint, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    return near.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
+
+    def searched(nth: int) -> DataFrame:
+        some = queries.select("id", "unit").filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(rounds)) == nth)
+        asked = some.mapInArrow(route, "block bigint, part bigint, query bigint, unit binary, leaves array<int>")
+        near = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(meet, "query bigint, id bigint, similarity double")
+        return near.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
+
+    with shuffles_freed(spark):
+        return materialize_all(map(searched, range(rounds)), "near")
 
 
 def measured_recall(index: Index, placed: DataFrame, *, width: int, k: int, floor: float | None = None, queries: int = 500) -> DataFrame:
@@ -540,13 +578,16 @@ def top_neighbors(index_table: DataFrame, *, key: str, vector: str, width: int,
     equal similarities the smaller id goes first. Ids are taken as unique; an
     empty table gives an empty result.
     """
-    units = materialize(unit_vectors(index_table, key=key, vector=vector, width=width), "units")
-    classes = equal_vector_classes(units)
-    members, reps = classes.members, materialize(classes.reps, "reps")
-    index, placed = build_index(reps, width=width, k=k, floor=floor, wanted_recall=wanted_recall)
-    wanted = members if queries is None else members.join(queries.select(F.col("id")), "id", "left_semi")
-    asking = reps if queries is None else reps.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
-    near = materialize(search(index, placed, asking, width=width, k=k, floor=floor), "near")
+    with shuffles_freed(index_table.sparkSession):
+        units = materialize(unit_vectors(index_table, key=key, vector=vector, width=width), "units")
+        classes = equal_vector_classes(units)
+        members, reps = classes.members, materialize(classes.reps, "reps")
+        discard(units)
+        index, placed = build_index(reps, width=width, k=k, floor=floor, wanted_recall=wanted_recall, last_use=True)
+        wanted = members if queries is None else members.join(queries.select(F.col("id")), "id", "left_semi")
+        asking = placed if queries is None else placed.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
+        near = search(index, placed, asking, width=width, k=k, floor=floor)
+        discard(placed)
     # the k + 1 first members stand for a class; more can't be among k neighbours
     lead = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("r") <= k + 1).select("rep", F.col("id").alias("neighbor"), "r", "size")
     others = near.select(F.col("query").alias("rep"), F.col("id").alias("other"), "similarity").join(lead.filter(F.col("r") <= k).select(F.col("rep").alias("other"), "neighbor"), "other")
@@ -554,7 +595,8 @@ def top_neighbors(index_table: DataFrame, *, key: str, vector: str, width: int,
     outside = wanted.filter(F.col("size") <= k).join(others, "rep").filter(F.col("r") <= k - (F.col("size") - 1)).select("id", "neighbor", "similarity")
     # members of one class are each other's neighbours: the class may be a third of all rows, its first members are k + 1
     first = lead.groupBy("rep").agg(F.array_sort(F.collect_list("neighbor")).alias("lead"), F.max("size").alias("size")).filter(F.col("size") > 1)
-    first = materialize(first.select(F.col("rep").cast("string").alias("__rep"), "lead", "size"), "leads")
+    with shuffles_freed(index_table.sparkSession):
+        first = materialize(first.select(F.col("rep").cast("string").alias("__rep"), "lead", "size"), "leads")
     copies = join_dimension(wanted.filter(F.col("size") > 1).select("id", F.col("rep").cast("string").alias("__rep")), first, "__rep", "size", ["id"])
     same = copies.select("id", F.explode(F.slice(F.filter("lead", lambda x: x != F.col("id")), 1, k)).alias("neighbor"), F.lit(1.0).alias("similarity"))
     return outside.unionByName(same)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.errors import ConfigurationError
 
 _LOCAL: dict[str, str] = {}
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,14 +49,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The files outlive any executor, hold each column apart (later steps read
     only what they need) and give the planner true sizes.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
+    return materialize_all([df], name)
+
+
+def materialize_all(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """Write tables of the same columns, one after another, as one; ``parts`` isn't empty and may be made as it goes."""
+    path = ""
+    for df in parts:
+        path = path or scratch_path(df.sparkSession, name)
+        df.write.mode("append").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.__dict__["_corvane_path"] = path
     return table
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run inside delete their shuffle files as they end, not when the driver happens to collect its garbage.
+
+    What is run inside must not be run a second time from the same DataFrame: that would shuffle again.
+    """
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def discard(table: DataFrame) -> None:
     """Delete the files of a table made by ``materialize`` that no later step reads; another table is left alone."""
     path = table.__dict__.pop("_corvane_path", None)

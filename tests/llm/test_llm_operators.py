@@ -1,8 +1,11 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
+import contextlib
 import random
+import threading
 import time
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -282,6 +285,42 @@ def test_rare_pairs_split_over_leaves(spark, monkeypatch):
     assert alone.visits == alone.tree.leaves
 
 
+def test_disk_of_a_search_is_bounded(spark, monkeypatch):
+    """Every query goes to most blocks: they go in rounds whose files are deleted, and the same pairs come out."""
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(neighbors, "LEAST_ROUND", 1 << 20, raising=False)
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(4000, 24))
+    x[:400] = x[400:800] + 0.3 * rng.normal(size=(400, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.triu(x @ x.T, 1)
+    dirs = [Path(f.getPath()) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        total = 0
+        for f in (f for d in dirs for f in d.rglob("shuffle_*.data")):
+            with contextlib.suppress(FileNotFoundError):
+                total += f.stat().st_size
+        return total
+
+    before, peak, over = shuffled(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            peak[0] = max(peak[0], shuffled() - before)
+
+    watching = threading.Thread(target=watch)
+    watching.start()
+    try:
+        near = neighbors.top_neighbors(vecs(spark, [(i, v.tolist()) for i, v in enumerate(x)]), key="vec_id", vector="vectors", width=24, k=5, floor=0.9, wanted_recall=1.0)
+        got = {tuple(sorted((r["id"], r["neighbor"]))) for r in near.collect()}
+    finally:
+        over.set()
+        watching.join()
+    assert got == {(int(a), int(b)) for a, b in np.argwhere(s >= 0.9)} and len(got) > 100
+    assert peak[0] < 8 << 20, peak
+
+
 # 6
 
 
