@@ -289,8 +289,8 @@ def test_all_neighbors_above_a_floor_take_few_visits(spark, monkeypatch):
     """A pair counts whichever of the two finds it, also where a row has far more than k; fewer leaves are visited than one-way searches need."""
     rng = np.random.default_rng(17)
     x = rng.normal(size=(9000, 24))
-    x[:500] = x[500:1000] + 0.35 * rng.normal(size=(500, 24))
-    x[2000:2300] = x[2000] + 0.2 * rng.normal(size=(300, 24))  # 300 alike
+    x[:4000] = x[4000:8000] + 0.3 * rng.normal(size=(4000, 24))
+    x[8000:8300] = x[8000] + 0.2 * rng.normal(size=(300, 24))  # 300 alike
     x = x[rng.permutation(9000)]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x = x.astype(np.float32).astype(np.float64)
