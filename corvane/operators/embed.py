@@ -88,25 +88,32 @@ def _step(m: _Matrices, ids: np.ndarray, doc: np.ndarray, p: TrainingParams, noi
     met = np.bincount(np.concatenate(pairs), minlength=n * n).reshape(n, n).astype(np.float32)
     if not met.any():
         return
-    starts, size = m.ends[word], m.ends[word + 1] - m.ends[word]
-    begin = np.cumsum(size) - size
-    rows = m.parts[np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(starts, size)]
-    hidden = np.add.reduceat(m.inputs[rows], begin, axis=0) / size[:, None]
+    rows, alone = word, len(m.parts) == len(m.outputs)  # words without n-grams are their own only part
+    if not alone:
+        starts, size = m.ends[word], m.ends[word + 1] - m.ends[word]
+        begin = np.cumsum(size) - size
+        rows, share = m.parts[np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(starts, size)], (1 / size).astype(np.float32)[:, None]
+    hidden = m.inputs[rows] if alone else np.add.reduceat(m.inputs[rows], begin, axis=0) * share
     out = m.outputs[word]
     yes = 1 / (1 + np.exp(-np.clip(hidden @ out.T, -8, 8)))
     q = noise[word] / noise[word].sum()
-    gain = met * (1 - yes) - (p.negative * met.sum(1, keepdims=True)) * q[None, :] * yes
+    gain = met - yes * (met + (p.negative * met.sum(1, keepdims=True)) * q[None, :])
     to_hidden, to_out = gain @ out, gain.T @ hidden
-    m.seen_out[word] += (to_out**2).mean(1)
-    m.outputs[word] += rate * to_out / np.sqrt(m.seen_out[word] + 1e-8)[:, None]
-    to_part = (to_hidden / size[:, None]).astype(np.float32)
+    m.seen_out[word] += np.einsum("ij,ij->i", to_out, to_out) / p.vector_size
+    m.outputs[word] = out + to_out * (rate / np.sqrt(m.seen_out[word] + 1e-8)).astype(np.float32)[:, None]
+    to_part = to_hidden if alone else to_hidden * share
     if len(rows) > n:  # several words share an n-gram: their steps are summed
         order = np.argsort(rows, kind="stable")
-        used = rows[order]
-        cut = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
-        rows, to_part = used[cut], np.add.reduceat(to_part[np.repeat(np.arange(n), size)[order]], cut, axis=0)
-    m.seen_in[rows] += (to_part**2).mean(1)
-    m.inputs[rows] += rate * to_part / np.sqrt(m.seen_in[rows] + 1e-8)[:, None]
+        used, owner = rows[order], np.repeat(np.arange(n), size)[order]
+        new = np.concatenate([[True], used[1:] != used[:-1]])
+        first, more = np.flatnonzero(new), np.flatnonzero(~new)
+        rows, summed = used[first], to_part[owner[first]]
+        if len(more):  # few are shared: the rest are taken as they are
+            at, cut = np.unique(np.cumsum(new)[more] - 1, return_index=True)
+            summed[at] += np.add.reduceat(to_part[owner[more]], cut, axis=0)
+        to_part = summed
+    m.seen_in[rows] += np.einsum("ij,ij->i", to_part, to_part) / p.vector_size
+    m.inputs[rows] += to_part * (rate / np.sqrt(m.seen_in[rows] + 1e-8)).astype(np.float32)[:, None]
     touched += [rows, word + len(m.inputs)]
 
 

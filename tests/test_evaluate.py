@@ -1,6 +1,7 @@
 """Metrics, bootstrap, labels, manifests, vectors and storage."""
 
 import math
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
@@ -229,3 +230,28 @@ def test_registered_queries_train_in_full(spark, monkeypatch):
     assert {len(r["v"]) for r in queries.subword_vectors(spark, d).collect()} == {100}
     assert queries.most_similar(spark, d).count() > 0
     assert [replace(p, partitions=1) for p in trained] == [_params(Settings())] * 3
+
+
+def test_subword_step_is_lean():
+    """Words share n-grams, one holds one twice: the step is that of plain sums, and no copy in doubles or of every part's step is made."""
+    rng = np.random.default_rng(3)
+    words, buckets, width, p = 200, 400, 100, embed.TrainingParams(window=1, buckets=400)
+    grams = [np.concatenate([[w], words + rng.integers(0, buckets if w % 4 == 0 else 4 * words, 30)]) for w in range(words)]
+    grams[5][1] = grams[5][2]
+    parts, ends = np.concatenate(grams), np.concatenate([[0], np.cumsum([len(g) for g in grams])])
+    inputs, outputs = (rng.normal(size=(n, width)).astype(np.float32) / 10 for n in (words * 5, words))
+    m = embed._Matrices(inputs.copy(), outputs.copy(), np.zeros(words * 5, np.float32), np.zeros(words, np.float32), parts, ends)
+    ids, noise = np.arange(words), np.ones(words, np.float32)
+    tracemalloc.start()
+    embed._step(m, ids, np.zeros(words, int), p, noise, 0.2, np.random.default_rng(0), [])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    share = np.zeros((words, words * 5))
+    np.add.at(share, (np.repeat(ids, np.diff(ends)), parts), np.repeat(1 / np.diff(ends), np.diff(ends)))
+    hidden, met = share @ inputs, 1.0 * (np.abs(ids[:, None] - ids) == 1)
+    yes = 1 / (1 + np.exp(-hidden @ outputs.T))
+    gain = met * (1 - yes) - p.negative * met.sum(1, keepdims=True) / words * yes
+    to_out, to_in = gain.T @ hidden, share.T @ (gain @ outputs)
+    for got, start, step in ((m.outputs, outputs, to_out), (m.inputs, inputs, to_in)):
+        assert np.allclose(got, start + 0.2 * step / np.sqrt((step**2).mean(1) + 1e-8)[:, None], atol=2e-4)
+    assert peak < 4.4e6
